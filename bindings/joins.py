@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from bindings.base import (
     BOUNDS, CAND, DATE_SQL, ORDER, ORDER_SQL, PICKED, SCORED, TODAY, candidates, feature_sql, iso,
-    query, six, table,
+    query, stage, table,
 )
 from bindings.projections import TEAM_ROWS, _orders_as_games, users_and_preferences
 from tierpick.config import WEIGHTED
@@ -78,14 +78,14 @@ def j2(spark, sf_dir):
     return enrich.merge_injuries(players, injuries).select("id", "injury_status", "injury_desc")
 
 
-_LISTS = """lists AS (SELECT l_suppkey * 3 AS id, max(l_linenumber) AS tier FROM lineitem
+_LISTS = """lists AS (SELECT l_suppkey * 20 AS id, max(l_linenumber) AS tier FROM lineitem
   WHERE l_linenumber <= 3 AND l_quantity > 49 GROUP BY 1)"""
 
 
 def _tier_lists(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where(
         (F.col("l_linenumber") <= 3) & (F.col("l_quantity") > 49)
-    ).select((F.col("l_suppkey") * 3).alias("id"), F.col("l_linenumber").alias("tier"))
+    ).select((F.col("l_suppkey") * 20).alias("id"), F.col("l_linenumber").alias("tier"))
 
 
 @query("j3_tier_join", f"""WITH {_LISTS}, last AS (SELECT o_custkey AS id, max(o_orderkey) AS pos FROM orders GROUP BY 1)
@@ -99,8 +99,8 @@ def j3(spark, sf_dir):
         "pos", "id", "tims")
 
 
-@query("j3_unmatched_lists", f"""WITH {_LISTS} SELECT l_suppkey * 3 AS id, l_linenumber AS tier FROM lineitem
-WHERE l_linenumber <= 3 AND l_quantity > 49 AND l_suppkey * 3 NOT IN (SELECT c_custkey FROM customer)""")
+@query("j3_unmatched_lists", f"""WITH {_LISTS} SELECT l_suppkey * 20 AS id, l_linenumber AS tier FROM lineitem
+WHERE l_linenumber <= 3 AND l_quantity > 49 AND l_suppkey * 20 NOT IN (SELECT c_custkey FROM customer)""")
 def j3_unmatched(spark, sf_dir):
     players = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     return enrich.unmatched_tiers(players, _tier_lists(spark, sf_dir))
@@ -161,11 +161,12 @@ HISTORY_SQL = f"""{PICKED}, hist AS (SELECT date, id AS player_id, tims, stat,
 
 
 def pick_history(spark, sf_dir):
-    """Picks of all dates; a quarter of the outcomes is still open."""
+    """Picks of all dates as a written table; a quarter of the outcomes is still open."""
     chosen = picks.replay(candidates(spark, sf_dir), ORDER, bounds=BOUNDS)
-    return chosen.select(
+    rows = chosen.select(
         "date", F.col("id").alias("player_id"), "tims", "stat",
         F.when(F.col("l_orderkey") % 4 != 0, F.col("scored")).alias("Scored"), *ORDER)
+    return stage(rows, "history")
 
 
 OUTCOMES_SQL = """outcomes AS (SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey AS id,

@@ -31,11 +31,11 @@ def pick_of_day(df: DataFrame, order: list[str], score: str = "stat",
     """Best candidate per tier with an unknown outcome yet.
 
     A day without all three tiers has no picks. ``pick_no`` is the order in
-    which the tiers first appear.
+    which the tiers first appear. An outcome the input has is dropped.
     """
     keys = list(keys)
     tiered = df.withColumn("tims", F.col("tims").cast("int")).where(F.col("tims").isin(*TIERS))
-    rest = [c for c in tiered.columns if c not in (*keys, "tims", "Scored")]
+    rest = [c for c in tiered.columns if c.lower() not in (*keys, "tims", "scored")]
     best = tiered.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*keys, "tims").agg(
         F.min_by(F.struct(*rest), F.struct((-F.col(score)).alias("_s"), *order)).alias("_best"),
         F.min(F.struct(*order)).alias("_seen"),
