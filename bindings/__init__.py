@@ -1,4 +1,6 @@
 """The operators bound to the test tables, each with the SQL that says the same."""
 
-from bindings import aggregates, functions, joins, projections, windows  # noqa: F401
+from bindings import (  # noqa: F401
+    aggregates, functions, joins, projections, sinks, sources, windows,
+)  # noqa: F401
 from bindings.base import QUERIES, SQL  # noqa: F401

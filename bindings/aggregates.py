@@ -96,7 +96,7 @@ def a5(spark, sf_dir):
 day AS (SELECT max(date) AS date, count(*) AS n, count(*) FILTER (WHERE Scored = 1) AS hits FROM filled
   WHERE date = DATE '2001-05-30'),
 prior AS (SELECT count(*) FILTER (WHERE Scored = 1) AS correct, count(*) AS total FROM hist WHERE date < DATE '2001-05-30')
-SELECT {DATE_SQL}, round_even(100.0 * (correct + hits) / (total + 3), 2) AS value, correct + hits AS correct, total + 3 AS total
+SELECT {DATE_SQL}, CAST(printf('%.2f', (correct + hits) / (total + 3) * 100) AS DOUBLE) AS value, correct + hits AS correct, total + 3 AS total
 FROM day, prior WHERE n = 3""")
 def a6(spark, sf_dir):
     past = pick_history(spark, sf_dir)

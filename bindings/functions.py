@@ -130,7 +130,7 @@ _BET = f"""CASE WHEN {_STAT} = 0 OR {_ODDS} = 0 THEN 0.0 ELSE
   least(greatest(0.0, ({_STAT} - {_PCT} / 100) / ({_DEC} - 1) * 100.0), 100.0) END"""
 
 
-@query("f13_bet_size", f"SELECT {ORDER_SQL}, round_even(CAST({_BET} AS DOUBLE), 2) AS bet FROM lineitem")
+@query("f13_bet_size", f"SELECT {ORDER_SQL}, CAST(printf('%.2f', {_BET}) AS DOUBLE) AS bet FROM lineitem")
 def f13(spark, sf_dir):
     price = _american()
     stake = odds.bet_size(F.col("l_tax") * 10, odds.implied_percent(price), price, 100.0)
@@ -155,7 +155,7 @@ def f15(spark, sf_dir):
 
 @query("f16_pick_list_text", f"""WITH {PICKED} SELECT {DATE_SQL}, tims,
   CASE WHEN tims = 1 THEN '' ELSE 'Hey ' || name || ',' || chr(10) || chr(10) END || tims || ' | ' || name || ' | ' || team_id || ' | ' ||
-  CASE WHEN tims = 2 THEN 'unknown' ELSE printf('%.2f', round_even(CAST(stat AS DOUBLE), 2)) || '%' END || chr(10) AS line FROM picks""")
+  CASE WHEN tims = 2 THEN 'unknown' ELSE printf('%.2f', CAST(stat AS DOUBLE)) || '%' END || chr(10) AS line FROM picks""")
 def f16(spark, sf_dir):
     stat = F.when(F.col("tims") == 2, "unknown").otherwise(
         F.col("stat").cast("double").cast("string"))
@@ -164,8 +164,8 @@ def f16(spark, sf_dir):
     return all_picks(spark, sf_dir).select(iso(), "tims", F.concat(hello, line).alias("line"))
 
 
-@query("f18_fixed_digits", f"""WITH {CAND} SELECT {ORDER_SQL}, printf('%.3f', round_even(tgpg / 7919, 3)) AS three,
-  printf('%.6f', round_even(otga / 7919, 6)) AS six FROM cand""")
+@query("f18_fixed_digits", f"""WITH {CAND} SELECT {ORDER_SQL}, printf('%.3f', tgpg / 7919) AS three,
+  printf('%.6f', otga / 7919) AS six FROM cand""")
 def f18(spark, sf_dir):
     return candidates(spark, sf_dir).select(
         *ORDER, text.fixed(F.col("tgpg") / 7919, 3).alias("three"),

@@ -289,7 +289,7 @@ def j11(spark, sf_dir):
     QUALIFY row_number() OVER (PARTITION BY tims ORDER BY stat DESC, {ORDER_SQL}) = 1),
   body AS (SELECT 'Tims | Name | Team | Probability' || chr(10) || repeat('-', 40) || chr(10) ||
     coalesce(string_agg(tims || ' | ' || name || ' | ' || team_id || ' | ' ||
-      printf('%.2f', round_even(CAST(stat AS DOUBLE), 2)) || '%' || chr(10), '' ORDER BY tims), '') AS text FROM day)
+      printf('%.2f', CAST(stat AS DOUBLE)) || '%' || chr(10), '' ORDER BY tims), '') AS text FROM day)
 SELECT c_name || '@mail' AS email, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'Hey ' || c_mktsegment || ',' || chr(10) || chr(10) END
   || (SELECT text FROM body) AS text FROM customer WHERE c_acctbal > 0 AND c_custkey % 4 NOT IN (0, 1)""")
 def j12(spark, sf_dir):

@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tierpick.functions.numbers import round_exact
+
 
 def implied_percent(odds: Column) -> Column:
     """Probability in percent that the odds stand for; null for 0 or no odds."""
@@ -29,7 +31,7 @@ def bet_size(stat: Column, percent: Column, odds: Column, bankroll: float) -> Co
     share = F.try_divide(edge, decimal_odds(odds) - 1)
     stake = F.least(F.greatest(F.lit(0.0), share * bankroll), F.lit(float(bankroll)))
     priced = (F.coalesce(stat, F.lit(0.0)) != 0) & (F.coalesce(percent, F.lit(0.0)) != 0)
-    return F.when(priced, F.bround(stake, 2)).otherwise(0.0)
+    return F.when(priced, round_exact(stake, 2)).otherwise(0.0)
 
 
 def payout(bet: Column, odds: Column, corrected: bool = False) -> Column:

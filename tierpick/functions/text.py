@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tierpick.config import NAME_ALIASES
+from tierpick.functions.numbers import round_exact
 
 # Latin letters that do not decompose into base letter + accent.
 _SINGLE = {
@@ -77,8 +78,8 @@ def first_filled(*texts: Column) -> Column:
 
 
 def fixed(number: Column, digits: int) -> Column:
-    """Number as text with ``digits`` decimals, halves to even."""
-    return F.format_string(f"%.{digits}f", F.bround(number.cast("double"), digits))
+    """Number as text with ``digits`` decimals."""
+    return F.format_string(f"%.{digits}f", round_exact(number, digits))
 
 
 def percent_or_text(stat: Column) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierpick.config import METRIC_ID, RETENTION_DAYS, TIERS
+from tierpick.functions.numbers import round_exact
 
 
 def _as_date(day) -> Column:
@@ -98,7 +99,7 @@ def running_metric(yesterday: DataFrame, metric: DataFrame) -> DataFrame:
     return day.select(
         F.lit(METRIC_ID).alias("id"),
         "date",
-        F.bround(F.try_divide(correct, total) * 100, 2).alias("value"),
+        round_exact(F.try_divide(correct, total) * 100, 2).alias("value"),
         correct.alias("correct"),
         total.alias("total"),
     )
