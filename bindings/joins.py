@@ -256,9 +256,7 @@ def j10(spark, sf_dir):
 
 def trial_candidates(spark, sf_dir):
     """Labelled candidates with table-bound features, ready for the search."""
-    rows = scoring.normalise(
-        scoring.labelled(candidates(spark, sf_dir)), BOUNDS, keep=["date", "tims", "scored", *ORDER])
-    return rows
+    return search.search_input(candidates(spark, sf_dir), ORDER, BOUNDS)
 
 
 def search_sql(steps: int) -> str:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierpick.config import MAX_GROUP_ROWS, TIERS, WEIGHTED
+from tierpick.config import BOUNDS, MAX_GROUP_ROWS, TIERS, WEIGHTED
 from tierpick.operators.grid import PARTS, grid_size, vectors_at
 from tierpick.operators.scoring import labelled, normalise
 from tierpick.operators.skew import number_rows, split_hot
@@ -26,9 +26,9 @@ _CELLS = 1 << 16       # scores held at once, to stay in the processor cache
 _LONG = 48             # groups from this size on are searched row-wise
 
 
-def search_input(df: DataFrame, order: list[str]) -> DataFrame:
+def search_input(df: DataFrame, order: list[str], bounds=BOUNDS) -> DataFrame:
     """Labelled candidates with their weighted features, ready for the search."""
-    rows = normalise(labelled(df), keep=["date", "tims", "scored", *order])
+    rows = normalise(labelled(df), bounds, keep=["date", "tims", "scored", *order])
     finite = None
     for w in WEIGHTED:
         ok = F.col(w).isNotNull() & ~F.isnan(w)

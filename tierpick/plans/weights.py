@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierpick.config import BOUNDS
 from tierpick.operators import picks, search
 from tierpick.operators.grid import steps_of
 from tierpick.operators.scoring import coerce_tier
@@ -18,9 +19,9 @@ def training_rows(extract: DataFrame) -> DataFrame:
 
 
 def find_weights(extract: DataFrame, order: list[str], step_percent: float = 5,
-                 tie: str = "first") -> DataFrame:
+                 tie: str = "first", bounds=BOUNDS) -> DataFrame:
     """Best weights over all labelled dates; the grid has int(100 / step_percent) steps."""
-    candidates = search.search_input(training_rows(extract), order)
+    candidates = search.search_input(training_rows(extract), order, bounds)
     return search.search(
         candidates, steps_of(step_percent), order, tie, step=step_percent / 100
     )

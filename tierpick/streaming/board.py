@@ -1,5 +1,7 @@
 """Live score changes as a stream of snapshots."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,6 +24,7 @@ def poll(spark: SparkSession, path: str, schema, fmt: str = "parquet", glob: str
 
 def change_stream(snapshots: DataFrame, out: str, checkpoint: str, key: str, time: list[str],
                   values: list[str], span: Column, done: Column | None = None,
+                  detail: Callable[[DataFrame], DataFrame] | None = None,
                   available_now: bool = False) -> StreamingQuery:
     """Write every snapshot that differs from the last one of its key.
 
@@ -29,6 +32,9 @@ def change_stream(snapshots: DataFrame, out: str, checkpoint: str, key: str, tim
     repeated batch starts from the same state and replaces its own output.
     Keys whose last snapshot is ``done`` leave the state. A busy key is spread
     over tasks by ``span`` (see ``changes``), which keyed state cannot do.
+
+    ``detail`` gives the detail rows of the keys it is handed; it is asked for
+    changed keys only, other keys keep the rows they have.
     """
     columns = snapshots.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in snapshots.schema.fields)
@@ -51,6 +57,14 @@ def change_stream(snapshots: DataFrame, out: str, checkpoint: str, key: str, tim
         if done is not None:
             last = last.where(~F.coalesce(done, F.lit(False)))
         last.write.mode("overwrite").parquet(f"{out}/state/epoch={epoch}")
+        if detail is not None:
+            changed = spark.read.schema(schema).parquet(f"{out}/changes/epoch={epoch}").select(
+                key).distinct()
+            fresh = detail(changed)
+            if epoch:
+                kept = spark.read.schema(fresh.schema).parquet(f"{out}/detail/epoch={epoch - 1}")
+                fresh = fresh.unionByName(kept.join(changed, key, "left_anti"))
+            fresh.write.mode("overwrite").parquet(f"{out}/detail/epoch={epoch}")
 
     writer = snapshots.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     writer = (
