@@ -133,10 +133,10 @@ def a10(spark, sf_dir):
     return history.pending_dates(pick_history(spark, sf_dir), TODAY).select(iso())
 
 
-def score_feed_games(spark, sf_dir):
+def score_feed_games(spark, sf_dir, goal="l_returnflag = 'R'"):
     """Orders as finished, open or postponed games; scorers are their returned items."""
     goals = bounded_lists(
-        table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R"),
+        table(spark, sf_dir, "lineitem").where(goal),
         ["l_orderkey"], ORDER[1:], F.col("l_suppkey"), "goals")
     orders = table(spark, sf_dir, "orders")
     joined = orders.join(goals, F.col("o_orderkey") == F.col("l_orderkey"), "left")

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierpick.config import WEIGHTED, WEIGHTS
-from tierpick.session import run_dir
+from tierpick.session import run_dir, stage  # noqa: F401
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -50,13 +50,6 @@ def land(df: DataFrame, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as a table of this run and read it back."""
-    path = run_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def iso(column="date"):
     return F.col(column).cast("string").alias(column)
 

@@ -39,7 +39,6 @@ def run_status(board: DataFrame, today, last_game: bool = False) -> DataFrame:
 
 
 def fresh_board(board: DataFrame, today) -> DataFrame:
-    """Today's rows of the board under their player id."""
-    return board.where(F.col("date") == F.lit(today).cast("date")).drop("id").withColumnRenamed(
-        "player_id", "id"
-    )
+    """Today's rows of the board under their player id; ``position`` is their place."""
+    todays = board.where(F.col("date") == F.lit(today).cast("date"))
+    return todays.withColumnRenamed("id", "position").withColumnRenamed("player_id", "id")

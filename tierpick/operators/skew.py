@@ -69,6 +69,7 @@ def number_rows(df: DataFrame, order: list[str], out: str = "id",
 
     Rows go to ranges of the order, are numbered inside their range, and the
     sizes of the ranges before are added. ``order`` has to be a total order.
+    The input is read three times: hand in a table rather than a long plan.
     """
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = _cut_points(df, order, buckets)

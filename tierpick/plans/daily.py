@@ -10,6 +10,7 @@ from tierpick.config import BOUNDS, WEIGHTS
 from tierpick.operators import backfill, enrich, history, notify, picks
 from tierpick.operators.schedule import fresh_board, run_status
 from tierpick.operators.scoring import predict
+from tierpick.session import stage
 from tierpick.sources import feeds, tables
 
 
@@ -46,18 +47,18 @@ def update_history(spark: SparkSession, store: Store, players: DataFrame, today,
                    order: list[str]) -> None:
     """Add today's picks, fill late outcomes, then update the metric of yesterday."""
     dated = players.withColumn("date", F.lit(today).cast("date"))
-    new = picks.pick_of_day(dated, order).withColumnRenamed("id", "player_id").drop("pick_no")
+    chosen = picks.pick_of_day(dated, order).withColumnRenamed("id", "player_id")
+    keep = [c.split(" ")[0] for c in schemas.HISTORY.split(", ") if not c.startswith("id ")]
+    new = stage(chosen.select(*keep), "picks")
     before = tables.read_version(spark, store.history, schemas.HISTORY, before=today).drop("id")
     outcomes = tables.scan(
         spark, store.archive, ("date", "id", "scored"), schema="date date, id bigint, scored int"
     )
-    keep = [c.split(" ")[0] for c in schemas.HISTORY.split(", ") if not c.startswith("id ")]
-    after = history.update_history(before, new.select(*keep), outcomes, today)
+    after = stage(history.update_history(before, new, outcomes, today), "history")
     rows = tables.history_rows(after, ["date", "tims", "player_id"])
     tables.write_version(rows, store.history, today)
-    filled = tables.read_version(spark, store.history, schemas.HISTORY)
     metric = history.running_metric(
-        history.picks_of(filled, yesterday), tables.read_metric(spark, store.metric)
+        history.picks_of(after, yesterday), tables.read_metric(spark, store.metric)
     )
     tables.write_metric(metric, store.metric)
 
@@ -68,19 +69,18 @@ def daily_run(spark: SparkSession, store: Store, landed: Feeds, today, yesterday
     board = tables.read_board(spark, store.board)
     status = run_status(board, today, last_game).first()["status"]
     if status == "first_run":
-        players = candidates(landed)
-        archived = players.select("*", F.lit(today).cast("date").alias("date"),
-                                  F.lit(None).cast("int").alias("scored"))
+        archived = candidates(landed).select(
+            "*", F.lit(today).cast("date").alias("date"), F.lit(None).cast("int").alias("scored")
+        )
         tables.archive(archived, store.archive)
+        # From here on the archived day is the input.
+        players = tables.read_archive(spark, store.archive, today).drop("date", "scored")
         update_history(spark, store, players, today, yesterday, order)
         tables.publish_board(players, today, order, store.board)
     elif status == "normal_run":
         # The board is rewritten from itself, so its next state is staged first.
-        players = enrich.tag_tiers(fresh_board(board, today), landed.tiers)
-        rows = tables.board_rows(players, today, ["id"] if "id" in players.columns else order)
-        staged = f"{store.board}_next"
-        tables.replace_table(rows, staged)
-        tables.replace_table(spark.read.parquet(staged), store.board)
+        players = stage(enrich.tag_tiers(fresh_board(board, today), landed.tiers), "players")
+        tables.publish_board(players, today, ["position"], store.board)
     return status
 
 

@@ -10,7 +10,7 @@ from tierpick.operators.bets import unbooked
 from tierpick.operators.skew import number_rows, split_hot
 
 _NOT_NUMERIC = ("date", "name")
-_HIDDEN_ON_BOARD = ("home", "hppg", "otshga", "Scored")
+_HIDDEN_ON_BOARD = ("home", "hppg", "otshga", "Scored", "position")
 _HIDDEN_IN_HISTORY = ("home", "hppg", "otshga")
 
 
@@ -104,10 +104,11 @@ def replace_table(df: DataFrame, path: str) -> None:
 
 
 def board_rows(players: DataFrame, today, order: list[str]) -> DataFrame:
-    """Rows of today's board: date, player_id, and id by position."""
-    named = players if "player_id" in players.columns else players.withColumnRenamed(
-        "id", "player_id")
-    dated = named.withColumn("date", F.lit(today).cast("date"))
+    """Rows of today's board: date, player_id, and id by position in ``order``."""
+    if "player_id" not in players.columns:
+        players = players.withColumnRenamed("id", "player_id")
+        order = ["player_id" if c == "id" else c for c in order]
+    dated = players.withColumn("date", F.lit(today).cast("date"))
     return number_rows(dated, order).drop(*_HIDDEN_ON_BOARD)
 
 
@@ -127,10 +128,11 @@ def write_version(df: DataFrame, path: str, version) -> None:
 def read_version(spark: SparkSession, path: str, schema: str, before=None) -> DataFrame:
     """Latest state of a table, optionally the latest before a day."""
     table = scan(spark, path, schema=f"{schema}, version date")
+    versions = table.select("version")
     if before is not None:
-        table = table.where(F.col("version") < F.lit(before).cast("date"))
-    newest = table.agg(F.max("version")).scalar()
-    return table.where(F.col("version") == newest).drop("version")
+        versions = versions.where(F.col("version") < F.lit(before).cast("date"))
+    newest = versions.agg(F.max("version")).first()[0]  # one value, from the folder names
+    return table.where(F.col("version") == F.lit(newest).cast("date")).drop("version")
 
 
 def write_metric(metric: DataFrame, path: str) -> None:
