@@ -20,8 +20,8 @@ def scored(spark, sf_dir):
     return scoring.predict(candidates(spark, sf_dir), BOUNDS)
 
 
-def all_picks(spark, sf_dir, weights=None):
-    kw = {} if weights is None else {"weights": weights}
+def all_picks(spark, sf_dir, weights=None, keep=None):
+    kw = {"keep": keep} if weights is None else {"keep": keep, "weights": weights}
     return picks.replay(candidates(spark, sf_dir), ORDER, bounds=BOUNDS, **kw)
 
 
@@ -37,7 +37,8 @@ def a1(spark, sf_dir):
 
 @query("a2_historical_picks", f"""WITH {PICKED} SELECT {DATE_SQL}, tims, {ORDER_SQL}, scored, {STAT_SQL} FROM picks""")
 def a2(spark, sf_dir):
-    return all_picks(spark, sf_dir).select(iso(), "tims", *ORDER, "scored", six("stat"))
+    made = all_picks(spark, sf_dir, keep=["scored"])
+    return made.select(iso(), "tims", *ORDER, "scored", six("stat"))
 
 
 _COUNTS = "CAST(sum(CASE WHEN scored > 0 THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS picks"
@@ -47,12 +48,12 @@ _COUNTS = "CAST(sum(CASE WHEN scored > 0 THEN 1 ELSE 0 END) AS BIGINT) AS correc
 SELECT {_COUNTS}, (SELECT count(DISTINCT date) * 3 FROM cand WHERE tims BETWEEN 1 AND 3) AS slots FROM picks""")
 def a3(spark, sf_dir):
     known = scoring.labelled(candidates(spark, sf_dir))
-    return picks.correctness(all_picks(spark, sf_dir), known)
+    return picks.correctness(all_picks(spark, sf_dir, keep=["scored"]), known)
 
 
 @query("a3b_picks_made", f"WITH {PICKED} SELECT {DATE_SQL}, {_COUNTS} FROM picks GROUP BY date")
 def a3b(spark, sf_dir):
-    per_date = all_picks(spark, sf_dir).groupBy("date").agg(
+    per_date = all_picks(spark, sf_dir, keep=["scored"]).groupBy("date").agg(
         F.count(F.when(F.col("scored") > 0, 1)).alias("correct"), F.count("*").alias("picks"))
     return per_date.select(iso(), "correct", "picks")
 
@@ -70,7 +71,7 @@ FROM picks GROUP BY ROLLUP (tims)"""
 
 @query("a4_accuracy_by_tier", f"WITH {PICKED} {_ACCURACY}")
 def a4(spark, sf_dir):
-    report = picks.accuracy(all_picks(spark, sf_dir))
+    report = picks.accuracy(all_picks(spark, sf_dir, keep=["scored"]))
     return report.withColumn("pct", F.round("pct", 6))
 
 
@@ -88,7 +89,7 @@ def _fixed_sql():
 
 @query("a5_replay_fixed_weights", _fixed_sql())
 def a5(spark, sf_dir):
-    report = picks.accuracy(all_picks(spark, sf_dir, _FIXED))
+    report = picks.accuracy(all_picks(spark, sf_dir, _FIXED, ["scored"]))
     return report.withColumn("pct", F.round("pct", 6))
 
 

@@ -161,7 +161,8 @@ def f16(spark, sf_dir):
         F.col("stat").cast("double").cast("string"))
     hello = text.greeting(F.when(F.col("tims") != 1, F.col("name")))
     line = text.pick_line(F.col("tims"), F.col("name"), F.col("team_id"), stat)
-    return all_picks(spark, sf_dir).select(iso(), "tims", F.concat(hello, line).alias("line"))
+    made = all_picks(spark, sf_dir, keep=["name", "team_id"])
+    return made.select(iso(), "tims", F.concat(hello, line).alias("line"))
 
 
 @query("f18_fixed_digits", f"""WITH {CAND} SELECT {ORDER_SQL}, printf('%.3f', tgpg / 7919) AS three,

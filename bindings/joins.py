@@ -162,7 +162,8 @@ HISTORY_SQL = f"""{PICKED}, hist AS (SELECT date, id AS player_id, tims, stat,
 
 def pick_history(spark, sf_dir):
     """Picks of all dates as a written table; a quarter of the outcomes is still open."""
-    chosen = picks.replay(candidates(spark, sf_dir), ORDER, bounds=BOUNDS)
+    chosen = picks.replay(
+        candidates(spark, sf_dir), ORDER, bounds=BOUNDS, keep=["id", "scored"])
     rows = chosen.select(
         "date", F.col("id").alias("player_id"), "tims", "stat",
         F.when(F.col("l_orderkey") % 4 != 0, F.col("scored")).alias("Scored"), *ORDER)

@@ -41,7 +41,7 @@ WHERE date NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_ordersta
 def w3(spark, sf_dir):
     known = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(
         F.col("o_orderdate").cast("date").alias("date"))
-    return history.new_picks(all_picks(spark, sf_dir), known).select(iso(), "tims", "id")
+    return history.new_picks(all_picks(spark, sf_dir, keep=["id"]), known).select(iso(), "tims", "id")
 
 
 @query("w4_trigger_plan", """WITH starts AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day,
@@ -60,7 +60,7 @@ def w4(spark, sf_dir):
 @query("w7_order_by_score", f"""WITH {PICKED} SELECT {DATE_SQL}, tims, id, {STAT_SQL},
   CAST(row_number() OVER (PARTITION BY date ORDER BY picks.stat DESC, tims) AS INTEGER) AS rank FROM picks""")
 def w7(spark, sf_dir):
-    ranked = picks.ordered_picks(all_picks(spark, sf_dir))
+    ranked = picks.ordered_picks(all_picks(spark, sf_dir, keep=["id"]))
     return ranked.select(iso(), "tims", "id", six("stat"), "rank")
 
 
@@ -69,7 +69,7 @@ def w7(spark, sf_dir):
 SELECT {DATE_SQL}, string_agg(name, ',' ORDER BY coalesce(TRY_CAST(tims AS INTEGER), 0), name) AS names
 FROM told GROUP BY date""")
 def w8(spark, sf_dir):
-    told = all_picks(spark, sf_dir).withColumn(
+    told = all_picks(spark, sf_dir, keep=["name"]).withColumn(
         "tims", F.when(F.col("l_orderkey") % 5 == 0, "n/a").otherwise(F.col("tims").cast("string")))
     tier = F.coalesce(F.col("tims").try_cast("int"), F.lit(0))
     # At most three picks per date.

@@ -89,34 +89,37 @@ def unmatched_tiers(players: DataFrame, lists: DataFrame) -> DataFrame:
     return lists.join(players.select("id"), "id", "left_anti")
 
 
-def resolve_odds(players: DataFrame, odds: DataFrame) -> DataFrame:
-    """Every odds row with the folded roster name it belongs to, else null.
+def resolve_names(players: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct odds names with the folded roster name they belong to, else null.
 
     First by the folded name, then by the folded name after the aliases.
     """
-    names = players.select(fold_ascii(F.col("name")).alias("_name")).distinct()
-    first = names.select("_name", F.col("_name").alias("_first"))
-    second = names.select("_name", F.col("_name").alias("_second"))
-    keyed = odds.withColumn("_plain", fold_ascii(F.col("name"))).withColumn(
+    roster = players.select(fold_ascii(F.col("name")).alias("_name")).distinct()
+    first = roster.select("_name", F.col("_name").alias("_first"))
+    second = roster.select("_name", F.col("_name").alias("_second"))
+    keyed = names.withColumn("_plain", fold_ascii(F.col("name"))).withColumn(
         "_alias", fold_ascii(alias_name(F.col("name")))
     )
     found = keyed.join(first, F.col("_plain") == first["_name"], "left").drop("_name")
     found = found.join(
         second, F.col("_first").isNull() & (F.col("_alias") == second["_name"]), "left"
     ).drop("_name")
-    return found.select(
-        *odds.columns, "_alias", F.coalesce("_first", "_second").alias("_key")
-    )
+    return found.select(*names.columns, "_alias", F.coalesce("_first", "_second").alias("_key"))
 
 
 def link_odds(players: DataFrame, odds: DataFrame, position: str = "pos",
               player_position: str = "id") -> DataFrame:
     """Add ``odds`` to players; the last matching odds row counts.
 
-    Of players with the same folded name only the last gets them.
+    Of players with the same folded name only the last gets them. The odds
+    rows shrink to the last one per name before any join.
     """
-    resolved = resolve_odds(players, odds).where(F.col("_key").isNotNull())
-    price = resolved.groupBy("_key").agg(F.max_by("odds", position).alias("_odds"))
+    last_of_name = F.max(F.struct(F.col(position).alias("at"), "odds")).alias("_row")
+    named = resolve_names(players, odds.groupBy("name").agg(last_of_name))
+    price = (
+        named.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.max("_row").alias("_row"))
+        .select("_key", F.col("_row.odds").alias("_odds"))
+    )
     keyed = players.withColumn("_key", fold_ascii(F.col("name")))
     last = keyed.groupBy("_key").agg(F.max(player_position).alias("_last"))
     priced = price.join(last, "_key")
@@ -128,10 +131,9 @@ def link_odds(players: DataFrame, odds: DataFrame, position: str = "pos",
 
 def unmatched_odds(players: DataFrame, odds: DataFrame, ignored=IGNORED_NAMES) -> DataFrame:
     """Odds rows that no player matches and that are not to be ignored."""
-    resolved = resolve_odds(players, odds)
-    return resolved.where(F.col("_key").isNull() & ~F.col("_alias").isin(*ignored)).select(
-        *odds.columns
-    )
+    named = resolve_names(players, odds.select("name").distinct())
+    lost = named.where(F.col("_key").isNull() & ~F.col("_alias").isin(*ignored)).select("name")
+    return odds.join(lost, "name", "left_semi").select(*odds.columns)
 
 
 def opponent_columns(teams: DataFrame, stats: DataFrame, columns: list[str]) -> DataFrame:

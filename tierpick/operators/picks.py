@@ -1,6 +1,6 @@
 """Best candidate per group, pick of the day, replay and accuracy."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -8,22 +8,38 @@ from tierpick.config import BOUNDS, SEASON_START, TIERS, WEIGHTS
 from tierpick.operators.scoring import labelled, predict
 
 
-def best_per_group(df: DataFrame, keys: list[str], score: str, order: list[str]) -> DataFrame:
+def _rank(score: str) -> Column:
+    """Sort key of a score: the highest first, null and NaN last."""
+    worst = F.lit(float("nan"))
+    return F.coalesce(-F.col(score), worst)
+
+
+def _is_number(score: str) -> Column:
+    return F.col(score).isNotNull() & ~F.isnan(score)
+
+
+def best_per_group(df: DataFrame, keys: list[str], score: str, order: list[str],
+                   keep: list[str] | None = None) -> DataFrame:
     """Row with the highest score of each group; on a tie the first in ``order``.
 
     An aggregate, so each task sends one row per group into the shuffle, also
-    for a group that holds most of the rows. NaN and null never win.
+    for a group that holds most of the rows. NaN and null never win. Only the
+    keys, the order, the score and the ``keep`` columns are carried (all by
+    default).
     """
-    rest = [c for c in df.columns if c not in keys]
-    rank = F.struct((-F.col(score)).alias("_s"), *order)
-    usable = df.where(F.col(score).isNotNull() & ~F.isnan(score))
-    best = usable.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("_best"))
-    return best.select(*keys, "_best.*")
+    carried = df.columns if keep is None else [*keys, *order, score, *keep]
+    rest = [c for c in carried if c not in keys and c not in order]
+    entry = F.struct(_rank(score).alias("_rank"), *order, *rest)
+    best = df.groupBy(*keys).agg(F.min(entry).alias("_best")).select(*keys, "_best.*")
+    columns = [c for c in df.columns if c in carried]
+    return best.where(_is_number(score)).select(*columns)
 
 
-def historical_picks(df: DataFrame, order: list[str], score: str = "stat") -> DataFrame:
+def historical_picks(df: DataFrame, order: list[str], score: str = "stat",
+                     keep: list[str] | None = None) -> DataFrame:
     """Best candidate of every (date, tier)."""
-    return best_per_group(df.where(F.col("tims").isin(*TIERS)), ["date", "tims"], score, order)
+    tiered = df.where(F.col("tims").isin(*TIERS))
+    return best_per_group(tiered, ["date", "tims"], score, order, keep)
 
 
 def pick_of_day(df: DataFrame, order: list[str], score: str = "stat",
@@ -35,11 +51,12 @@ def pick_of_day(df: DataFrame, order: list[str], score: str = "stat",
     """
     keys = list(keys)
     tiered = df.withColumn("tims", F.col("tims").cast("int")).where(F.col("tims").isin(*TIERS))
-    rest = [c for c in tiered.columns if c.lower() not in (*keys, "tims", "scored")]
-    best = tiered.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*keys, "tims").agg(
-        F.min_by(F.struct(*rest), F.struct((-F.col(score)).alias("_s"), *order)).alias("_best"),
+    dropped = (*keys, *order, "tims", "scored")
+    rest = [c for c in tiered.columns if c.lower() not in dropped]
+    best = tiered.groupBy(*keys, "tims").agg(
+        F.min(F.struct(_rank(score).alias("_rank"), *order, *rest)).alias("_best"),
         F.min(F.struct(*order)).alias("_seen"),
-    )
+    ).where(F.col(f"_best.{score}").isNotNull() & ~F.isnan(f"_best.{score}"))
     # At most one entry per tier in the list.
     days = best.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("_seen", "tims", "_best"))).alias("_picks")
@@ -47,7 +64,8 @@ def pick_of_day(df: DataFrame, order: list[str], score: str = "stat",
     return days.select(*keys, F.posexplode("_picks").alias("_pos", "_pick")).select(
         *keys,
         F.col("_pick.tims").alias("tims"),
-        "_pick._best.*",
+        *[F.col(f"_pick._best.{c}").alias(c) for c in tiered.columns if c in (*order, *rest)
+          and c not in (*keys, "tims")],
         F.lit(None).cast("int").alias("Scored"),
         (F.col("_pos") + 1).alias("pick_no"),
     )
@@ -85,13 +103,13 @@ def ordered_picks(picks: DataFrame, score: str = "stat") -> DataFrame:
     return picks.withColumn("rank", F.row_number().over(by_score))
 
 
-def replay(df: DataFrame, order: list[str], weights=WEIGHTS, bounds=BOUNDS,
-           since=None) -> DataFrame:
+def replay(df: DataFrame, order: list[str], weights=WEIGHTS, bounds=BOUNDS, since=None,
+           keep: list[str] | None = None) -> DataFrame:
     """Picks the given weights would have made on labelled candidates."""
     known = labelled(df)
     if since is not None:
         known = known.where(F.col("date") >= F.lit(since).cast("date"))
-    return historical_picks(predict(known, bounds, weights), order)
+    return historical_picks(predict(known, bounds, weights), order, keep=keep)
 
 
 def season_replay(df: DataFrame, order: list[str], since=SEASON_START, **kw) -> DataFrame:

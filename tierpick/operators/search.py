@@ -9,6 +9,7 @@ task is cut into parts; the best of each part then meet in an aggregate.
 """
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from tierpick.config import BOUNDS, MAX_GROUP_ROWS, TIERS, WEIGHTED
 from tierpick.operators.grid import PARTS, grid_size, vectors_at
 from tierpick.operators.scoring import labelled, normalise
 from tierpick.operators.skew import number_rows, split_hot
+from tierpick.session import stage
 
 _TILE_SCORES = 10**10  # scores of one tile, at most about
 _MAX_BLOCK = 1 << 20   # vectors of one tile, at most
@@ -171,8 +173,28 @@ def tile_layout(rows: int, vectors: int, cores: int) -> tuple[int, int]:
     return blocks, max(1, -(-tiles // blocks))
 
 
+@dataclass
+class Shape:
+    """Size of a search input, from one aggregate over its groups."""
+
+    rows: int
+    largest: int
+    picks: int
+    dates: int
+
+
+def input_shape(candidates: DataFrame) -> Shape:
+    row = candidates.groupBy("date", "tims").agg(F.count("*").alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.max("n"), F.lit(0)).alias("largest"),
+        F.count("*").alias("picks"), F.countDistinct("date").alias("dates"),
+    ).first()
+    return Shape(**row.asDict())
+
+
 def evaluate_grid(candidates: DataFrame, steps: int, order: list[str],
-                  step: float | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                  step: float | None = None, max_group_rows: int = MAX_GROUP_ROWS,
+                  shape: Shape | None = None) -> DataFrame:
     """Correct picks of every vector of the grid: wid (lexicographic place), correct.
 
     ``candidates`` come from ``search_input``. The smallest ``order`` wins a tie.
@@ -180,18 +202,17 @@ def evaluate_grid(candidates: DataFrame, steps: int, order: list[str],
     spark = candidates.sparkSession
     step = 1.0 / steps if step is None else step
     size = grid_size(steps)
+    shape = shape or input_shape(candidates)
+    blocks, buckets = tile_layout(shape.rows, size, spark.sparkContext.defaultParallelism)
+    block_size = -(-size // blocks)
+    blocks = -(-size // block_size)
+
     rows = candidates.select(
         F.datediff("date", F.lit("1970-01-01").cast("date")).alias("day"),
         F.col("tims").cast("int").alias("tims"),
         (F.col("scored") > 0).cast("int").alias("hit"),
         *WEIGHTED, *order,
     )
-    per_group = rows.groupBy("day", "tims").agg(F.count("*").alias("n"))
-    shape = per_group.agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
-    total, largest = shape["rows"] or 0, shape["largest"] or 0
-    blocks, buckets = tile_layout(total, size, spark.sparkContext.defaultParallelism)
-    block_size = -(-size // blocks)
-    blocks = -(-size // block_size)
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
     def tiles(whole: DataFrame) -> DataFrame:
@@ -206,12 +227,13 @@ def evaluate_grid(candidates: DataFrame, steps: int, order: list[str],
         )
         return counts.groupBy("wid").agg(F.sum("correct").alias("correct"))
 
-    if largest <= max_group_rows:
+    if shape.largest <= max_group_rows:
         return tiles(rows)
 
     parted = split_hot(rows, ["day", "tims"], order, max_group_rows)
     hot = (
-        per_group.where(F.col("n") > max_group_rows).select("day", "tims")
+        rows.groupBy("day", "tims").agg(F.count("*").alias("n"))
+        .where(F.col("n") > max_group_rows).select("day", "tims")
     )
     whole = rows.join(hot, ["day", "tims"], "left_anti")
     # One number per row that follows the order inside the large groups.
@@ -262,8 +284,10 @@ def best_weights(results: DataFrame, tie: str = "first") -> DataFrame:
 def search(candidates: DataFrame, steps: int, order: list[str], tie: str = "first",
            step: float | None = None, **kw) -> DataFrame:
     """Best vector with its correct picks, the picks made and the slots."""
-    results = evaluate_grid(candidates, steps, order, step, **kw)
+    rows = stage(candidates, "search")  # read several times below
+    shape = input_shape(rows)
+    results = evaluate_grid(rows, steps, order, step, shape=shape, **kw)
     best = with_weights(best_weights(results, tie), steps, step)
-    picks = candidates.select("date", "tims").distinct().agg(F.count("*")).scalar()
-    slots = candidates.agg(F.countDistinct("date") * len(TIERS)).scalar()
-    return best.withColumn("picks", picks).withColumn("slots", slots)
+    return best.withColumn("picks", F.lit(shape.picks).cast("long")).withColumn(
+        "slots", F.lit(shape.dates * len(TIERS)).cast("long")
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tierpick.config import MAX_GROUP_ROWS
+from tierpick.session import stage
 
 
 def split_hot(df: DataFrame, keys: list[str], spread: list[str],
@@ -46,49 +47,30 @@ def bounded_lists(df: DataFrame, keys: list[str], order: list[str], item: Column
     )
 
 
-def _cut_points(df: DataFrame, order: list[str], buckets: int) -> list:
-    """Order values that cut the rows into about equal ranges.
-
-    From a fixed-size sample: the rows with the smallest hashes.
-    """
-    per_bucket = 20
-    sample = (
-        df.select(*order)
-        .orderBy(F.xxhash64(*order), *order)
-        .limit(buckets * per_bucket)
-        .orderBy(*order)
-        .collect()
-    )
-    step = max(1, len(sample) // buckets)
-    return sample[step::step]
+_ROW_BITS = 33  # monotonically_increasing_id: partition above, row in the partition below
 
 
 def number_rows(df: DataFrame, order: list[str], out: str = "id",
-                buckets: int | None = None) -> DataFrame:
+                partitions: int | None = None) -> DataFrame:
     """Number the rows 1..n in the given order without one task seeing them all.
 
-    Rows go to ranges of the order, are numbered inside their range, and the
-    sizes of the ranges before are added. ``order`` has to be a total order.
-    The input is read three times: hand in a table rather than a long plan.
+    Rows are sorted by range and written with their place in their range; the
+    sizes of the ranges before are then added. The written table fixes the
+    ranges, so a re-run task cannot number differently. ``order`` has to be a
+    total order.
     """
-    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _cut_points(df, order, buckets)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    bucket = F.lit(0)
-    if cuts:
-        points = F.array(*[
-            F.struct(*[F.lit(cut[c]).cast(types[c]).alias(c) for c in order]) for cut in cuts
-        ])
-        here = F.struct(*order)
-        bucket = F.size(F.filter(points, lambda point: point <= here))
-    placed = df.withColumn("_bucket", bucket)
-    sizes = placed.groupBy("_bucket").agg(F.count("*").alias("_size"))
+    spark = df.sparkSession
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    placed = stage(ranged.withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("_range", F.shiftright("_place", _ROW_BITS))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_size"))
     # As many rows as ranges.
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
+        "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
     )
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return placed.join(F.broadcast(offsets), "_bucket").select(
+    local = F.col("_place").bitwiseAND((1 << _ROW_BITS) - 1) + 1
+    return placed.join(F.broadcast(offsets), "_range").select(
         *[c for c in df.columns if c != out], (F.col("_offset") + local).cast("long").alias(out)
     )

@@ -29,4 +29,5 @@ def find_weights(extract: DataFrame, order: list[str], step_percent: float = 5,
 
 def replay_accuracy(extract: DataFrame, order: list[str], since=None, **kw) -> DataFrame:
     """Accuracy of fixed weights, overall and by tier."""
-    return picks.accuracy(picks.replay(training_rows(extract), order, since=since, **kw))
+    made = picks.replay(training_rows(extract), order, since=since, keep=["scored"], **kw)
+    return picks.accuracy(made)
