@@ -141,7 +141,7 @@ def _tile_counts(steps: int, step: float, block_size: int):
 def _part_winners(steps: int, step: float, block_size: int):
     """Best row of one part of a large group, for each vector of a block."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         block, day, tims, _ = key
         ids, vectors = _block_vectors(int(block), block_size, steps, step)
         frame = frame.sort_values("place", kind="stable")

@@ -1,11 +1,17 @@
 """Session helpers."""
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"tierpick-{application}-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors can read and write.
 
@@ -17,9 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="tierpick-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return _local_dir(spark.sparkContext.applicationId)
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
