@@ -133,9 +133,7 @@ def b3(spark, sf_dir):
         F.when(F.col("l_orderkey") % 4 != 0, F.col("scored")).alias("Scored"))
     tables.write_version(
         tables.history_rows(rows, ["date", "tims"]), store.history, _BEFORE)
-    outcomes = known.groupBy(F.trunc("date", "month").alias("month"), "date", "id").agg(
-        F.max("scored").alias("scored"))
-    outcomes.drop("month").write.parquet(store.archive)
+    known.groupBy("date", "id").agg(F.max("scored").alias("scored")).write.parquet(store.archive)
     metric = table(spark, sf_dir, "region").limit(1).select(
         F.lit("current_pick_accuracy").alias("id"), F.lit("2001-05-28").cast("date").alias("date"),
         F.lit(33.33).alias("value"), F.lit(500).cast("bigint").alias("correct"),

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from bindings.aggregates import all_picks
 from bindings.base import (
-    CAND, DATE_SQL, ORDER, ORDER_SQL, PICKED, STAT_SQL, TODAY, candidates, iso, query, six, table,
+    CAND, DATE_SQL, ORDER, ORDER_SQL, PICKED, STAT_SQL, TODAY, candidates, iso, query, six, stage,
+    table,
 )
 from bindings.joins import HISTORY_SQL, pick_history
 from bindings.projections import TEAM_ROWS, _NAME, _orders_as_games
@@ -124,17 +125,18 @@ LOG_SQL = """log AS (SELECT year(l_shipdate) AS season, CAST(l_shipdate AS DATE)
 
 
 def log_of(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").join(
-        table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    """Line items as a game log; counted per supplier and date before the team is joined."""
     goal = F.col("l_returnflag") == "R"
-    raw = rows.select(
-        F.year("l_shipdate").alias("season"), F.col("l_shipdate").cast("date").alias("date"),
-        F.col("l_suppkey").alias("player_id"), F.col("s_nationkey").alias("team_id"),
-        ((F.col("s_nationkey") + F.dayofmonth("l_shipdate")) % 25).alias("opponent_id"),
-        goal.cast("int").alias("goals"),
+    raw = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("player_id"), F.year("l_shipdate").alias("season"),
+        F.col("l_shipdate").cast("date").alias("date"), goal.cast("int").alias("goals"),
         (goal & (F.col("l_linestatus") == "O")).cast("int").alias("pp_goals"),
         (goal & (F.col("l_tax") > 0.07)).cast("int").alias("sh_goals"))
-    return features.game_log(raw)
+    counted = features.game_log(raw, keys=("player_id", "season", "date"))
+    team = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("player_id"), F.col("s_nationkey").alias("team_id"))
+    return counted.join(team, "player_id").withColumn(
+        "opponent_id", (F.col("team_id") + F.dayofmonth("date")) % 25)
 
 
 _SEASON = "PARTITION BY player_id, season ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -220,6 +222,6 @@ FROM log JOIN f ON log.team_id = f.team AND log.season = f.season AND log.date =
 JOIN a ON log.opponent_id = a.team AND log.season = a.season AND log.date = a.date
 JOIN s ON log.opponent_id = s.team AND log.season = s.season AND log.date = s.date""")
 def x9(spark, sf_dir):
-    made = features.feature_table(log_of(spark, sf_dir))
+    made = features.feature_table(stage(log_of(spark, sf_dir), "log"))
     return made.select(iso(), "player_id", *[
         F.round(c, 6).alias(c) for c in ("gpg", "five_gpg", "tgpg", "otga", "otshga")])

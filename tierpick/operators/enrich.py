@@ -71,10 +71,7 @@ def tag_tiers(players: DataFrame, lists: DataFrame, position: str | None = None)
     """
     tiers = lists.groupBy("id").agg(F.max("tier").alias("_tier"))
     if position:
-        last = (
-            players.join(tiers, "id", "left_semi")
-            .groupBy("id").agg(F.max(position).alias("_last"))
-        )
+        last = players.groupBy("id").agg(F.max(position).alias("_last"))
         tiers = tiers.join(last, "id")
     joined = players.join(tiers, "id", "left")
     hit = F.col("_tier").isNotNull()

@@ -33,13 +33,15 @@ def player_rates(log: DataFrame) -> DataFrame:
     """gpg, five_gpg, hgpg and hppg of every player before every game.
 
     hgpg and hppg cover the games of this season so far and all games of the
-    two seasons before. One shuffle, by player.
+    two seasons before. One shuffle and one sort, by player.
     """
     earlier = (
         Window.partitionBy("player_id").orderBy("season").rangeBetween(-SEASONS_BACK, -1)
     )
     season = _to_date("player_id")
-    recent = Window.partitionBy("player_id").orderBy("date").rowsBetween(-RECENT_GAMES, -1)
+    # Dates rise with seasons, so this order lets all windows share one sort.
+    by_date = Window.partitionBy("player_id").orderBy("season", "date")
+    recent = by_date.rowsBetween(-RECENT_GAMES, -1)
 
     def so_far(column):
         return F.coalesce(F.sum(column).over(earlier), F.lit(0)) + F.coalesce(
@@ -47,10 +49,11 @@ def player_rates(log: DataFrame) -> DataFrame:
         )
 
     games_so_far = F.count("*").over(earlier) + F.count("*").over(season)
-    return log.select(
+    # The window with the longest order comes first, so that its sort serves the others.
+    rated = log.withColumn("five_gpg", F.coalesce(F.avg("goals").over(recent), F.lit(0.0)))
+    return rated.select(
         "*",
         _rate(F.sum("goals").over(season), F.count("*").over(season)).alias("gpg"),
-        F.coalesce(F.avg("goals").over(recent), F.lit(0.0)).alias("five_gpg"),
         _rate(so_far("goals"), games_so_far).alias("hgpg"),
         _rate(so_far("pp_goals"), games_so_far).alias("hppg"),
     )
@@ -81,7 +84,10 @@ def goals_against(log: DataFrame) -> DataFrame:
 
 
 def feature_table(log: DataFrame) -> DataFrame:
-    """All rates of a player's game; missing team figures count as 0."""
+    """All rates of a player's game; missing team figures count as 0.
+
+    The log is read three times: hand in a table.
+    """
     rated = player_rates(log)
     rated = rated.join(goals_for(log), ["team_id", "season", "date"], "left")
     rated = rated.join(goals_against(log), ["opponent_id", "season", "date"], "left")

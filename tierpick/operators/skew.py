@@ -41,6 +41,8 @@ def bounded_lists(df: DataFrame, keys: list[str], order: list[str], item: Column
                   max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """One ordered list per group; larger groups give several lists, told apart by ``part``."""
     parts = split_hot(df.withColumn("_item", item), keys, order, max_rows)
+    # Else the grouping could take over the partitioning by keys of the join above.
+    parts = parts.repartition(*keys, "part")
     packed = F.sort_array(F.collect_list(F.struct(*order, "_item")))
     return parts.groupBy(*keys, "part").agg(
         F.transform(packed, lambda x: x.getField("_item")).alias(out)

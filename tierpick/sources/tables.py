@@ -159,13 +159,11 @@ def archive(df: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
     )
 
 
-def drop_dates(spark: SparkSession, path: str, dates: list) -> None:
-    """Remove whole dates of the archive."""
-    jvm = spark._jvm
-    for day in dates:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/date={day}")
-        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.delete(folder, True)
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders of a table."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def rewrite_dates(rows: DataFrame, dates: DataFrame, path: str) -> None:
@@ -177,7 +175,7 @@ def rewrite_dates(rows: DataFrame, dates: DataFrame, path: str) -> None:
     left = rows.select("date").distinct()
     emptied = dates.select("date").distinct().join(left, "date", "left_anti").collect()
     archive(rows, path)
-    drop_dates(rows.sparkSession, path, [r["date"] for r in emptied])
+    remove(rows.sparkSession, [f"{path}/date={r['date']}" for r in emptied])
 
 
 def read_archive(spark: SparkSession, path: str, date=None) -> DataFrame:

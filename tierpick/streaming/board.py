@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tierpick.config import POLL_INTERVAL
 from tierpick.operators.live import changes
-from tierpick.sources.tables import scan
+from tierpick.sources.tables import remove, scan
 
 
 def poll(spark: SparkSession, path: str, schema, fmt: str = "parquet", glob: str | None = None,
@@ -65,6 +65,9 @@ def change_stream(snapshots: DataFrame, out: str, checkpoint: str, key: str, tim
                 kept = spark.read.schema(fresh.schema).parquet(f"{out}/detail/epoch={epoch - 1}")
                 fresh = fresh.unionByName(kept.join(changed, key, "left_anti"))
             fresh.write.mode("overwrite").parquet(f"{out}/detail/epoch={epoch}")
+        # A repeated batch needs the state of the batch before, nothing older.
+        if epoch > 1:
+            remove(spark, [f"{out}/{part}/epoch={epoch - 2}" for part in ("state", "detail")])
 
     writer = snapshots.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     writer = (

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tierpick.operators.history import fill_outcomes
-from tierpick.sources.tables import archive, scan
+from tierpick.sources.tables import archive, remove, scan
 
 
 def _started(stream: DataFrame, body, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -28,6 +28,7 @@ def outcome_stream(outcomes: DataFrame, history_path: str, schema: str, today, c
         fill_outcomes(before, batch, today).write.mode("overwrite").parquet(
             f"{history_path}/epoch={epoch}"
         )
+        remove(batch.sparkSession, [f"{history_path}/epoch={epoch - 2}"])
 
     return _started(outcomes, each_batch, checkpoint, available_now)
 
