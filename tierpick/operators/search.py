@@ -26,6 +26,7 @@ _TILE_SCORES = 10**10  # scores of one tile, at most about
 _MAX_BLOCK = 1 << 20   # vectors of one tile, at most
 _CELLS = 1 << 16       # scores held at once, to stay in the processor cache
 _LONG = 48             # groups from this size on are searched row-wise
+_TOGETHER = 1024       # short groups walked together
 
 
 def search_input(df: DataFrame, order: list[str], bounds=BOUNDS) -> DataFrame:
@@ -38,14 +39,23 @@ def search_input(df: DataFrame, order: list[str], bounds=BOUNDS) -> DataFrame:
     return rows.where(finite)
 
 
-def scores(vectors: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """float32 scores, vectors x rows, added up in the fixed order of the features."""
-    total = vectors[:, 0, None] * rows[None, :, 0]
+def scores(vectors: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """float32 scores, vectors x rows, added up in the fixed order of the features.
+
+    ``columns`` holds one contiguous line per feature.
+    """
+    total = vectors[:, 0, None] * columns[0]
+    term = np.empty_like(total)
     for i in range(1, PARTS):
-        total += vectors[:, i, None] * rows[None, :, i]
+        np.multiply(vectors[:, i, None], columns[i], out=term)
+        total += term
     return total
 
 
+def _columns(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows.T)
+
+
 def _slices(n_vectors: int, n_rows: int):
     step = max(1, _CELLS // max(1, n_rows))
     for start in range(0, n_vectors, step):
@@ -62,28 +72,41 @@ def count_hits(vectors: np.ndarray, rows: np.ndarray, hit: np.ndarray, starts: n
     correct = np.zeros(len(vectors), dtype=np.int64)
     sizes = np.diff(np.append(starts, len(rows)))
     for start, size in zip(starts[sizes >= _LONG], sizes[sizes >= _LONG]):
-        group = slice(start, start + size)
+        columns, hits = _columns(rows[start : start + size]), hit[start : start + size]
         for part in _slices(len(vectors), size):
-            best = np.argmax(scores(vectors[part], rows[group]), axis=1)
-            correct[part] += hit[group][best]
+            correct[part] += hits[np.argmax(scores(vectors[part], columns), axis=1)]
     short = sizes < _LONG
     by_size = np.argsort(-sizes[short], kind="stable")
     first, length = starts[short][by_size], sizes[short][by_size]
-    # Walk all short groups together: their j-th rows against the best so far.
-    chunk = 1024
-    for at in range(0, len(first), chunk):
-        begin, count = first[at : at + chunk], length[at : at + chunk]
-        for part in _slices(len(vectors), len(begin)):
-            best = scores(vectors[part], rows[begin])
-            won = np.broadcast_to(hit[begin], best.shape).copy()
-            for j in range(1, int(count[0])):
-                live = int(np.searchsorted(-count, -j, side="left"))
-                index = begin[:live] + j
-                other = scores(vectors[part], rows[index])
-                better = other > best[:, :live]
-                np.copyto(best[:, :live], other, where=better)
-                np.copyto(won[:, :live], hit[index][None, :], where=better)
-            correct[part] += won.sum(axis=1, dtype=np.int64)
+    for at in range(0, len(first), _TOGETHER):
+        begin, count = first[at : at + _TOGETHER], length[at : at + _TOGETHER]
+        correct += _count_short(vectors, rows, hit, begin, count)
+    return correct
+
+
+def _count_short(vectors, rows, hit, begin, count) -> np.ndarray:
+    """Walk short groups together: their j-th rows against the best so far.
+
+    ``count`` falls, so the groups that still have a j-th row come first.
+    """
+    layers = []
+    for j in range(int(count[0])):
+        index = begin[: int(np.searchsorted(-count, -j, side="left"))] + j
+        layers.append((_columns(rows[index]), hit[index]))
+    correct = np.empty(len(vectors), dtype=np.int64)
+    for part in _slices(len(vectors), len(begin)):
+        block = vectors[part]
+        best = scores(block, layers[0][0])
+        won = np.repeat(layers[0][1][None, :], len(block), axis=0)
+        for columns, hits in layers[1:]:
+            live = len(hits)
+            other, ahead, held = scores(block, columns), best[:, :live], won[:, :live]
+            better = (other > ahead).view(np.int8)
+            np.maximum(ahead, other, out=ahead)
+            # Hits are 0 or 1: take over the bit where the score is better.
+            better &= held ^ hits
+            held ^= better
+        correct[part] = won.sum(axis=1, dtype=np.int64)
     return correct
 
 
@@ -145,12 +168,12 @@ def _part_winners(steps: int, step: float, block_size: int):
         block, day, tims, _ = key
         ids, vectors = _block_vectors(int(block), block_size, steps, step)
         frame = frame.sort_values("place", kind="stable")
-        rows = frame[list(WEIGHTED)].to_numpy(dtype=np.float32)
+        columns = _columns(frame[list(WEIGHTED)].to_numpy(dtype=np.float32))
         hit, place = frame["hit"].to_numpy(), frame["place"].to_numpy()
         top = np.empty(len(ids), dtype=np.float32)
         where = np.empty(len(ids), dtype=np.int64)
-        for piece in _slices(len(ids), len(rows)):
-            table = scores(vectors[piece], rows)
+        for piece in _slices(len(ids), len(frame)):
+            table = scores(vectors[piece], columns)
             where[piece] = np.argmax(table, axis=1)
             top[piece] = np.take_along_axis(table, where[piece][:, None], axis=1)[:, 0]
         return pd.DataFrame(
