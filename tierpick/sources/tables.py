@@ -151,7 +151,7 @@ def archive(df: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
 
     A large date is written by several tasks.
     """
-    parts = split_hot(df, ["date"], ["id"], rows_per_file)
+    parts = split_hot(df, ["date"], df.columns, rows_per_file)
     (
         parts.repartition("date", "part").drop("part")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
