@@ -112,7 +112,8 @@ _BEFORE = "2001-05-29"
 @query("b3_update_history", f"""WITH {SCORED}, picks AS (SELECT * FROM scored_rows WHERE tims BETWEEN 1 AND 3
     QUALIFY row_number() OVER (PARTITION BY date, tims ORDER BY stat DESC, {ORDER_SQL}) = 1),
   hist AS (SELECT date, id AS player_id, tims, CASE WHEN l_orderkey % 4 = 0 THEN NULL ELSE scored END AS Scored FROM picks
-    WHERE date < DATE '{_DAY}' AND date IN (SELECT DISTINCT date FROM picks WHERE date < DATE '{_DAY}' ORDER BY date DESC LIMIT 7)),
+    WHERE date < DATE '{_DAY}' AND (date IN (SELECT DISTINCT date FROM picks WHERE date < DATE '{_DAY}' ORDER BY date DESC LIMIT 7)
+      OR (SELECT count(*) FROM picks WHERE date = DATE '{_DAY}') < 3)),
   arch AS (SELECT date, id, max(scored) AS scored FROM cand GROUP BY 1, 2),
   after AS (SELECT hist.date, player_id, tims, CASE WHEN hist.date IN (SELECT h.date FROM hist h WHERE h.Scored IS NULL)
       THEN coalesce(arch.scored, hist.Scored) ELSE hist.Scored END AS Scored
