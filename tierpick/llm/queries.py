@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierpick.llm import dedup, jaccard, packing, sharding
+from tierpick.llm import decontam, dedup, jaccard, packing, sharding
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -44,6 +44,12 @@ def op7_exact_dedup(spark, sf_dir):
     return dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op8_benchmark_decontamination")
+def op8_benchmark_decontamination(spark, sf_dir):
+    return decontam.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op10_sharding")
 def op10_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"))

@@ -109,7 +109,7 @@ class Reader:
         np.cumsum(many, out=at[1:])
         out = np.zeros(at[-1], dtype=_U)
         if len(words) >= size:
-            rolled = np.zeros(len(words) - size + 1, dtype=_U)
+            rolled = np.full(len(words) - size + 1, size, dtype=_U)
             for k in range(size):
                 rolled += words[k:len(words) - size + 1 + k] * self.factors[k]
             keep = np.repeat(bounds[:-1] - at[:-1], full) + _places(at[:-1], full)
