@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierpick.llm import decontam, dedup, jaccard, packing, sharding
+from tierpick.llm import decontam, dedup, jaccard, packing, sharding, toxicity
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -50,6 +50,11 @@ def op8_benchmark_decontamination(spark, sf_dir):
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op10_sharding")
 def op10_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"))
