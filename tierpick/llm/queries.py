@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierpick.llm import decontam, dedup, jaccard, packing, sharding, toxicity
+from tierpick.llm import decontam, dedup, jaccard, packing, pii, sharding, toxicity
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -27,6 +27,11 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op2_pii")
+def op2_pii(spark, sf_dir):
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 @query("op5_ngram_jaccard_join")
 def op5_ngram_jaccard_join(spark, sf_dir):
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
