@@ -11,6 +11,9 @@ from tierpick.session import stage
 
 FLUSH = 1 << 21  # shingles that a task holds before it sends them on
 LOCALLY_HOT = 256  # texts of one flush from which a shingle counts as frequent
+BLOCK_BYTES = 8 << 20  # of shingles
+BLOCK_SETS = 512
+HEADS = 3  # of a list, with which all its sets are compared first
 FREQUENT = 1 << 40  # comes after all counts
 PARTS = 4  # similarity of 4 / 5 = 0.8
 WHOLE = 5
@@ -209,14 +212,15 @@ def _repeated(postings: DataFrame, buckets: int) -> DataFrame:
     return postings.groupBy("range").applyInArrow(run, _REPEATED)
 
 
-_PREFIXES = "set_id long, n long, hash long, place long, shingles binary"
+_PREFIXES = "set_id long, n long, hash long, place long, shingles binary, prefix binary"
 
 
 def _prefixes(repeated: DataFrame) -> DataFrame:
     """Prefix entries (hash, place) of the sets whose prefix holds repeated shingles.
 
     Rarest first, so those that occur once lead. One more row per set has all
-    its repeated shingles, which are all that it can share.
+    its repeated shingles, which are all that it can share, and its prefix
+    from the first repeated shingle on.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -231,7 +235,7 @@ def _prefixes(repeated: DataFrame) -> DataFrame:
         s, n, h = s[fresh], n[fresh], h[fresh]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         many = np.diff(np.append(first, len(s)))
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         for at, m in zip(first.tolist(), many.tolist()):
             size = int(n[at])
             alone = size - m
@@ -243,11 +247,12 @@ def _prefixes(repeated: DataFrame) -> DataFrame:
             out[0] += [key] * (entries + 1)
             out[1] += [size] * (entries + 1)
             out[2] += [*h[at:at + entries].view(np.int64).tolist(), None]
-            out[3] += [*range(alone, alone + entries), None]
+            out[3] += [*range(alone, alone + entries), alone]
             out[4] += [*[None] * entries, np.sort(h[at:at + m]).tobytes()]
+            out[5] += [*[None] * entries, h[at:at + entries].tobytes()]
         return pa.table([pa.array(c, t) for c, t in zip(
-            out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-            names=["set_id", "n", "hash", "place", "shingles"])
+            out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
+            names=["set_id", "n", "hash", "place", "shingles", "prefix"])
 
     return repeated.groupBy("bucket").applyInArrow(run, _PREFIXES)
 
@@ -262,20 +267,24 @@ def _most_in_common(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
             + _most_in_common(a[i:], b[j:], depth - 1))
 
 
+def _similar(x: np.ndarray, y: np.ndarray, na: int, nb: int) -> bool:
+    """Whether sets of na and nb shingles, whose repeated ones are given, are similar."""
+    if _most_in_common(x, y) < required(na, nb):
+        return False
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= 80 * (na + nb - both)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar, each compared once."""
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for na, nb, x, y in zip(*(batch.column(c).to_pylist()
-                                      for c in ("na", "nb", "_x", "_y"))):
-                x, y, need = np.frombuffer(x, _U), np.frombuffer(y, _U), required(na, nb)
-                both = 0
-                if _most_in_common(x, y) >= need:
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= 80 * (na + nb - both))
-            keep = pa.array(keep, pa.bool_())
+            keep = pa.array([
+                _similar(np.frombuffer(x, _U), np.frombuffer(y, _U), na, nb)
+                for na, nb, x, y in zip(*(batch.column(c).to_pylist()
+                                          for c in ("na", "nb", "_x", "_y")))], pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a").filter(keep), batch.column("b").filter(keep)],
                 names=["u", "v"])
@@ -286,15 +295,118 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         run, "u long, v long")
 
 
+def _paired(x: dict, y: dict) -> list:
+    """Columns of a pair, the smaller set (or of equal ones the smaller id) as a."""
+    first = (x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["set_id"] < y["set_id"]))
+    out = []
+    for name, short in (("set_id", ""), ("n", "n"), ("place", "p")):
+        out.append(F.when(first, x[name]).otherwise(y[name]).alias(f"{short}a"))
+        out.append(F.when(first, y[name]).otherwise(x[name]).alias(f"{short}b"))
+    return out
+
+
 def _likely(pairs: DataFrame) -> DataFrame:
-    """Each pair once, if its sizes and the places of its first common shingle allow."""
+    """Each pair once, if its sizes and the places of a common shingle allow.
+
+    Before the first common shingle nothing is shared, so the rest of either
+    set has to hold the required overlap. Similar sets pass at that shingle;
+    rows of further common shingles may fail without harm.
+    """
     need = F.ceil(F.lit(PARTS) * (F.col("na") + F.col("nb")) / (PARTS + WHOLE))
-    return (
-        pairs.where(WHOLE * F.col("na") >= PARTS * F.col("nb"))
-        .groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"),
-                               F.min("pa").alias("pa"), F.min("pb").alias("pb"))
-        .where(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
-    )
+    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return pairs.where(
+        (WHOLE * F.col("na") >= PARTS * F.col("nb")) & (rest >= need)
+    ).select("a", "b", "na", "nb").distinct()
+
+
+def _spokes(entries: DataFrame) -> DataFrame:
+    """Pairs of every set with a few heads of its lists, the same ones in most lists."""
+    head = [F.min(F.struct(F.xxhash64("set_id", F.lit(k)).alias("turn"), "set_id", "n", "place"))
+            .alias(f"head{k}") for k in range(HEADS)]
+    heads = entries.groupBy("hash").agg(F.count("*").alias("_m"), *head).where("_m > 1").select(
+        "hash", F.explode(F.array_distinct(F.array(*[f"head{k}" for k in range(HEADS)])))
+        .alias("head"))
+    both = entries.join(heads, "hash").where(F.col("set_id") != F.col("head.set_id"))
+    one = {c: F.col(c) for c in ("set_id", "n", "place")}
+    return _likely(both.select(*_paired(one, {c: F.col(f"head.{c}") for c in one})))
+
+
+def _across(found: DataFrame, components_so_far: DataFrame) -> DataFrame:
+    """Links between sets that share a prefix shingle but no component so far.
+
+    Sets that such shared shingles connect form a field. A field is cut into
+    blocks, and a task gets two blocks: the sets travel once per pair of
+    blocks, and the pairs of sets exist only inside the task.
+    """
+    sets = found.where(F.col("shingles").isNotNull()).join(
+        components_so_far.withColumnRenamed("node", "set_id"), "set_id", "left"
+    ).withColumn("component", F.coalesce("component", "set_id"))
+    lists = found.where(F.col("hash").isNotNull()).select("hash", "set_id").join(
+        sets.select("set_id", "component"), "set_id")
+    mixed = lists.groupBy("hash").agg(
+        F.min("component").alias("_low"), F.max("component").alias("_high"),
+        F.min("set_id").alias("v")).where("_low != _high").select("hash", "v")
+    fields = components(lists.join(mixed, "hash").select(
+        F.col("set_id").alias("u"), "v").distinct())
+    fields = fields.select(F.col("node").alias("set_id"), F.col("component").alias("field"))
+    inside = sets.select("set_id", "n", "place", "shingles", "prefix", "component").join(
+        fields, "set_id")
+    sizes = inside.groupBy("field").agg(F.greatest(
+        F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_SETS)
+    ).alias("blocks"))
+    placed = inside.join(sizes, "field").withColumn(
+        "block", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
+    sent = placed.withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    sent = sent.select(
+        "field", F.least("block", "other").alias("low"), F.greatest("block", "other")
+        .alias("high"), "block", "set_id", "n", "place", "component", "shingles", "prefix")
+    return sent.groupBy("field", "low", "high").applyInArrow(_compare_blocks, "u long, v long")
+
+
+def _compare_blocks(table: pa.Table) -> pa.Table:
+    """Links between components, found by the prefixes of the sets of two blocks."""
+    ids, n, place, component, block = (
+        table.column(c).to_numpy() for c in ("set_id", "n", "place", "component", "block"))
+    shingles = [np.frombuffer(x, _U) for x in table.column("shingles").to_pylist()]
+    prefixes = [np.frombuffer(x, _U) for x in table.column("prefix").to_pylist()]
+    two = len(np.unique(block)) > 1
+    owner = np.repeat(np.arange(len(ids)), [len(x) for x in prefixes])
+    places = np.concatenate([p + np.arange(len(x)) for p, x in zip(place, prefixes)])
+    hashes = np.concatenate(prefixes)
+    order = np.argsort(hashes, kind="stable")
+    owner, places, hashes = owner[order], places[order], hashes[order]
+    edges = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1], [True]]))
+    likely = np.zeros((len(ids), len(ids)), dtype=bool)
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        own = owner[lo:hi]
+        if hi - lo < 2 or (component[own] == component[own[0]]).all():
+            continue
+        rest, size = n[own] - places[lo:hi], n[own]
+        need = -(-PARTS * (size[:, None] + size[None, :]) // (PARTS + WHOLE))
+        fits = ((np.minimum(rest[:, None], rest[None, :]) >= need)
+                & (WHOLE * size[:, None] >= PARTS * size[None, :])
+                & (WHOLE * size[None, :] >= PARTS * size[:, None]))
+        likely[np.ix_(own, own)] |= fits
+    likely &= component[:, None] != component[None, :]
+    if two:  # pairs within a block are another task's
+        likely &= block[:, None] != block[None, :]
+    root = {int(c): int(c) for c in component}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    links: list[tuple] = []
+    for i, j in zip(*np.nonzero(np.triu(likely, 1))):
+        a, b = top(int(component[i])), top(int(component[j]))
+        if a != b and _similar(shingles[i], shingles[j], int(n[i]), int(n[j])):
+            root[max(a, b)] = min(a, b)
+            links.append((int(ids[i]), int(ids[j])))
+    return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)],
+                    names=["u", "v"])
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -307,10 +419,11 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     1. Shingles are counted over all distinct sets in ranges of their hash.
     2. Each set's shingles are ordered rarest first; its prefix is kept.
-    3. Sets in a prefix list are compared with the list's smallest set; the
+    3. Sets in a prefix list are compared with a few heads of the list; the
        links give first components.
     4. Pairs of a list that are still in different components are compared,
-       those that length, places and suffix bounds leave, each pair once.
+       those that length, places and suffix bounds leave, inside tasks that
+       hold two blocks of sets each; every pair of sets meets in one task.
 
     Step 3 spares a group of near copies its square; no link between different
     components is lost. Equal sets have one id and are never compared.
@@ -327,35 +440,8 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sets = found.where(F.col("shingles").isNotNull()).select("set_id", "shingles")
     entries = found.where(F.col("hash").isNotNull()).select("set_id", "n", "hash", "place")
 
-    heads = entries.groupBy("hash").agg(
-        F.min(F.struct("n", "set_id", "place")).alias("_head"), F.count("*").alias("_m")
-    ).where("_m > 1").select(
-        "hash", F.col("_head.set_id").alias("a"), F.col("_head.n").alias("na"),
-        F.col("_head.place").alias("pa"))
-    spokes = entries.join(heads, "hash").where(F.col("set_id") != F.col("a")).select(
-        "a", F.col("set_id").alias("b"), "na", F.col("n").alias("nb"), "pa",
-        F.col("place").alias("pb"))
-    links = stage(_verified(_likely(spokes), sets), "star-links")
-    first = components(links)
-
-    labelled = entries.join(first.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-        "set_id", "n", "hash", "place", F.coalesce("component", "set_id").alias("component"))
-    open_lists = labelled.groupBy("hash").agg(
-        F.min("component").alias("_low"), F.max("component").alias("_high")
-    ).where("_low != _high").select("hash")
-    rest = labelled.join(open_lists, "hash", "left_semi")
-    left = rest.select("hash", F.col("set_id").alias("a"), F.col("n").alias("na"),
-                       F.col("place").alias("pa"), F.col("component").alias("ca"))
-    right = rest.select("hash", F.col("set_id").alias("b"), F.col("n").alias("nb"),
-                        F.col("place").alias("pb"), F.col("component").alias("cb"))
-    need = F.ceil(F.lit(PARTS) * (F.col("na") + F.col("nb")) / (PARTS + WHOLE))
-    after = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    pairs = left.join(right, "hash").where(
-        ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-        & (F.col("ca") != F.col("cb")) & (WHOLE * F.col("na") >= PARTS * F.col("nb"))
-        & (F.least("pa", "pb") + after >= need))
-    more = _verified(_likely(pairs), sets)
-    final = components(links.unionByName(more))
+    links = stage(_verified(_spokes(entries), sets), "star-links")
+    final = components(links.unionByName(_across(found, components(links))))
 
     groups = sized.join(final.withColumnRenamed("node", "set_id"), "set_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "set_id").alias("_group"))
