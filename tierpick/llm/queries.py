@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierpick.llm import decontam, dedup, jaccard, packing, pii, secrets, sharding, toxicity
+from tierpick.llm import decontam, dedup, html, jaccard, packing, pii, secrets, sharding, toxicity
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -32,6 +32,11 @@ def op2_pii(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+@query("op3_html_extraction")
+def op3_html_extraction(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op4_secret_scans")
 def op4_secret_scans(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
