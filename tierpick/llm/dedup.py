@@ -80,12 +80,17 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         out(warm, F.col("_whole_keep"), F.col("_whole_size"), first & (F.col("_rank") == 1)))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without exact copies; of equal texts the largest doc_id stays.
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents without exact copies, all columns; of equal texts the largest id stays.
 
-    Rows with one id and one text are copies too: they come back once.
+    Rows equal in id and text are copies as well: one of them stays.
     """
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    # A null id is kept only as the last of its text, see exact_groups.
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return found
+    def keyed(frame, sha):
+        # A null id is a key like any other.
+        return frame.withColumns({"_key": F.coalesce(F.col(doc_id).cast("string"), F.lit("")),
+                                  "_sha": sha})
+
+    kept = keyed(exact_groups(docs, doc_id, text).where("kept"), F.col("text_sha256"))
+    rows = keyed(docs, F.sha2(normalised(F.col(text)).cast("binary"), 256))
+    return rows.join(kept.select("_key", "_sha"), ["_key", "_sha"], "left_semi").dropDuplicates(
+        ["_key", "_sha"]).select(*docs.columns)

@@ -451,8 +451,15 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of similar ones: the one with the least id."""
-    kept = similar_groups(docs).where("doc_id <=> component_id").select(
-        F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group of similar ones, all columns: the one with the least id.
+
+    Rows that share an id stay or go together; rows without id stay if no row
+    of their group has one.
+    """
+    def keyed(frame):
+        return frame.withColumn("_key", F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+
+    kept = keyed(similar_groups(docs, doc_id, text).where("doc_id <=> component_id")
+                 .withColumnRenamed("doc_id", doc_id))
+    return keyed(docs).join(kept.select("_key"), "_key", "left_semi").select(*docs.columns)
