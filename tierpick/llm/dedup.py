@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from tierpick.session import stage
 
 MOST_HOT = 20_000  # no more texts than this can be split
+START = 48  # characters of a text that splitters hold
 LEAST_HOT = 100  # rows of one text below which it is never split
 
 
@@ -23,9 +24,9 @@ def normalised(text: Column) -> Column:
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Normalised texts are range-partitioned at sampled splitters and sorted
-    (spilling to disk if need be), so equal texts are neighbours; whole texts
-    are compared, hashes never decide. The row with the largest id stays.
+    Normalised texts are range-partitioned at sampled splitters (by their
+    start, then a hash) and sorted, spilling to disk if need be, so equal texts
+    are neighbours; whole texts are compared, hashes alone never decide. The row with the largest id stays.
 
     A text with more than max(100, rows / 20,000) copies is cut into parts by
     a hash of the id before it is shuffled. Each part sends one row with its
@@ -44,12 +45,14 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
     # At most MOST_HOT rows, as each stands for more than rows / MOST_HOT.
     salted = rows.join(F.broadcast(hot), "_hash", "left").select(
-        "_id", "_norm", F.col("_parts").isNotNull().alias("_hot"),
+        "_id", "_norm", "_hash", F.col("_parts").isNotNull().alias("_hot"),
         F.when(F.col("_parts").isNull(), 0)
         .otherwise(F.pmod(F.xxhash64(F.col("_id")), F.col("_parts"))).alias("_salt"))
-    # The range partitioning by text and part also serves the windows: one shuffle, one sort.
-    ranged = salted.repartitionByRange("_norm", "_salt")
-    group = Window.partitionBy("_norm", "_salt")
+    # Splitters are sampled from starts and hashes of texts, so that the sample stays small. The
+    # range partitioning also serves the windows, which compare whole texts: one shuffle, one sort.
+    salted = salted.withColumn("_start", F.substring("_norm", 1, START))
+    ranged = salted.repartitionByRange("_start", "_hash", "_salt")
+    group = Window.partitionBy("_start", "_hash", "_salt", "_norm")
     place = F.row_number().over(group.orderBy(F.col("_id").desc_nulls_last()))
     sized = ranged.select(
         "*", place.alias("_place"), F.max("_id").over(group).alias("_keep"),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierpick.llm import decontam, dedup, html, jaccard, packing, pii, secrets, sharding, toxicity
+from tierpick.llm import decontam, dedup, html, jaccard, packing, pii, preferences, secrets, sharding, toxicity
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -47,6 +47,48 @@ def op5_ngram_jaccard_join(spark, sf_dir):
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op6_chat_formatting", """
+WITH r AS (
+  SELECT conv_id AS pair_id, role, text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT pair_id, max(place) AS last FROM r WHERE role = 'assistant' GROUP BY pair_id),
+s AS (
+  SELECT pair_id, coalesce(max(CASE WHEN role = 'assistant' THEN place END), max(place)) AS place
+  FROM r JOIN l USING (pair_id) WHERE place < last GROUP BY pair_id),
+o AS (SELECT pair_id, r.text AS other FROM s JOIN r USING (pair_id, place)),
+j AS (
+  SELECT pair_id, place, role, CASE WHEN place = last THEN other ELSE text END AS text
+  FROM r JOIN l USING (pair_id) JOIN o USING (pair_id) WHERE place <= last),
+b AS (
+  SELECT coalesce(r.pair_id, j.pair_id) AS pair_id, coalesce(r.place, j.place) AS place,
+    r.pair_id IS NOT NULL AS has_c, j.pair_id IS NOT NULL AS has_r, r.role AS role_c,
+    r.text AS text_c, j.role AS role_r, j.text AS text_r,
+    r.pair_id IS NOT NULL AND j.pair_id IS NOT NULL AND r.role IS NOT DISTINCT FROM j.role
+      AND r.text IS NOT DISTINCT FROM j.text AS same
+  FROM r FULL JOIN j ON r.pair_id = j.pair_id AND r.place = j.place),
+p AS (SELECT *, min(CASE WHEN NOT same THEN place END) OVER (PARTITION BY pair_id) AS split FROM b),
+q AS (
+  SELECT pair_id, CASE WHEN split IS NULL OR place < split THEN 'prompt' ELSE 'chosen' END AS part,
+    place, role_c AS role, text_c AS text FROM p WHERE has_c
+  UNION ALL
+  SELECT pair_id, 'rejected', place, role_r, text_r FROM p WHERE has_r AND place >= split),
+t AS (
+  SELECT *, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS rendered
+  FROM q),
+u AS (
+  SELECT *, CAST(coalesce(sum(length(rendered)) OVER (
+    PARTITION BY pair_id, part ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    AS BIGINT) AS start
+  FROM t)
+SELECT pair_id, part, place, role, rendered, start,
+  CASE WHEN part <> 'prompt' AND role = 'assistant' THEN start + length(role) + 5 END AS learn_start,
+  CASE WHEN part <> 'prompt' AND role = 'assistant' THEN start + length(rendered) END AS learn_end
+FROM u""")
+def op6_chat_formatting(spark, sf_dir):
+    return preferences.formatted(table(spark, sf_dir, "conversations"))
+
+
 @query("op7_exact_dedup", """
 WITH t AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
