@@ -12,6 +12,7 @@ import pyarrow as pa
 
 SHINGLE = 5
 CHUNK_BYTES = 1 << 20
+SLICE_ROWS = 1000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -124,18 +125,19 @@ class Reader:
         """Rows of a text column in pieces: first row, bytes, offsets of the texts."""
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
-        column = column.fill_null("").cast(pa.large_string())
-        offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[
-            column.offset:column.offset + len(column) + 1]
-        buffer = column.buffers()[2]
-        data = np.frombuffer(buffer, dtype=np.uint8) if buffer else np.zeros(0, np.uint8)
-        row = 0
-        while row < len(column):
-            stop = int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1
-            stop = min(max(stop, row + 1), len(column))
-            yield (row, data[offsets[row]:offsets[stop]],
-                   offsets[row:stop + 1] - offsets[row])
-            row = stop
+        for first in range(0, len(column), SLICE_ROWS):
+            part = column.slice(first, SLICE_ROWS).fill_null("").cast(pa.large_string())
+            offsets = np.frombuffer(part.buffers()[1], dtype=np.int64)[
+                part.offset:part.offset + len(part) + 1]
+            buffer = part.buffers()[2]
+            data = np.frombuffer(buffer, dtype=np.uint8) if buffer else np.zeros(0, np.uint8)
+            row = 0
+            while row < len(part):
+                stop = int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1
+                stop = min(max(stop, row + 1), len(part))
+                yield (first + row, data[offsets[row]:offsets[stop]],
+                       offsets[row:stop + 1] - offsets[row])
+                row = stop
 
 
 def _places(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
