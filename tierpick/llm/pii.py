@@ -165,7 +165,7 @@ def train(found: DataFrame):
         enough = np.array([w[margin >= c - 1e-9].sum() for c in centres]) >= LEAST_EVIDENCE
         good = centres[(rates >= PRECISION) & enough]
         if len(good):
-            out[kind] = (model, float(good.min()))
+            out[kind] = (model, float(good.min()) - 1e-6)  # a centre is a rounded mean
     return out
 
 
