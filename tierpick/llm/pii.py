@@ -142,12 +142,12 @@ def train(found: DataFrame):
         found.select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("part"),
                      F.explode("base").alias("c"))
         .groupBy("part", "c.kind", *[f"c.{f}" for f in FEATURES])
-        .agg(F.count("*").alias("n"), F.count_if("c.valid").alias("right")).collect()
+        .agg(F.count("*").alias("n"), F.count_if("c.valid").alias("n_valid")).collect()
     )
     out = {}
     for kind in range(len(KINDS)):
         own = sorted((r for r in rows if r["kind"] == kind), key=tuple)
-        table = np.array([[r["part"], *[r[f] for f in FEATURES], r["n"], r["right"]]
+        table = np.array([[r["part"], *[r[f] for f in FEATURES], r["n"], r["n_valid"]]
                           for r in own], dtype=np.int64).reshape(-1, len(FEATURES) + 3)
         bins = np.repeat(table[:, 1:-2], 2, axis=0)
         label = np.tile([1, 0], len(table))
