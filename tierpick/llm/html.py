@@ -356,11 +356,17 @@ def labelled(pages: list[str], seed: int = 11) -> Iterator[tuple[list, list]]:
 
 def train(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> ChainModel:
     """Fit on at most TRAINING_PAGES pages of the table; all pages are then extracted."""
-    rows = (
+    ids = (
         pages.where(F.col(html).isNotNull() & (F.char_length(html) <= LONGEST_TRAINING_PAGE))
-        .select(F.col(page_id).alias("_id"), F.col(html).alias("_html"))
-        .orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_html")).limit(TRAINING_PAGES).collect()
+        .select(F.col(page_id).alias("_id"), F.xxhash64(page_id).alias("_turn"))
+        .orderBy("_turn", "_id").limit(TRAINING_PAGES).collect()
     )
+    # Only the picked pages come to the driver; repeated ids may add rows.
+    rows = pages.where(
+        F.col(page_id).isin([r["_id"] for r in ids]) & F.col(html).isNotNull()
+        & (F.char_length(html) <= LONGEST_TRAINING_PAGE)
+    ).select(F.col(page_id).alias("_id"), F.col(html).alias("_html")).limit(4 * TRAINING_PAGES)
+    rows = sorted(rows.collect(), key=lambda r: (r["_id"], r["_html"]))
     return ChainModel().fit(list(labelled([r["_html"] for r in rows])))
 
 
