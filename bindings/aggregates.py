@@ -13,7 +13,7 @@ from bindings.joins import (
 from bindings.projections import _orders_as_games
 from tierpick.config import WEIGHTED
 from tierpick.operators import backfill, bets, grid, history, live, picks, schedule, scoring, search
-from tierpick.operators.skew import bounded_lists
+from tierpick.operators.skew import bounded_lists, placed
 
 
 def scored(spark, sf_dir):
@@ -156,12 +156,10 @@ FINAL_SQL = """final AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, o_or
 
 
 @query("a11_scorers_per_date", f"""WITH {FINAL_SQL} SELECT {DATE_SQL},
-  string_agg(player_id, ',' ORDER BY game_id, player_id) AS players, 0 AS part FROM final GROUP BY date""")
+  row_number() OVER (PARTITION BY date ORDER BY game_id, player_id) - 1 AS place, player_id FROM final""")
 def a11(spark, sf_dir):
     routed = backfill.classify_games(score_feed_games(spark, sf_dir))
-    lists = backfill.scorer_lists(backfill.scorers(routed))
-    text = F.array_join(F.col("players").cast("array<string>"), ",")
-    return lists.select(iso(), text.alias("players"), "part")
+    return backfill.scorer_lists(backfill.scorers(routed)).select(iso(), "place", "player_id")
 
 
 def event_goals(spark, sf_dir):
@@ -187,14 +185,12 @@ def a12(spark, sf_dir):
         "game_id", "name", "goal", "time", "team_abbr")
 
 
-@query("a13_scorers_by_team", f"""WITH {GOALS_SQL} SELECT game_id, team_abbr, 0 AS part,
-  string_agg(name || ':' || goal || ':' || time, ' ' ORDER BY pos, name) AS scorers FROM per_scorer GROUP BY 1, 2""")
+@query("a13_scorers_by_team", f"""WITH {GOALS_SQL} SELECT game_id, team_abbr,
+  row_number() OVER (PARTITION BY game_id, team_abbr ORDER BY pos, name) - 1 AS place, name, goal, time FROM per_scorer""")
 def a13(spark, sf_dir):
-    lists = live.scorers_by_team(live.goals_per_scorer(event_goals(spark, sf_dir)))
-    text = F.transform("scorers", lambda x: F.concat_ws(
-        ":", x.getField("name"), x.getField("goal").cast("string"),
-        x.getField("time").cast("string")))
-    return lists.select("game_id", "team_abbr", "part", F.array_join(text, " ").alias("scorers"))
+    found = live.goals_per_scorer(event_goals(spark, sf_dir))
+    return live.scorers_by_team(found).select(
+        "game_id", "team_abbr", "place", "name", "goal", "time")
 
 
 @query("a14_bet_totals", """SELECT count(*) AS bets, round(sum(bet), 4) AS total_bet, round(sum(payout), 4) AS total_payout
@@ -213,13 +209,12 @@ def a14(spark, sf_dir):
         F.round("total_payout", 4).alias("total_payout"))
 
 
-@query("a15_names_by_team", """SELECT s_nationkey AS team_name, 0 AS part,
-  string_agg(s_name, ',' ORDER BY s_suppkey) AS names FROM supplier WHERE s_acctbal > 1000 GROUP BY 1""")
+@query("a15_names_by_team", """SELECT s_nationkey AS team_name, s_name AS name,
+  row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS place FROM supplier WHERE s_acctbal > 1000""")
 def a15(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 1000).select(
         "s_suppkey", F.col("s_nationkey").alias("team_name"), F.col("s_name").alias("name"))
-    lists = bets.names_by_team(rows, ["s_suppkey"])
-    return lists.select("team_name", "part", F.array_join("names", ",").alias("names"))
+    return bets.names_by_team(rows, ["s_suppkey"])
 
 
 _BEST = ", ".join(f"round(CAST(w{i} AS DOUBLE), 6) AS {w}" for i, w in enumerate(WEIGHTED))
@@ -247,18 +242,19 @@ def a16_last(spark, sf_dir):
     return _found(spark, sf_dir, "last")
 
 
-@query("a17_team_rosters", """SELECT n_nationkey AS team_id, n_name AS team_name, n_regionkey % 2 = 0 AS home, 0 AS part,
-  string_agg(c_custkey || ':' || c_name, ',' ORDER BY c_custkey) AS players
-FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""")
+@query("a17_team_rosters", """SELECT n_nationkey AS team_id, n_name AS team_name, n_regionkey % 2 = 0 AS home,
+  row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) - 1 AS place, c_custkey AS id, c_name AS name
+FROM nation JOIN customer ON c_nationkey = n_nationkey""")
 def a17(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("team_id"), F.col("n_name").alias("team_name"),
         (F.col("n_regionkey") % 2 == 0).alias("home"))
-    players = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "team_id")
-    item = F.concat_ws(":", F.col("c_custkey").cast("string"), "c_name")
-    rosters = bounded_lists(players, ["team_id"], ["c_custkey"], item, "players")
+    players = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("team_id"), F.col("c_custkey").alias("id"),
+        F.col("c_name").alias("name"))
+    rosters = placed(players, ["team_id"], ["id"])
     return nation.join(rosters, "team_id").select(
-        "team_id", "team_name", "home", "part", F.array_join("players", ",").alias("players"))
+        "team_id", "team_name", "home", "place", "id", "name")
 
 
 _BOUND_SQL = ", ".join(

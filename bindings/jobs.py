@@ -278,7 +278,7 @@ _SHOWN = f"""WITH g AS (SELECT user_id AS game_id, arg_max({_STATUS}, ROW(ts, ev
       AND status IN ('LIVE', 'CRIT') AS recent FROM live JOIN per ON live.game_id = per.game_id),
   lines AS (SELECT game_id, string_agg(name || ' (' || goal || ')', ', ' ORDER BY pos, name) FILTER (WHERE side = 'home') AS home,
     string_agg(name || ' (' || goal || ')', ', ' ORDER BY pos, name) FILTER (WHERE side = 'away') AS away, bool_or(recent) AS recent FROM shown GROUP BY 1)
-SELECT live.game_id, 0 AS part, CASE WHEN status = 'FINAL' THEN 'FINAL' ELSE CASE WHEN pause THEN 'Intermission ' ELSE 'Period ' END || period || ' | 01:00' END
+SELECT live.game_id, CASE WHEN status = 'FINAL' THEN 'FINAL' ELSE CASE WHEN pause THEN 'Intermission ' ELSE 'Period ' END || period || ' | 01:00' END
   || ' | H' || live.game_id || ' @ A' || live.game_id || chr(10) || '1 - 2' || chr(10) || '  home: ' || coalesce(home, '') || chr(10)
   || '  away: ' || coalesce(away, '') AS text, coalesce(recent, false) AS has_recent FROM live LEFT JOIN lines ON live.game_id = lines.game_id"""
 

@@ -59,8 +59,7 @@ def j1b(spark, sf_dir):
         nation.select(
             F.col("n_nationkey").alias("team_id"), F.col("n_name").alias("team_name"),
             (F.col("n_regionkey") % 2 == 0).alias("home")), "team_id")
-    flat = nested.select(F.explode("players").alias("_p")).select("_p.*")
-    return enrich.join_teams(flat, nested.drop("players", "part").distinct())
+    return enrich.nest_players(nested)
 
 
 @query("j2_injury_join", f"""WITH hurt AS (SELECT lower(c_name) AS key, max_by(o_orderstatus, o_orderkey) AS status

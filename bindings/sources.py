@@ -160,20 +160,29 @@ def s5(spark, sf_dir):
     return feeds.read_stories(spark, land(story_feed(spark, sf_dir), "stories")).drop("pos")
 
 
-@query("s6_injury_feed", """SELECT c_custkey AS pos, c_name AS player, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS injury,
+@query("s6_injury_feed", """WITH feed AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos FROM customer)
+SELECT pos, c_name AS player, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS injury,
   CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE 'Out' END AS status
-FROM customer WHERE c_custkey % 7 <> 0 AND (c_custkey % 3 <> 0 OR c_custkey % 2 <> 0)""")
+FROM feed WHERE c_custkey % 7 <> 0 AND (c_custkey % 3 <> 0 OR c_custkey % 2 <> 0)""")
 def s6(spark, sf_dir):
+    return feeds.read_injuries(spark, injury_documents(spark, sf_dir))
+
+
+def injury_documents(spark, sf_dir):
+    """Customers as injury lists, a document with one array per nation; one is unreadable."""
     n = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer").select(
-        n.alias("pos"), F.when(n % 7 != 0, F.col("c_name")).otherwise("").alias("player"),
+    entry = F.struct(
+        F.when(n % 7 != 0, F.col("c_name")).otherwise("").alias("player"),
         F.when(n % 3 != 0, F.col("c_mktsegment")).otherwise("").alias("injury"),
         F.when(n % 2 != 0, "Out").alias("status"))
+    pages = bounded_lists(
+        table(spark, sf_dir, "customer"), ["c_nationkey"], ["c_custkey"], entry, "list")
     path = run_dir(spark, "injuries")
-    rows.write.json(path)
-    # An unreadable record is skipped.
-    rows.limit(1).select(F.lit("{not json").alias("value")).write.mode("append").text(path)
-    return feeds.read_injuries(spark, path)
+    pages.select(F.to_json("list").alias("value"), F.concat_ws("-", "c_nationkey", "part").alias(
+        "page")).write.partitionBy("page").text(path)
+    broken = spark.createDataFrame([("[{not json",)], "value string")
+    broken.write.text(f"{path}/page=broken")
+    return path
 
 
 @query("s6_injury_feed_absent", "SELECT c_custkey AS id, 'HEALTHY' AS injury_status, '' AS injury_desc FROM customer")

@@ -12,7 +12,7 @@ from tierpick.session import run_dir
 from tierpick.sources import tables
 from tierpick.streaming import board, outcomes
 
-_DAYS = (0, 8, 15, 22, 40)  # the events arrive in four parts
+_DAYS = (None, 8, 15, 22, None)  # the events arrive in four parts, open at both ends
 
 _SNAPSHOT = "event_id, user_id, ts, CAST(floor(value) AS INTEGER) % 3 AS away_score, CAST(value > 50 AS INTEGER) AS home_score"
 
@@ -31,7 +31,9 @@ def _arrivals(spark, sf_dir, consume):
     landing = run_dir(spark, "landing")
     day = F.datediff("ts", F.lit("2024-01-01"))
     for low, high in zip(_DAYS, _DAYS[1:]):
-        rows.where((day >= low) & (day < high)).write.mode("append").parquet(landing)
+        part = rows if low is None else rows.where(day >= low)
+        part = part if high is None else part.where(day < high)
+        part.write.mode("append").parquet(landing)
         stream = board.poll(spark, landing, rows.schema)
         consume(stream).awaitTermination()
     return rows.schema

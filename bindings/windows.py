@@ -116,7 +116,7 @@ def u3(spark, sf_dir):
 
 # --- feature windows --------------------------------------------------------
 
-LOG_SQL = """log AS (SELECT year(l_shipdate) AS season, CAST(l_shipdate AS DATE) AS date, l_suppkey AS player_id,
+LOG_SQL = """log AS (SELECT year(l_shipdate) || '' || (year(l_shipdate) + 1) AS season, CAST(l_shipdate AS DATE) AS date, l_suppkey AS player_id,
     s_nationkey AS team_id, (s_nationkey + day(l_shipdate)) % 25 AS opponent_id,
     sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS goals,
     sum(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 1 ELSE 0 END) AS pp_goals,
@@ -124,11 +124,16 @@ LOG_SQL = """log AS (SELECT year(l_shipdate) AS season, CAST(l_shipdate AS DATE)
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"""
 
 
+def season_of(year):
+    """Season key as the feed has it, such as 20242025."""
+    return F.concat(year.cast("string"), (year + 1).cast("string"))
+
+
 def log_of(spark, sf_dir):
     """Line items as a game log; counted per supplier and date before the team is joined."""
     goal = F.col("l_returnflag") == "R"
     raw = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("player_id"), F.year("l_shipdate").alias("season"),
+        F.col("l_suppkey").alias("player_id"), season_of(F.year("l_shipdate")).alias("season"),
         F.col("l_shipdate").cast("date").alias("date"), goal.cast("int").alias("goals"),
         (goal & (F.col("l_linestatus") == "O")).cast("int").alias("pp_goals"),
         (goal & (F.col("l_tax") > 0.07)).cast("int").alias("sh_goals"))
@@ -147,7 +152,7 @@ _FIVE = "coalesce(avg(goals) OVER (PARTITION BY player_id ORDER BY date ROWS BET
 def _long_rate(column):
     """Games of the two seasons before and of this season so far, by self-join."""
     return f"""coalesce((SELECT sum(o.{column}) / count(*) FROM log o WHERE o.player_id = log.player_id
-      AND o.season >= log.season - 2 AND o.date < log.date), 0)"""
+      AND substr(o.season, 1, 4)::INT >= substr(log.season, 1, 4)::INT - 2 AND o.date < log.date), 0)"""
 
 
 def _team_rate(key, column):
@@ -225,3 +230,26 @@ def x9(spark, sf_dir):
     made = features.feature_table(stage(log_of(spark, sf_dir), "log"))
     return made.select(iso(), "player_id", *[
         F.round(c, 6).alias(c) for c in ("gpg", "five_gpg", "tgpg", "otga", "otshga")])
+
+
+_AHEAD, _AHEAD_SEASON = "2000-01-01", "19992000"
+
+
+@query("x10_rates_as_of", f"""WITH {LOG_SQL}, past AS (SELECT * FROM log WHERE date < DATE '{_AHEAD}'), p AS (SELECT s_suppkey AS player_id, s_nationkey AS team, (s_nationkey + 10) % 25 AS opponent FROM supplier),
+  five AS (SELECT player_id, avg(goals) AS g FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY date DESC) AS n FROM past) WHERE n <= 5 GROUP BY 1),
+  own AS (SELECT player_id, avg(goals) FILTER (WHERE season = '{_AHEAD_SEASON}') AS gpg, avg(goals) FILTER (WHERE season >= '19971998') AS hgpg,
+    avg(pp_goals) FILTER (WHERE season >= '19971998') AS hppg FROM past GROUP BY 1),
+  made AS (SELECT team_id AS team, avg(g) AS r FROM (SELECT team_id, date, sum(goals) AS g FROM past WHERE season = '{_AHEAD_SEASON}' GROUP BY ALL) GROUP BY 1),
+  let AS (SELECT opponent_id AS team, avg(g) AS r, avg(h) AS s FROM (SELECT opponent_id, date, sum(goals) AS g, sum(sh_goals) AS h FROM past
+    WHERE season = '{_AHEAD_SEASON}' GROUP BY ALL) GROUP BY 1)
+SELECT p.player_id, round(coalesce(gpg, 0), 6) AS gpg, round(coalesce(hgpg, 0), 6) AS hgpg, round(coalesce(hppg, 0), 6) AS hppg,
+  round(coalesce(five.g, 0), 6) AS five_gpg, round(coalesce(made.r, 0), 6) AS tgpg, round(coalesce(let.r, 0), 6) AS otga, round(coalesce(let.s, 0), 6) AS otshga
+FROM p LEFT JOIN own USING (player_id) LEFT JOIN five USING (player_id) LEFT JOIN made ON p.team = made.team LEFT JOIN let ON p.opponent = let.team""")
+def x10(spark, sf_dir):
+    scheduled = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("player_id"), F.lit(_AHEAD_SEASON).alias("season"),
+        F.lit(_AHEAD).cast("date").alias("date"), F.col("s_nationkey").alias("team_id"),
+        ((F.col("s_nationkey") + 10) % 25).alias("opponent_id"))
+    made = features.rates_as_of(stage(log_of(spark, sf_dir), "log"), scheduled)
+    return made.select("player_id", *[F.round(c, 6).alias(c) for c in (
+        "gpg", "hgpg", "hppg", "five_gpg", "tgpg", "otga", "otshga")])

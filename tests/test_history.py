@@ -109,9 +109,9 @@ def test_back_fill_gate_and_labels(rows):
     labels = backfill.label(kept, backfill.scorers(routed), routed)
     assert {(str(r["date"]), r["id"]): r["scored"] for r in labels.collect()} == {
         ("2025-01-01", 1): 1, ("2025-01-01", 4): 0, ("2025-01-02", 2): 1}
-    lists = {str(r["date"]): r["players"] for r in
+    lists = {(str(r["date"]), r["place"], r["player_id"]) for r in
              backfill.scorer_lists(backfill.scorers(routed)).collect()}
-    assert lists == {"2025-01-01": [1, 2], "2025-01-02": [2]}
+    assert lists == {("2025-01-01", 0, 1), ("2025-01-01", 1, 2), ("2025-01-02", 0, 2)}
 
 
 def test_one_open_game_stops_all(rows):

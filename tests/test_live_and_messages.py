@@ -113,6 +113,6 @@ def test_bets(rows):
         "DraftKings Probability": "40.00", "DraftKings Odds": "+150", "Bet Size": "6.67",
         "Payout Amount": "16.68", "Scored": ""}
     assert bets.totals(found.limit(0)).first()["total_bet"] == 0.0
-    lists = {r["team_name"]: r["names"] for r in bets.names_by_team(found, ["id"]).collect()}
-    assert lists == {"T": ["a"], "U": ["c"]}
+    lists = {tuple(r) for r in bets.names_by_team(found, ["id"]).collect()}
+    assert lists == {("T", 0, "a"), ("U", 0, "c")}
     assert bets.not_ignored(players, ("a",)).count() == 2

@@ -15,28 +15,46 @@ _SINGLE = {
     "ð": "d", "Ð": "D", "ı": "i", "ħ": "h", "Ħ": "H", "ŧ": "t", "Ŧ": "T",
 }
 _MULTI = {
-    "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th",
+    "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "…": "...",
 }
+_PUNCTUATION = {
+    "‘": "'", "’": "'", "‚": ",", "‛": "'", "“": '"', "”": '"', "„": '"', "′": "'", "″": '"',
+    "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-", "−": "-", "\u00a0": " ",
+}
+_ACCENTED = (range(0x00C0, 0x0250), range(0x1E00, 0x1F00))
 
 
 def accent_table() -> tuple[str, str]:
-    """Accented Latin letters and their plain letters, position by position."""
-    pairs = dict(_SINGLE)
-    for code in range(0x00C0, 0x0250):
-        letter = chr(code)
-        plain = unicodedata.normalize("NFKD", letter)[0]
-        if plain.isascii() and plain.isalpha():
+    """Accented Latin letters and punctuation with their plain form, position by position."""
+    pairs = _SINGLE | _PUNCTUATION
+    for letter, plain in _decomposed():
+        if len(plain) == 1 and letter not in _MULTI:
             pairs.setdefault(letter, plain)
-    for letter in _MULTI:
-        pairs.pop(letter, None)
     return "".join(pairs), "".join(pairs.values())
 
 
+def _decomposed():
+    """Latin letters with the ASCII letters that they decompose into."""
+    for code in (c for codes in _ACCENTED for c in codes):
+        parts = unicodedata.normalize("NFKD", chr(code))
+        plain = "".join(p for p in parts if p.isascii() and p.isalpha())
+        if plain:
+            yield chr(code), plain
+
+
+def multi_letters() -> dict[str, str]:
+    """Letters that become several."""
+    return {letter: plain for letter, plain in _decomposed() if len(plain) > 1} | _MULTI
+
+
 def fold_ascii(text: Column) -> Column:
-    """Replace accented Latin letters by plain ones, inside the JVM."""
+    """Replace accented Latin letters and typographic punctuation, inside the JVM.
+
+    Accents that stand as characters of their own go.
+    """
     accented, plain = accent_table()
-    folded = F.translate(text, accented, plain)
-    for letter, plain_letters in _MULTI.items():
+    folded = F.regexp_replace(F.translate(text, accented, plain), r"\p{Mn}+", "")
+    for letter, plain_letters in multi_letters().items():
         folded = F.replace(folded, F.lit(letter), F.lit(plain_letters))
     return folded
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierpick.operators.skew import bounded_lists
+from tierpick.operators.skew import placed
 
 
 def classify_games(games: DataFrame) -> DataFrame:
@@ -40,8 +40,8 @@ def scorers(games: DataFrame) -> DataFrame:
 
 
 def scorer_lists(found: DataFrame) -> DataFrame:
-    """Scorers of a date as a list, game after game."""
-    return bounded_lists(found, ["date"], ["game_id", "player_id"], F.col("player_id"), "players")
+    """Scorers of a date, numbered game after game."""
+    return placed(found, ["date"], ["game_id", "player_id"]).select("date", "place", "player_id")
 
 
 def label(archive: DataFrame, found: DataFrame, dates: DataFrame) -> DataFrame:

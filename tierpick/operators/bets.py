@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tierpick.config import BANKROLL, IGNORED_NAMES, MINIMUM_BET
 from tierpick.functions.odds import bet_size, implied_percent, payout
 from tierpick.functions.text import fixed
-from tierpick.operators.skew import bounded_lists
+from tierpick.operators.skew import placed
 
 
 def price(players: DataFrame, bankroll: float = BANKROLL, corrected: bool = False) -> DataFrame:
@@ -34,8 +34,8 @@ def totals(bets: DataFrame) -> DataFrame:
 
 
 def names_by_team(bets: DataFrame, order: list[str]) -> DataFrame:
-    """Names per team in input order."""
-    return bounded_lists(bets, ["team_name"], order, F.col("name"), "names")
+    """Names per team, numbered in input order."""
+    return placed(bets, ["team_name"], order).select("team_name", "place", "name")
 
 
 def ledger_rows(bets: DataFrame, today) -> DataFrame:

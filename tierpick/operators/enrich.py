@@ -23,14 +23,16 @@ def players_without_team(players: DataFrame, teams: DataFrame) -> DataFrame:
     return players.join(teams.select("team_id"), "team_id", "left_anti")
 
 
-def join_teams(players: DataFrame, teams: DataFrame, position: str | None = None) -> DataFrame:
+def join_teams(players: DataFrame, teams: DataFrame, position: str | None = None,
+               keep: tuple[str, ...] = ()) -> DataFrame:
     """Player columns then team columns; team columns win where both have one.
 
     A player whose team is missing fails the job. With ``position`` the last
-    row of a repeated team counts.
+    row of a repeated team counts. ``keep`` names key columns of the team that
+    stay.
     """
     unique = last_by(teams, "team_id", position).drop(position) if position else teams
-    team_columns = [c for c in unique.columns if c not in _TEAM_ONLY]
+    team_columns = [c for c in unique.columns if c not in _TEAM_ONLY or c in keep]
     side = unique.select(F.col("team_id").alias("_team_id"), F.struct(*team_columns).alias("_t"))
     own = [c for c in players.columns if c not in _PLAYER_ONLY and c not in team_columns]
     joined = players.join(side, players["team_id"] == side["_team_id"], "left")
@@ -42,9 +44,12 @@ def join_teams(players: DataFrame, teams: DataFrame, position: str | None = None
 
 
 def nest_players(players: DataFrame) -> DataFrame:
-    """Teams with a ``players`` array -> one row per player, joined with its team."""
+    """Teams with a ``players`` array -> one row per player, joined with its team.
+
+    A roster may come in parts; a team counts once.
+    """
     flat = players.select(F.explode("players").alias("_p")).select("_p.*")
-    return join_teams(flat, players.drop("players"))
+    return join_teams(flat, players.drop("players", "part").dropDuplicates(["team_id"]))
 
 
 def merge_injuries(players: DataFrame, injuries: DataFrame, position: str = "pos") -> DataFrame:

@@ -18,6 +18,11 @@ def game_log(rows: DataFrame, keys=("season", "date", "player_id", "team_id", "o
     return rows.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in counts])
 
 
+def first_year(season: Column) -> Column:
+    """Year in which a season begins: of 20242025 or of 2024 it is 2024."""
+    return F.substring(season.cast("string"), 1, 4).cast("int")
+
+
 def _rate(total: Column, games: Column) -> Column:
     return F.coalesce(F.try_divide(total, games), F.lit(0.0))
 
@@ -36,11 +41,11 @@ def player_rates(log: DataFrame) -> DataFrame:
     two seasons before. One shuffle and one sort, by player.
     """
     earlier = (
-        Window.partitionBy("player_id").orderBy("season").rangeBetween(-SEASONS_BACK, -1)
+        Window.partitionBy("player_id").orderBy("_year").rangeBetween(-SEASONS_BACK, -1)
     )
     season = _to_date("player_id")
     # Dates rise with seasons, so this order lets all windows share one sort.
-    by_date = Window.partitionBy("player_id").orderBy("season", "date")
+    by_date = Window.partitionBy("player_id").orderBy("_year", "date")
     recent = by_date.rowsBetween(-RECENT_GAMES, -1)
 
     def so_far(column):
@@ -48,15 +53,15 @@ def player_rates(log: DataFrame) -> DataFrame:
             F.sum(column).over(season), F.lit(0)
         )
 
-    games_so_far = F.count("*").over(earlier) + F.count("*").over(season)
+    games_so_far = F.count("goals").over(earlier) + F.count("goals").over(season)
     # The window with the longest order comes first, so that its sort serves the others.
-    rated = log.withColumn("five_gpg", F.coalesce(F.avg("goals").over(recent), F.lit(0.0)))
+    rated = log.withColumn("_year", first_year(F.col("season"))).withColumn("five_gpg", F.coalesce(F.avg("goals").over(recent), F.lit(0.0)))
     return rated.select(
         "*",
-        _rate(F.sum("goals").over(season), F.count("*").over(season)).alias("gpg"),
+        _rate(F.sum("goals").over(season), F.count("goals").over(season)).alias("gpg"),
         _rate(so_far("goals"), games_so_far).alias("hgpg"),
         _rate(so_far("pp_goals"), games_so_far).alias("hppg"),
-    )
+    ).drop("_year")
 
 
 def team_rates(log: DataFrame, team: str, measures: dict[str, str]) -> DataFrame:
@@ -68,7 +73,7 @@ def team_rates(log: DataFrame, team: str, measures: dict[str, str]) -> DataFrame
     return daily.select(
         team, "season", "date",
         *[
-            _rate(F.sum(f"_{c}").over(before), F.count("*").over(before)).alias(rate)
+            _rate(F.sum(f"_{c}").over(before), F.count(f"_{c}").over(before)).alias(rate)
             for rate, c in measures.items()
         ],
     )
@@ -92,3 +97,19 @@ def feature_table(log: DataFrame) -> DataFrame:
     rated = rated.join(goals_for(log), ["team_id", "season", "date"], "left")
     rated = rated.join(goals_against(log), ["opponent_id", "season", "date"], "left")
     return rated.fillna(0.0, ["tgpg", "otga", "otshga"])
+
+
+def rates_as_of(log: DataFrame, scheduled: DataFrame) -> DataFrame:
+    """All rates of rostered players before games that are still to be played.
+
+    ``scheduled`` has season, date, player_id, team_id and opponent_id, one date
+    per player. Its rows join the log without counts, which the windows then
+    neither add nor count; they come back with the rates as of their date. The
+    log is read several times: hand in a table.
+    """
+    counts = ("goals", "pp_goals", "sh_goals")
+    ahead = scheduled.select(
+        *[F.col(c).cast(log.schema[c].dataType).alias(c) if c not in counts
+          else F.lit(None).cast("long").alias(c) for c in log.columns])
+    made = feature_table(log.unionByName(ahead))
+    return made.where(F.col("goals").isNull()).drop(*counts)

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from tierpick.config import LIVE_STATES, RECENT_GOAL_SECONDS
 from tierpick.functions.clock import goal_period
 from tierpick.functions.text import scorer_text
-from tierpick.operators.skew import bounded_lists
+from tierpick.operators.skew import placed
 
 
 def live_only(games: DataFrame) -> DataFrame:
@@ -25,10 +25,10 @@ def goals_per_scorer(goals: DataFrame) -> DataFrame:
     return counted.select("game_id", "name", "goal", "_first.*")
 
 
-def scorers_by_team(scorers: DataFrame, **kw) -> DataFrame:
-    """Scorers of a (game, team) as a list in the order of their first goals."""
-    item = F.struct("name", "time", "goal", "full_name")
-    return bounded_lists(scorers, ["game_id", "team_abbr"], ["pos", "name"], item, "scorers", **kw)
+def scorers_by_team(scorers: DataFrame) -> DataFrame:
+    """Scorers of a (game, team), numbered in the order of their first goals."""
+    return placed(scorers, ["game_id", "team_abbr"], ["pos", "name"]).select(
+        "game_id", "team_abbr", "place", "name", "time", "goal", "full_name")
 
 
 def watch_flag(scorers: DataFrame, watchlist: DataFrame) -> DataFrame:
@@ -81,13 +81,12 @@ def board_scorers(games: DataFrame, scorers: DataFrame, watchlist: DataFrame) ->
 def overview(games: DataFrame, board: DataFrame) -> DataFrame:
     """Header, score and scorer lines of each live game, and whether a goal is recent.
 
-    A side with more scorers than fit in one list gives several rows (``part``).
+    The text of a side names the scorers of one game.
     """
-    lines = bounded_lists(
-        board.where(F.col("name").isNotNull()), ["game_id", "side"], ["pos", "name"],
-        F.col("text"), "texts",
-    )
-    per_game = lines.groupBy("game_id", "part").agg(
+    named = F.sort_array(F.collect_list(F.struct("pos", "name", "text")))
+    lines = board.where(F.col("name").isNotNull()).groupBy("game_id", "side").agg(
+        F.transform(named, lambda s: s["text"]).alias("texts"))
+    per_game = lines.groupBy("game_id").agg(
         F.max(F.when(F.col("side") == "home", F.array_join("texts", ", "))).alias("home_text"),
         F.max(F.when(F.col("side") == "away", F.array_join("texts", ", "))).alias("away_text"),
     )
@@ -109,7 +108,7 @@ def overview(games: DataFrame, board: DataFrame) -> DataFrame:
         return F.concat(F.lit("  "), F.col(f"{side}_abbr"), F.lit(": "), text)
 
     return joined.select(
-        "game_id", F.coalesce("part", F.lit(0)).alias("part"),
+        "game_id",
         F.concat_ws(
             "\n", header,
             F.concat_ws(" - ", F.col("home_score").cast("string"), F.col("away_score").cast("string")),
@@ -133,9 +132,12 @@ def changes(snapshots: DataFrame, key: str, time: list[str], values: list[str],
     # One row per key and slice.
     over_spans = Window.partitionBy(key).orderBy("_span")
     before = ends.select(
-        key, "_span", F.lag("_end").over(over_spans).alias("_carried")
+        F.col(key).alias("_key"), F.col("_span").alias("_slice"),
+        F.lag("_end").over(over_spans).alias("_carried")
     )
     inside = Window.partitionBy(key, "_span").orderBy(*time)
-    joined = cut.withColumn("_inside", F.lag(state).over(inside)).join(before, [key, "_span"])
+    # Null keys and slices are values like others.
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_span").eqNullSafe(F.col("_slice"))
+    joined = cut.withColumn("_inside", F.lag(state).over(inside)).join(before, same)
     previous = F.coalesce("_inside", "_carried")
     return joined.where(previous.isNull() | ~previous.eqNullSafe(state)).select(*snapshots.columns)

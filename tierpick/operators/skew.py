@@ -39,7 +39,10 @@ def split_hot(df: DataFrame, keys: list[str], spread: list[str],
 
 def bounded_lists(df: DataFrame, keys: list[str], order: list[str], item: Column, out: str,
                   max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """One ordered list per group; larger groups give several lists, told apart by ``part``."""
+    """Documents of bounded size: one ordered list per group, several (``part``) for larger ones.
+
+    For feeds that deliver in pages. Operators number rows with ``placed`` instead.
+    """
     parts = split_hot(df.withColumn("_item", item), keys, order, max_rows)
     # Else the grouping could take over the partitioning by keys of the join above.
     parts = parts.repartition(*keys, "part")
@@ -76,3 +79,20 @@ def number_rows(df: DataFrame, order: list[str], out: str = "id",
     return placed.join(F.broadcast(offsets), "_range").select(
         *[c for c in df.columns if c != out], (F.col("_offset") + local).cast("long").alias(out)
     )
+
+
+def placed(df: DataFrame, keys: list[str], order: list[str], out: str = "place") -> DataFrame:
+    """Number the rows of each key 0.. in the given order, however many it has.
+
+    The rows of a key are numbered through a range-sorted table; no task and no
+    list holds a whole key.
+    """
+    numbered = number_rows(df, [*keys, *order], out="_number")
+    first = numbered.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+        F.min("_number").alias("_first"))
+    match = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"_{k}"))
+        match = same if match is None else match & same
+    return numbered.join(first, match).select(
+        *df.columns, (F.col("_number") - F.col("_first")).alias(out))

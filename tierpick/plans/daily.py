@@ -22,6 +22,7 @@ class Feeds:
     players: DataFrame    # feeds.roster_players, with gpg, hgpg, five_gpg, hppg
     injuries: DataFrame   # feeds.injury_rows, with pos
     tiers: DataFrame      # feeds.tier_entries
+    games: DataFrame | None = None  # feeds.score_games of past dates, for their outcomes
 
 
 @dataclass
@@ -38,11 +39,34 @@ class Store:
 
 def candidates(landed: Feeds, bounds=BOUNDS, weights=WEIGHTS) -> DataFrame:
     """Players with team, score, injury status and tier."""
-    joined = enrich.join_teams(landed.players, landed.teams)
+    position = "team_no" if "team_no" in landed.teams.columns else None
+    joined = enrich.join_teams(landed.players, landed.teams, position, keep=("team_abbr",))
     scored = predict(joined, bounds, weights)
     return enrich.tag_tiers(enrich.merge_injuries(scored, landed.injuries), landed.tiers)
 
 
+def read_feeds(spark: SparkSession, landing: str, team_rates: DataFrame,
+               player_rates: DataFrame, **kw) -> Feeds:
+    """The feeds of a day from their folders below ``landing``.
+
+    Folders: schedule, rosters, injuries, tiers, scores. Teams get their own
+    scoring rate (team_id, tgpg) and what their opponent allows (otga, otshga);
+    players get their rates by id. A player without rates has scored nothing.
+    """
+    teams = feeds.team_rows(feeds.read_schedule(spark, f"{landing}/schedule", **kw))
+    teams = teams.join(team_rates.select("team_id", "tgpg"), "team_id", "left").fillna(0.0, ["tgpg"])
+    teams = enrich.opponent_columns(
+        teams, team_rates.select("team_id", "otga", "otshga"), ["otga", "otshga"])
+    rates = ["gpg", "hgpg", "five_gpg", "hppg"]
+    players = feeds.read_rosters(spark, f"{landing}/rosters", **kw).drop("roster_no").join(
+        player_rates.select("id", *rates), "id", "left").fillna(0.0, rates)
+    players = players.join(teams.select("team_id").distinct(), "team_id", "left_semi")
+    return Feeds(
+        teams, players, feeds.read_injuries(spark, f"{landing}/injuries"),
+        feeds.read_tiers(spark, f"{landing}/tiers", **kw),
+        feeds.read_scores(spark, f"{landing}/scores", optional=True, **kw))
+
+
 def update_history(spark: SparkSession, store: Store, players: DataFrame, today, yesterday,
                    order: list[str]) -> None:
     """Add today's picks, fill late outcomes, then update the metric of yesterday."""
@@ -69,12 +93,16 @@ def daily_run(spark: SparkSession, store: Store, landed: Feeds, today, yesterday
     board = tables.read_board(spark, store.board)
     status = run_status(board, today, last_game).first()["status"]
     if status == "first_run":
+        if landed.games is not None:
+            run_backfill(spark, store, landed.games, yesterday)
         archived = candidates(landed).select(
             "*", F.lit(today).cast("date").alias("date"), F.lit(None).cast("int").alias("scored")
         )
         tables.archive(archived, store.archive)
         # From here on the archived day is the input.
-        players = tables.read_archive(spark, store.archive, today).drop("date", "scored")
+        # A day without players gives an empty board.
+        players = tables.read_archive(
+            spark, store.archive, today, schema=archived.schema).drop("date", "scored")
         update_history(spark, store, players, today, yesterday, order)
         tables.publish_board(players, today, order, store.board)
     elif status == "normal_run":
@@ -86,7 +114,7 @@ def daily_run(spark: SparkSession, store: Store, landed: Feeds, today, yesterday
 
 def run_backfill(spark: SparkSession, store: Store, games: DataFrame, yesterday) -> None:
     """Label the dates without outcomes, unless one of their games is not done."""
-    archive = tables.read_archive(spark, store.archive)
+    archive = tables.read_archive(spark, store.archive, schema=schemas.ARCHIVE)
     dates = backfill.past_dates(backfill.dates_without_outcome(archive), yesterday)
     routed = backfill.classify_games(games).join(dates, "date", "left_semi")
     open_gate = backfill.gate(routed)

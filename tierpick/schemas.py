@@ -58,3 +58,6 @@ HISTORY = (
     "Scored int"
 )
 METRIC = "id string, date date, value double, correct bigint, total bigint"
+
+# What labelling needs of the archive.
+ARCHIVE = "date date, id bigint, team_abbr string, scored int"

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 from pyspark.sql.utils import AnalysisException
 
 from tierpick import schemas
@@ -22,7 +23,6 @@ def read_feed(spark: SparkSession, path: str, schema: str, multiline: bool = Fal
         raise
 
 
-
 def schedule_games(feed: DataFrame, keys=()) -> DataFrame:
     """Games of the first day of the schedule."""
     day = feed.select(*keys, F.posexplode(F.col("gameWeek").getItem(0).getField("games")).alias(
@@ -179,9 +179,19 @@ def read_scores(spark, path, **kw):
 
 
 def read_injuries(spark, path, **kw):
-    """Injury list; an absent or unreadable feed has no rows."""
-    feed = read_feed(spark, path, f"pos bigint, {schemas.INJURIES}", optional=True, **kw)
-    return injury_rows(feed)
+    """Injury list, a JSON array per document, with ``pos`` in it.
+
+    An absent feed has no rows, nor has an unreadable document.
+    """
+    try:
+        documents = spark.read.option("wholetext", True).text(path, **kw)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        documents = spark.createDataFrame([], "value string")
+    entries = F.from_json("value", ArrayType(StructType.fromDDL(schemas.INJURIES)))
+    listed = documents.select(F.posexplode(entries).alias("pos", "_e"))
+    return injury_rows(listed.select(F.col("pos").cast("bigint").alias("pos"), "_e.*"))
 
 
 def read_tiers(spark, path, **kw):

@@ -2,15 +2,17 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 from pyspark.sql.utils import AnalysisException
 
 from tierpick import schemas
 from tierpick.config import TRAINING_FEATURES
 from tierpick.operators.bets import unbooked
 from tierpick.operators.skew import number_rows, split_hot
+from tierpick.session import stage
 
 _NOT_NUMERIC = ("date", "name")
-_HIDDEN_ON_BOARD = ("home", "hppg", "otshga", "Scored", "position")
+_HIDDEN_ON_BOARD = ("team_abbr", "home", "hppg", "otshga", "Scored", "position")
 _HIDDEN_IN_HISTORY = ("home", "hppg", "otshga")
 
 
@@ -59,16 +61,11 @@ def land_extract(bodies: DataFrame, schema: str, column: str = "entries") -> Dat
     def unpack(cells: pd.Series) -> pd.Series:
         return cells.map(lambda raw: gzip.decompress(raw).decode("utf-8"))
 
-    parsed = F.from_json(unpack(F.unbase64(column)), f"array<struct<{_as_struct(schema)}>>")
+    rows = ArrayType(StructType.fromDDL(schema))
+    parsed = F.from_json(unpack(F.unbase64(column)), rows)
     return bodies.select(F.explode(parsed).alias("_e")).select("_e.*")
 
 
-def _as_struct(ddl: str) -> str:
-    return ", ".join(
-        f"{name}: {kind}" for name, kind in (part.strip().split(" ", 1) for part in ddl.split(","))
-    )
-
-
 def align_fields(older: DataFrame, newest: DataFrame) -> DataFrame:
     """Rows of both with the fields of the newest; what a row lacks is null."""
     known = set(older.columns)
@@ -108,6 +105,8 @@ def board_rows(players: DataFrame, today, order: list[str]) -> DataFrame:
     if "player_id" not in players.columns:
         players = players.withColumnRenamed("id", "player_id")
         order = ["player_id" if c == "id" else c for c in order]
+    elif "id" in players.columns:
+        players = players.withColumn("player_id", F.coalesce("player_id", "id"))
     dated = players.withColumn("date", F.lit(today).cast("date"))
     return number_rows(dated, order).drop(*_HIDDEN_ON_BOARD)
 
@@ -151,6 +150,7 @@ def archive(df: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
 
     A large date is written by several tasks.
     """
+    df = stage(df, "archived")  # counted and written: its joins run once
     parts = split_hot(df, ["date"], df.columns, rows_per_file)
     (
         parts.repartition("date", "part").drop("part")
@@ -178,7 +178,10 @@ def rewrite_dates(rows: DataFrame, dates: DataFrame, path: str) -> None:
     remove(rows.sparkSession, [f"{path}/date={r['date']}" for r in emptied])
 
 
-def read_archive(spark: SparkSession, path: str, date=None) -> DataFrame:
-    """All rows of the archive, or those of one date (partition pruned)."""
-    table = spark.read.parquet(path)
+def read_archive(spark: SparkSession, path: str, date=None, schema=None) -> DataFrame:
+    """All rows of the archive, or those of one date (partition pruned).
+
+    With a schema an archive that isn't there yet is empty.
+    """
+    table = scan(spark, path, schema=schema)
     return table if date is None else table.where(F.col("date") == F.lit(date).cast("date"))

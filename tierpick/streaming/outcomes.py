@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tierpick.operators.history import fill_outcomes
-from tierpick.sources.tables import archive, remove, scan
+from tierpick.session import stage
+from tierpick.sources.tables import archive, read_archive, remove, scan
 
 
 def _started(stream: DataFrame, body, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -41,12 +42,19 @@ def latest_epoch(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def archive_stream(candidates: DataFrame, path: str, checkpoint: str,
                    available_now: bool = False) -> StreamingQuery:
-    """Archive candidates by date; a date that comes again replaces itself.
+    """Archive candidates by date and id; what comes again replaces itself.
 
-    A micro-batch has to hold whole dates, as a daily landed file does.
+    A date may come in several micro-batches: its other candidates stay. The
+    dates that a batch touches are staged with it, as they are rewritten.
     """
 
     def each_batch(batch: DataFrame, epoch: int) -> None:
-        archive(batch, path)
+        batch = stage(batch, "arrived")
+        known = read_archive(batch.sparkSession, path, schema=batch.schema)
+        keys = batch.select("date", F.col("id").alias("_id")).distinct()
+        rest = known.join(batch.select("date").distinct(), "date", "left_semi").join(
+            keys, (known["date"] == keys["date"]) & known["id"].eqNullSafe(keys["_id"]),
+            "left_anti")
+        archive(stage(batch.unionByName(rest.select(*batch.columns)), "dates"), path)
 
     return _started(candidates, each_batch, checkpoint, available_now)
