@@ -434,10 +434,11 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ignored.
     """
     spark = docs.sparkSession
-    # Several per task, so that tasks are even and no group is a task's whole share.
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Several ranges per task, so that tasks are even and no group is a task's whole share.
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = 4 * buckets
     sized = stage(shingle_sets(docs, doc_id, text), "shingle-sets")
-    found = stage(_prefixes(_repeated(_postings(docs, text, ranges), ranges)), "prefixes")
+    found = stage(_prefixes(_repeated(_postings(docs, text, ranges), buckets)), "prefixes")
     sets = found.where(F.col("shingles").isNotNull()).select("set_id", "shingles")
     entries = found.where(F.col("hash").isNotNull()).select("set_id", "n", "hash", "place")
 
