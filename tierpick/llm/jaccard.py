@@ -349,13 +349,13 @@ def _across(found: DataFrame, components_so_far: DataFrame) -> DataFrame:
     fields = components(lists.join(mixed, "hash").select(
         F.col("set_id").alias("u"), "v").distinct())
     fields = fields.select(F.col("node").alias("set_id"), F.col("component").alias("field"))
-    inside = sets.select("set_id", "n", "place", "shingles", "prefix", "component").join(
-        fields, "set_id")
-    sizes = inside.groupBy("field").agg(F.greatest(
-        F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_SETS)
-    ).alias("blocks"))
-    placed = inside.join(sizes, "field").withColumn(
-        "block", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
+    # The blocks of a field are found on rows without shingles.
+    small = fields.join(sets.select("set_id", F.octet_length("shingles").alias("_bytes")), "set_id")
+    sizes = small.groupBy("field").agg(F.greatest(
+        F.ceil(F.sum("_bytes") / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_SETS)).alias("blocks"))
+    placed = fields.join(sizes, "field").join(
+        sets.select("set_id", "n", "place", "shingles", "prefix", "component"), "set_id"
+    ).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
     sent = placed.withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
     sent = sent.select(
