@@ -118,7 +118,7 @@ def a7(spark, sf_dir):
 
 @query("a8_distinct_dates", f"WITH {CAND} SELECT count(DISTINCT date) AS dates FROM cand WHERE tims > 0")
 def a8(spark, sf_dir):
-    return scoring.labelled(candidates(spark, sf_dir)).agg(F.countDistinct("date").alias("dates"))
+    return scoring.labelled_dates(candidates(spark, sf_dir))
 
 
 @query("a9_distinct_start_times", """SELECT DISTINCT CAST(o_orderdate AS VARCHAR)[:10] AS date,

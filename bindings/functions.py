@@ -6,7 +6,8 @@ from bindings.aggregates import all_picks
 from bindings.base import CAND, DATE_SQL, ORDER, ORDER_SQL, PICKED, candidates, iso, query, table
 from tierpick.config import NAME_ALIASES
 from tierpick.functions import clock, odds, text
-from tierpick.operators import live, scoring
+from tierpick.operators import live, picks, scoring
+from tierpick.sources import feeds
 
 
 @query("f1_home_zone_date", """SELECT event_id,
@@ -150,7 +151,7 @@ def f14(spark, sf_dir):
 @query("f15_tier_as_int", f"SELECT {ORDER_SQL}, l_linenumber AS tims FROM lineitem")
 def f15(spark, sf_dir):
     told = F.col("l_linenumber").cast("string")
-    return table(spark, sf_dir, "lineitem").select(*ORDER, told.cast("int").alias("tims"))
+    return table(spark, sf_dir, "lineitem").select(*ORDER, picks.tier_number(told).alias("tims"))
 
 
 @query("f16_pick_list_text", f"""WITH {PICKED} SELECT {DATE_SQL}, tims,
@@ -184,8 +185,8 @@ def f19(spark, sf_dir):
 def f22(spark, sf_dir):
     parsed = F.from_json("props", "k int, other struct<name: string>")
     return table(spark, sf_dir, "events").select("event_id", parsed.alias("p")).select(
-        "event_id", F.coalesce("p.k", F.lit(0)).alias("k"),
-        F.coalesce("p.other.name", F.lit("none")).alias("missing"))
+        "event_id", feeds.nested("p.k", 0).alias("k"),
+        feeds.nested("p.other.name", "none").alias("missing"))
 
 
 @query("f23_flat_bounds", """SELECT min(l_quantity) AS min_gpg, max(l_quantity) AS max_gpg, min(l_tax) + 0.0 AS min_hppg,

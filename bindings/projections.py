@@ -8,7 +8,7 @@ from bindings.base import (
 )
 from tierpick.config import SEASON_START, WEIGHTED
 from tierpick.functions.text import full_name, place_or_common
-from tierpick.operators import backfill, bets, live, notify, schedule, scoring
+from tierpick.operators import backfill, bets, live, notify, picks, schedule, scoring
 from tierpick.operators.history import picks_of
 from tierpick.sources import feeds, tables
 
@@ -77,7 +77,7 @@ def p3(spark, sf_dir):
 @query("p4_drop_columns", f"""WITH {CAND} SELECT name, gpg, hgpg, five_gpg, {ORDER_SQL} FROM cand""")
 def p4(spark, sf_dir):
     hidden = ("date", "tims", "scored", "home", "hppg", "tgpg", "otga", "otshga", "id", "team_id")
-    return candidates(spark, sf_dir).drop(*hidden)
+    return tables.without(candidates(spark, sf_dir), hidden)
 
 
 @query("p5_rename_player_id", f"""WITH {CAND}
@@ -86,7 +86,7 @@ FROM cand""")
 def p5(spark, sf_dir):
     df = candidates(spark, sf_dir)
     own = F.when(F.col("l_linenumber") != 1, F.col("l_partkey"))
-    return df.select(F.coalesce(own, F.col("id")).alias("player_id"), *ORDER)
+    return tables.with_player_id(df.withColumn("player_id", own)).select("player_id", *ORDER)
 
 
 _UNITS = ", ".join(
@@ -202,10 +202,10 @@ def p15(spark, sf_dir):
 @query("p16_season_filter", """SELECT o_orderkey, CAST(o_orderdate AS VARCHAR)[:10] AS date FROM orders
 WHERE o_orderdate >= DATE '2000-10-07'""")
 def p16(spark, sf_dir):
-    since = F.lit(SEASON_START.replace("2025", "2000")).cast("date")
+    since = SEASON_START.replace("2025", "2000")
     rows = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
-    return rows.where(F.col("date") >= since).select("o_orderkey", iso())
+    return picks.of_season(rows, since).select("o_orderkey", iso())
 
 
 @query("p17_complete_rows", f"""WITH {CAND} SELECT {ORDER_SQL} FROM cand

@@ -9,7 +9,7 @@ from bindings.base import (
 )
 from bindings.joins import HISTORY_SQL, pick_history
 from bindings.projections import TEAM_ROWS, _NAME, _orders_as_games
-from tierpick.operators import features, history, picks, schedule
+from tierpick.operators import features, history, notify, picks, schedule
 from tierpick.operators.skew import number_rows
 from tierpick.sources import feeds
 
@@ -72,10 +72,9 @@ FROM told GROUP BY date""")
 def w8(spark, sf_dir):
     told = all_picks(spark, sf_dir, keep=["name"]).withColumn(
         "tims", F.when(F.col("l_orderkey") % 5 == 0, "n/a").otherwise(F.col("tims").cast("string")))
-    tier = F.coalesce(F.col("tims").try_cast("int"), F.lit(0))
     # At most three picks per date.
     listed = told.groupBy("date").agg(
-        F.sort_array(F.collect_list(F.struct(tier.alias("t"), "name"))).alias("l"))
+        F.sort_array(F.collect_list(F.struct(*notify.by_tier("name")))).alias("l"))
     names = F.transform("l", lambda x: x.getField("name"))
     return listed.select(iso(), F.array_join(names, ",").alias("names"))
 

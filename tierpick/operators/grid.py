@@ -52,19 +52,35 @@ def vectors_at(ranks: np.ndarray, steps: int) -> np.ndarray:
     """Step counts of the vectors at the given places of the lexicographic order.
 
     A task makes just its own block of the grid, so the grid itself is never
-    shipped nor held as a whole.
+    shipped nor held as a whole. The work goes in slices, as a vector takes as
+    many numbers on the way as there are steps.
     """
-    rest = np.asarray(ranks, dtype=np.int64).copy()
+    ranks = np.asarray(ranks, dtype=np.int64)
+    tables = [_ahead(PARTS - 1 - i, steps) for i in range(PARTS - 1)]
+    out = np.empty((len(ranks), PARTS), dtype=np.int32)
+    for at in range(0, len(ranks), _SLICE):
+        out[at:at + _SLICE] = _slice_of_vectors(ranks[at:at + _SLICE], steps, tables)
+    return out
+
+
+_SLICE = 1 << 14
+
+
+def _ahead(tail: int, steps: int) -> np.ndarray:
+    """[r, a]: vectors whose next part is below a when r steps are left for 1 + ``tail`` parts."""
+    ahead = np.zeros((steps + 1, steps + 2), dtype=np.int64)
+    for r in range(steps + 1):
+        sizes = [comb(r - a + tail - 1, tail - 1) for a in range(r + 1)]
+        ahead[r, 1 : r + 2] = np.cumsum(sizes)
+        ahead[r, r + 2 :] = np.iinfo(np.int64).max
+    return ahead
+
+
+def _slice_of_vectors(ranks: np.ndarray, steps: int, tables: list[np.ndarray]) -> np.ndarray:
+    rest = ranks.copy()
     left = np.full(len(rest), steps, dtype=np.int64)
     out = np.empty((len(rest), PARTS), dtype=np.int32)
-    for i in range(PARTS - 1):
-        tail = PARTS - 1 - i  # parts after this one
-        # ahead[r, a]: vectors whose part is below a when r steps are left
-        ahead = np.zeros((steps + 1, steps + 2), dtype=np.int64)
-        for r in range(steps + 1):
-            sizes = [comb(r - a + tail - 1, tail - 1) for a in range(r + 1)]
-            ahead[r, 1 : r + 2] = np.cumsum(sizes)
-            ahead[r, r + 2 :] = np.iinfo(np.int64).max
+    for i, ahead in enumerate(tables):
         value = (ahead[left, 1:] <= rest[:, None]).sum(axis=1)
         rest -= ahead[left, value]
         left -= value

@@ -14,11 +14,16 @@ def opted_in(users: DataFrame, preferences: DataFrame) -> DataFrame:
     ).select("email", F.coalesce("display_name", F.lit("")).alias("display_name"))
 
 
+def by_tier(*rest: str) -> list:
+    """What the pick list is ordered by: the tier as a number, text first, then ``rest``."""
+    tier = F.coalesce(F.col("tims").cast("string").try_cast("int"), F.lit(0))
+    return [tier.alias("t"), *rest]
+
+
 def pick_list(picks: DataFrame, position: str = "pick_no") -> DataFrame:
     """One row: the pick list as text, by tier. ``picks`` are those of one day."""
-    tier = F.coalesce(F.col("tims").cast("string").try_cast("int"), F.lit(0))
     line = pick_line(F.col("tims"), F.col("name"), F.col("team_name"), F.col("stat"))
-    lines = F.sort_array(F.collect_list(F.struct(tier.alias("t"), position, line.alias("line"))))
+    lines = F.sort_array(F.collect_list(F.struct(*by_tier(position), line.alias("line"))))
     joined = F.array_join(F.transform(lines, lambda x: x.getField("line")), "")
     return picks.agg(F.concat(F.lit(PICK_LIST_HEAD), joined).alias("text"))
 

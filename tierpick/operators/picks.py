@@ -50,7 +50,7 @@ def pick_of_day(df: DataFrame, order: list[str], score: str = "stat",
     which the tiers first appear. An outcome the input has is dropped.
     """
     keys = list(keys)
-    tiered = df.withColumn("tims", F.col("tims").cast("int")).where(F.col("tims").isin(*TIERS))
+    tiered = df.withColumn("tims", tier_number(F.col("tims"))).where(F.col("tims").isin(*TIERS))
     dropped = (*keys, *order, "tims", "scored")
     rest = [c for c in tiered.columns if c.lower() not in dropped]
     best = tiered.groupBy(*keys, "tims").agg(
@@ -108,10 +108,16 @@ def replay(df: DataFrame, order: list[str], weights=WEIGHTS, bounds=BOUNDS, sinc
     """Picks the given weights would have made on labelled candidates."""
     known = labelled(df)
     if since is not None:
-        known = known.where(F.col("date") >= F.lit(since).cast("date"))
+        known = of_season(known, since)
     return historical_picks(predict(known, bounds, weights), order, keep=keep)
 
 
-def season_replay(df: DataFrame, order: list[str], since=SEASON_START, **kw) -> DataFrame:
-    return replay(df, order, since=since, **kw)
+def of_season(df: DataFrame, since=SEASON_START) -> DataFrame:
+    """Rows from the start of the season on."""
+    return df.where(F.col("date") >= F.lit(since).cast("date"))
+
+
+def tier_number(tims: Column) -> Column:
+    """A tier told as text, as a number; null for other text."""
+    return tims.cast("string").try_cast("int")
 

@@ -107,6 +107,11 @@ def labelled(df: DataFrame) -> DataFrame:
     return df.where(F.col("scored").isin(0, 1) & F.col("tims").isin(*TIERS))
 
 
+def labelled_dates(df: DataFrame) -> DataFrame:
+    """Number of dates with labelled candidates."""
+    return labelled(df).agg(F.countDistinct("date").alias("dates"))
+
+
 def label_summary(df: DataFrame, label: str = "scored") -> DataFrame:
     """Rows per label and its mean over all rows."""
     counts = df.groupBy(label).agg(F.count("*").alias("rows"))

@@ -23,6 +23,11 @@ def read_feed(spark: SparkSession, path: str, schema: str, multiline: bool = Fal
         raise
 
 
+def nested(path: str, default):
+    """A nested field, or its default where it or anything above it is missing."""
+    return F.coalesce(F.col(path), F.lit(default))
+
+
 def schedule_games(feed: DataFrame, keys=()) -> DataFrame:
     """Games of the first day of the schedule."""
     day = feed.select(*keys, F.posexplode(F.col("gameWeek").getItem(0).getField("games")).alias(
@@ -86,7 +91,7 @@ def scoreboard_games(feed: DataFrame, today=None) -> DataFrame:
     games = days.select(F.explode("_d.games").alias("_g"))
 
     def field(name, default):
-        return F.coalesce(F.col(f"_g.{name}"), F.lit(default))
+        return nested(f"_g.{name}", default)
 
     period = field("periodDescriptor.number", 0)
     return games.select(

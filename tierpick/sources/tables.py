@@ -100,15 +100,26 @@ def replace_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def without(df: DataFrame, hidden) -> DataFrame:
+    """The table without its hidden columns; names it lacks don't matter."""
+    return df.drop(*hidden)
+
+
+def with_player_id(players: DataFrame) -> DataFrame:
+    """``player_id`` in place of ``id``; where both are there, ``id`` fills its nulls."""
+    if "player_id" not in players.columns:
+        return players.withColumnRenamed("id", "player_id")
+    if "id" in players.columns:
+        return players.withColumn("player_id", F.coalesce("player_id", "id"))
+    return players
+
+
 def board_rows(players: DataFrame, today, order: list[str]) -> DataFrame:
     """Rows of today's board: date, player_id, and id by position in ``order``."""
     if "player_id" not in players.columns:
-        players = players.withColumnRenamed("id", "player_id")
         order = ["player_id" if c == "id" else c for c in order]
-    elif "id" in players.columns:
-        players = players.withColumn("player_id", F.coalesce("player_id", "id"))
-    dated = players.withColumn("date", F.lit(today).cast("date"))
-    return number_rows(dated, order).drop(*_HIDDEN_ON_BOARD)
+    dated = with_player_id(players).withColumn("date", F.lit(today).cast("date"))
+    return without(number_rows(dated, order), _HIDDEN_ON_BOARD)
 
 
 def publish_board(players: DataFrame, today, order: list[str], path: str) -> None:
@@ -116,7 +127,7 @@ def publish_board(players: DataFrame, today, order: list[str], path: str) -> Non
 
 
 def history_rows(history: DataFrame, order: list[str]) -> DataFrame:
-    return number_rows(history, order).drop(*_HIDDEN_IN_HISTORY)
+    return without(number_rows(history, order), _HIDDEN_IN_HISTORY)
 
 
 def write_version(df: DataFrame, path: str, version) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tierpick.config import POLL_INTERVAL
 from tierpick.operators.live import changes
+from tierpick.session import stage
 from tierpick.sources.tables import remove, scan
 
 
@@ -45,6 +46,7 @@ def change_stream(snapshots: DataFrame, out: str, checkpoint: str, key: str, tim
             known = scan(spark, f"{out}/state/epoch={epoch - 1}", columns, schema=schema)
         else:
             known = spark.createDataFrame([], schema)
+        batch = stage(batch, "snapshots")  # read for the changes, the state and the detail
         both = batch.select(*columns, F.lit(True).alias("_new")).unionByName(
             known.select(*columns, F.lit(False).alias("_new"))
         )

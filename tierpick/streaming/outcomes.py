@@ -35,9 +35,13 @@ def outcome_stream(outcomes: DataFrame, history_path: str, schema: str, today, c
 
 
 def latest_epoch(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    table = spark.read.schema(f"{schema}, epoch bigint").parquet(path)
-    newest = table.agg(F.max("epoch")).scalar()
-    return table.where(F.col("epoch") == newest).drop("epoch")
+    """The newest version that has been written to its end."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch=*/_SUCCESS")
+    done = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found) or []
+    epochs = [int(f.getPath().getParent().getName().removeprefix("epoch=")) for f in done]
+    if not epochs:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/epoch={max(epochs)}")
 
 
 def archive_stream(candidates: DataFrame, path: str, checkpoint: str,
