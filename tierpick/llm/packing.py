@@ -25,7 +25,7 @@ from tierpick.session import stage
 
 CAPACITY = 4096
 END_ID = 1
-CACHED = 400_000  # chunks and words that a task remembers
+CACHED = 700_000  # chunks and words that a task remembers
 
 # Texts in which lower-casing by character, canonical composition and white space
 # are the same to Python and to the tokenizer. Others are tokenized whole.
@@ -135,44 +135,48 @@ class Encoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.letters = str.maketrans(_byte_letters())
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of chunks and words
 
     def _ids(self, tokenizer, text) -> np.ndarray:
         found = tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(found[0].ids, dtype="<u4")
 
+    def _parts(self, chunk: str) -> list[str]:
+        """The words of a chunk; most are letters and a mark at the end."""
+        if chunk[:-1].isalpha() and not chunk[-1].isalnum():
+            return [chunk[:-1], chunk[-1]]
+        return self.words_of(chunk)
+
     def _learn_words(self, new: list[str]):
         written = [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
                    for w in new]
         ids = self._ids(self.bare, " ".join(written))
         ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
         data = ids.tobytes()
-        self.words.update(zip(new, map(data.__getitem__, map(slice, [0, *ends], ends))))
+        self.known.update(zip(new, map(data.__getitem__, map(slice, [0, *ends], ends))))
 
     def _learn(self, chunks: list[str]):
         """Make all chunks of a text known."""
-        if len(self.chunks) > CACHED:
-            self.chunks.clear()
-        if len(self.words) > CACHED:
-            self.words.clear()
-        known, words = self.chunks, self.words
+        known = self.known
+        if len(known) > CACHED:
+            known.clear()
         new = [c for c in set(chunks) if c not in known]
-        parts = [self.words_of(chunk) for chunk in new]
-        unknown = [w for w in set(chain.from_iterable(parts)) if w not in words]
+        mixed = [(c, self._parts(c)) for c in new if not c.isalpha()]
+        unknown = {c for c in new if c.isalpha()}
+        unknown.update(w for _, parts in mixed for w in parts if w not in known)
         if unknown:
-            self._learn_words(unknown)
-        known.update(zip(new, [b"".join([words[w] for w in part]) for part in parts]))
+            self._learn_words(list(unknown))
+        known.update([(c, b"".join([known[w] for w in parts])) for c, parts in mixed])
 
     def __call__(self, text: str) -> bytes:
         if _UNUSUAL.search(text):
             return self._ids(self.whole, text).tobytes()
         chunks = text.lower().split()
         try:
-            return b"".join(map(self.chunks.__getitem__, chunks))
+            return b"".join(map(self.known.__getitem__, chunks))
         except KeyError:
             self._learn(chunks)
-        return b"".join(map(self.chunks.__getitem__, chunks))
+        return b"".join(map(self.known.__getitem__, chunks))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
