@@ -46,3 +46,14 @@ def test_rates_equal_brute_force(rows):
                 team_rate(4, r["opponent_id"], season, date, 2))
         got = tuple(r[c] for c in ("gpg", "five_gpg", "hgpg", "hppg", "tgpg", "otga", "otshga"))
         assert all(abs(a - b) < 1e-12 for a, b in zip(got, want)), (r, want)
+
+
+def test_seasons_as_the_feed_has_them(rows):
+    log = rows("season string, date string, player_id int, team_id int, opponent_id int, "
+               "goals long, pp_goals long, sh_goals long",
+               ("20232024", "2024-01-01", 1, 1, 2, 4, 0, 0), ("20242025", "2025-01-01", 1, 1, 2, 2, 1, 0))
+    ahead = rows("season string, date string, player_id int, team_id int, opponent_id int",
+                 ("20252026", "2025-10-07", 1, 1, 2), ("20252026", "2025-10-07", 9, 1, 2))
+    found = {r["player_id"]: r for r in features.rates_as_of(log, ahead).collect()}
+    assert found[1]["hgpg"] == 3.0 and found[1]["hppg"] == 0.5 and found[1]["gpg"] == 0.0
+    assert found[1]["five_gpg"] == 3.0 and found[9]["hgpg"] == found[9]["tgpg"] == 0.0

@@ -59,6 +59,8 @@ def test_names(spark):
     assert one(spark, text.fold_ascii(F.lit("Tim Stützle"))) == "Tim Stutzle"
     assert one(spark, text.fold_ascii(F.lit("Émile Żółć Øster Großß Æbel š"))) == (
         "Emile Zolc Oster Grossss AEbel s")
+    assert one(spark, text.fold_ascii(F.lit("O’Reilly u\u0308 a–b \u1ec5 ĲǼ “q”…"))) == (
+        "O'Reilly u a-b e IJAE \"q\"...")
     assert one(spark, text.alias_name(F.lit("Cameron York"))) == "Cameroneron York"
     assert one(spark, text.alias_name(F.lit("Cam York"), whole=True)) == "Cam York"
     assert one(spark, text.alias_name(F.lit("T.J. Brodie"), whole=True)) == "TJ Brodie"

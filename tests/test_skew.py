@@ -52,3 +52,14 @@ def test_number_rows_replaces_id_and_takes_nothing(spark):
     df = spark.range(3).select("id", (10 - F.col("id")).alias("o"))
     assert [r["o"] for r in skew.number_rows(df, ["o"]).orderBy("id").collect()] == [8, 9, 10]
     assert skew.number_rows(df.where("o > 99"), ["o"]).count() == 0
+
+
+def test_placed_gives_the_same_at_any_size(spark):
+    df = hot_rows(spark).repartition(5)
+    found = skew.placed(df, ["k"], ["a", "b"]).collect()
+    assert len(found) == 3000
+    for key in ("hot", "k7"):
+        own = sorted((r["a"], r["b"]) for r in found if r["k"] == key)
+        assert own == [(r["a"], r["b"]) for r in sorted(
+            (r for r in found if r["k"] == key), key=lambda r: r["place"])]
+        assert sorted(r["place"] for r in found if r["k"] == key) == list(range(len(own)))

@@ -72,3 +72,25 @@ def test_outcomes_arrive_late(spark, rows, tmp_path):
     twin = fill_outcomes(past, everything, "2025-01-03")
     assert now.exceptAll(twin.select(*now.columns)).count() == 0 and now.count() == 3
     assert {r["player_id"]: r["Scored"] for r in now.collect()} == {1: 1, 2: 0, 3: None}
+
+
+def test_a_date_in_two_batches_keeps_both(spark, rows, tmp_path):
+    landing, path = str(tmp_path / "l"), str(tmp_path / "a")
+    for values in ([("2025-01-01", 1, 5)], [("2025-01-01", 2, 6), ("2025-01-02", 1, 7)],
+                   [("2025-01-01", 1, 8)]):
+        df = rows("date string, id long, v int", *values).withColumn(
+            "date", F.col("date").cast("date"))
+        df.write.mode("append").parquet(landing)
+        outcomes.archive_stream(
+            board.poll(spark, landing, df.schema), path, str(tmp_path / "cp"),
+            available_now=True).awaitTermination()
+    assert {(str(r["date"]), r["id"], r["v"]) for r in spark.read.parquet(path).collect()} == {
+        ("2025-01-01", 1, 8), ("2025-01-01", 2, 6), ("2025-01-02", 1, 7)}
+
+
+def test_changes_of_null_keys_and_slices(rows):
+    from tierpick.operators.live import changes
+
+    df = rows("k string, at int, v int", (None, 1, 0), (None, 2, 0), (None, 3, 1), ("a", 1, 0))
+    found = changes(df, "k", ["at"], ["v"], F.lit(None).cast("int"))
+    assert {(r["k"], r["at"]) for r in found.collect()} == {(None, 1), (None, 3), ("a", 1)}

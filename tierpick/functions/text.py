@@ -37,6 +37,7 @@ def _decomposed():
     """Latin letters with the ASCII letters that they decompose into."""
     for code in (c for codes in _ACCENTED for c in codes):
         parts = unicodedata.normalize("NFKD", chr(code))
+        parts = (_MULTI.get(p, _SINGLE.get(p, p)) for p in parts)
         plain = "".join(p for p in parts if p.isascii() and p.isalpha())
         if plain:
             yield chr(code), plain
