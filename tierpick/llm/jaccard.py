@@ -9,7 +9,7 @@ from tierpick.llm.components import components
 from tierpick.llm.words import Reader, scramble
 from tierpick.session import stage
 
-FLUSH = 1 << 20  # shingles that a task holds before it sends them on
+FLUSH = 3 << 19  # shingles that a task holds before it sends them on
 LOCALLY_HOT = 256  # texts of one flush from which a shingle counts as frequent
 BLOCK_BYTES = 8 << 20  # of shingles
 BLOCK_SETS = 512
@@ -436,7 +436,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     # Several ranges per task, so that tasks are even and no group is a task's whole share.
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = 4 * buckets
+    ranges = 2 * buckets
     sized = stage(shingle_sets(docs, doc_id, text), "shingle-sets")
     found = stage(_prefixes(_repeated(_postings(docs, text, ranges), buckets)), "prefixes")
     sets = found.where(F.col("shingles").isNotNull()).select("set_id", "shingles")
