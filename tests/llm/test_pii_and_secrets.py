@@ -108,6 +108,28 @@ def test_battery_adds_random_tokens_not_patterned_ones(documents):
     assert all(got[i].spans == "" for i in [*range(400), 2000, 2001])
 
 
+def test_random_keys_are_judged_alike_without_words_of_their_length(documents):
+    rng = random.Random(8)
+    sets = {"base64": secrets.ALPHABETS["base64"], "base62": secrets.ALPHABETS["base62"],
+            "lower36": secrets.ALPHABETS["lower36"], "hex": "0123456789ABCDEF"}
+    keys = ["".join(rng.choice(letters) for _ in range(n)) for letters in sets.values()
+            for n in (24, 40, 64, 180) for _ in range(25)]
+    slugs = [f"the-{a}-of-the-{b}-in-the-town-{i}" for i in range(20)
+             for a, b in [rng.sample(["house", "garden", "station", "theatre", "teacher"], 2)]]
+    rows = [(i, f"x {k} y") for i, k in enumerate([*keys, *slugs])]
+    got = {r.doc_id: r.spans for r in secrets.digest(documents(*rows)).collect()}
+    found = [i for i in range(len(keys)) if got[i].endswith(f":2:{2 + len(keys[i])}")]
+    assert len(found) >= 0.95 * len(keys)
+    assert all(got[len(keys) + i] == "" for i in range(len(slugs)))
+    # Alone in its corpus a key is found as well.
+    p = {r.doc_id: r.tokens[0].p for r in secrets.candidates(documents(*rows)).collect()}
+    assert all(p[i] > secrets.RATE for i in found[:1])
+    assert secrets.digest(documents(rows[found[0]])).first().spans == got[found[0]]
+    # A random key falls below a p-value about as often as that says, not more.
+    low = sum(p[i] <= 0.1 for i in range(len(keys)))
+    assert low <= 0.15 * len(keys)
+
+
 def test_no_documents(documents):
     assert pii.digest(documents().limit(0)).count() == 0
     assert secrets.digest(documents().limit(0)).count() == 0
