@@ -130,6 +130,34 @@ def test_random_keys_are_judged_alike_without_words_of_their_length(documents):
     assert low <= 0.15 * len(keys)
 
 
+def test_keys_in_assignments_addresses_and_at_any_length(documents):
+    rng = random.Random(11)
+
+    def key(n):
+        return "".join(rng.choice(secrets.ALPHABETS["base62"]) for _ in range(n))
+
+    forms = [("AWS_SECRET_ACCESS_KEY=", 38, "\n"), ("SIGNING_KEY=", 40, ""),
+             ("https://a.b/?sig=", 44, "&x=1"), ("x ", 228, " y"), ("x ", 5_000, " y"), ("name: h.", 43, "."), ("x ", 42, "== y"),
+             ("x ", 40, "=5")]
+    rows, want = [], {}
+    for i, (before, n, after) in enumerate(forms * 6):
+        k = key(n)
+        rows.append((i, before + k + after))
+        pad = 2 if after.startswith("==") else 0
+        want[i] = f"access:{len(before)}:{len(before) + n + pad}"
+    parts = [key(36), key(120), key(43)]
+    rows.append((1000, "jwt " + ".".join(parts)))
+    got = {r.doc_id: r.spans for r in secrets.digest(documents(*rows)).collect()}
+    for form in range(len(forms)):
+        found = [got[i] == want[i] for i in range(form, len(forms) * 6, len(forms))]
+        assert sum(found) >= 5, forms[form]
+    tokens = {r.doc_id: r.tokens for r in secrets.candidates(documents(*rows)).collect()}
+    assert [(t.start, t.end) for t in tokens[1000]] == [(4, 40), (41, 161), (162, 205)]
+    # A run of any length is one candidate, in linear time.
+    long = [(1, "a1-" * 100_000), (2, key(200_000))]
+    assert [len(r.tokens) for r in secrets.candidates(documents(*long)).collect()] == [1, 1]
+
+
 def test_no_documents(documents):
     assert pii.digest(documents().limit(0)).count() == 0
     assert secrets.digest(documents().limit(0)).count() == 0

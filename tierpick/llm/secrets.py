@@ -22,12 +22,12 @@ BASE = {
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}+",
 }
 GATES = {"assign": "(?i:pass|secret|token|api)", "access": "AKIA", "hex": "[0-9a-f]{24}"}
-# Runs of 20 to 200 characters of the usual encodings that hold a digit and a letter; runs of
-# letters alone are ordinary words, an additional check.
-TOKEN = (r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_-]{0,200}[0-9])(?=[0-9+/_-]{0,200}[A-Za-z])"
-         r"[A-Za-z0-9+/_-]{20,200}+={0,2}+(?![A-Za-z0-9+/_=-])")
+# Whole runs of 20 or more characters of the usual encodings, with padding where nothing follows
+# it. Those that hold a digit and a letter are tokens; runs of letters alone are ordinary words, an
+# additional check.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}+(?![A-Za-z0-9+/_=-]))?+"
 TOKEN_GATE = r"[A-Za-z0-9+/_-]{20}"
-WORD = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z]{20,200}+(?![A-Za-z0-9+/_=-])"
+WORD = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z]{20,}+(?![A-Za-z0-9+/_=-])"
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -58,7 +58,8 @@ def _codes(token: Column) -> Column:
     alphabet = F.lit(ALPHABETS["base64"])
     for name in ("hex", "base32", "lower36", "base62", "letters"):
         alphabet = F.when(kind == name, ALPHABETS[name]).otherwise(alphabet)
-    return F.transform(F.split(text, ""), lambda c: F.instr(alphabet, c) - 1)
+    return _once(F.struct(F.split(text, "").alias("all"), alphabet.alias("alphabet")), lambda x:
+                 F.transform(x["all"], lambda c: F.instr(x["alphabet"], c) - 1))
 
 
 def _tail(z: Column) -> Column:
@@ -160,7 +161,9 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         spans.found_where(body.rlike(GATES[k]), body, BASE[k]).alias(f"_{k}") for k in KINDS],
         body.rlike(TOKEN_GATE).alias("_long"))
     rows = rows.select(
-        "*", spans.found_where(F.col("_long") & body.rlike(TOKEN), body, TOKEN).alias("_tokens"),
+        "*", F.filter(
+            spans.found_where(F.col("_long"), body, TOKEN),
+            lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]")).alias("_tokens"),
         F.when(F.col("_long"), F.regexp_extract_all(body, F.lit(WORD), F.lit(0)))
         .otherwise(F.array().cast("array<string>")).alias("words"))
     value = r"""^[^:=]*+[:=]\x20*+["']?"""
