@@ -63,6 +63,18 @@ def test_blocks(page, want):
     assert [b.text for b in html.blocks(page)] == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>T</title><body><article><p>one<p>two</article>", ["one", "two"]),
+    ("<head><meta charset=x><link href=y><style>p{}</style>\n<p>one", ["one"]),
+    ("<head><title>T</title>\n one<b>two</b>", ["onetwo"]), ("<head>a < b", ["a < b"]),
+    ("<head><noscript><img src=x>no</noscript><template><p>no</template><br>yes", ["yes"]),
+    ("<head><title>T</title></head><body>one<head><p>two", ["one", "two"]),
+    ("<head><script>var a='<p>no';</script><title>no</title>\n</head>yes", ["yes"]),
+])
+def test_an_open_head_ends_where_the_body_begins(page, want):
+    assert [b.text for b in html.blocks(page)] == want
+
+
 def test_viterbi_and_marginals_like_enumeration():
     rng = np.random.default_rng(1)
     for _ in range(40):
@@ -84,6 +96,13 @@ def test_viterbi_and_marginals_like_enumeration():
             assert np.isclose(one[i], weight[[y[i] == 1 for y in ways]].sum() / weight.sum())
 
 
+def test_whole_article_without_an_end_of_head(spark):
+    rows = [(i, f"u{i}", PAGE.replace("{i}", str(i)).replace("</head>", "")) for i in range(60)]
+    pages = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert [r.text for r in pages.orderBy("page_id").collect()] == [
+        TEXT.replace("{i}", str(i)) for i in range(60)]
+
+
 def test_no_pages(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert html.extract(empty).count() == 0

@@ -25,6 +25,8 @@ ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dial
                            "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
                            "hgroup hr main menu nav ol p pre section table ul".split())
 SAME_ENDS = frozenset("li dt dd tr td th option".split())
+# All that may stand in a head; anything else ends one that is open.
+IN_HEAD = frozenset("title meta link base script style noscript template".split())
 # Tags and parts of class, id and role names that say what a container is for.
 CONTAINERS = tuple("article main section nav header footer aside form ul ol table blockquote "
                    "figure div p h1 h2 h3 h4 li button dialog".split())
@@ -93,6 +95,8 @@ def blocks(page: str) -> list[Block]:
 
     def text_of(raw: str):
         nonlocal linked
+        if stack[-1][0] == "head" and raw.strip(" \t\n\r\f"):
+            pop("head", frozenset())
         if raw and not stack[-1][4]:
             raw = entities.unescape(raw) if "&" in raw else raw
             parts.append(raw)
@@ -134,6 +138,9 @@ def blocks(page: str) -> list[Block]:
             else:
                 pop(tag, frozenset(("table",)) if tag in SAME_ENDS else frozenset())
             continue
+        if open_tags.get("head") and tag not in IN_HEAD and not any(
+                x[0] in ("noscript", "template") for x in stack):
+            pop("head", frozenset())
         if tag == "br":
             parts.append(" ")
             continue
