@@ -76,6 +76,27 @@ def test_pii_adds_further_forms_it_has_learnt(documents):
     assert got[350].spans == ""
 
 
+def test_pii_adds_each_further_form(documents):
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        card = f"4{rng.randrange(10**14):014d}"
+        card += next(c for c in "0123456789" if luhn(card + c))
+        rows += [(i, f"phone: +1 555 {rng.randint(100, 999)} {rng.randint(1000, 9999)} x"),
+                 (1000 + i, f"from 10.{i % 250}.0.1 on, mail a{i}@b.org, card {card} x")]
+    forms = {"email": "ab [at] cd [dot] org", "ip": "2001:db8:0:0:8:800:200C:417A",
+             "card": "4111.1111.1111.1111", "phone": "(555) 123-4567"}
+    planted = [(5000 + k, f"at {form} now") for k, form in enumerate(forms.values())]
+    wrong = [(6000, "at 4111.1111.1111.1112 now"), (6001, "at 1:2:3:4:5:6:7 now")]
+    got = {r.doc_id: r.spans for r in pii.digest(documents(*rows, *planted, *wrong)).collect()}
+    for k, (kind, form) in enumerate(forms.items()):
+        assert got[5000 + k] == f"{kind}:3:{3 + len(form)}"
+    assert got[6000] == got[6001] == ""
+    text = {r.doc_id: r.text for r in pii.redacted(
+        documents(*rows, *planted, clashing=False)).collect()}
+    assert text[5001] == "at <ip> now"
+
+
 def test_redaction_replaces_spans(documents):
     rows = [(1, "Write to é.a@b.org or b@c.de, from 10.0.0.1!"), (2, None), (3, "nothing")]
     got = {r.doc_id: r.text for r in pii.redacted(documents(*rows, clashing=False)).collect()}

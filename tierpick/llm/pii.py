@@ -43,6 +43,9 @@ FURTHER_GATES = {
     "email": r"[\[(](?:at|AT)[\])]", "ip": r":[0-9A-Fa-f]{1,4}:", "card": r"[0-9]{4}[./][0-9]{4}",
     "phone": r"00[0-9]|\([0-9]{2,4}\)",
 }
+# The trees know base forms only: the format of a further form that shares nothing with its base
+# form is that of a usual base form, so that its own check and the context decide.
+STAND_IN = {"ip": "192.0.2.10"}
 CUES = (
     "(?i)(mail|e-mail|courriel|correo|contact|kontakt|phone|tel|call|mobile|fax|telefon|teléfono|"
     "card|karte|carte|tarjeta|visa|ip|host|server|address|adresse)[^A-Za-z0-9]*$"
@@ -83,6 +86,13 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def valid_further(kind: str, match: Column) -> Column:
+    """The check of further forms: of IPv6 addresses eight groups, else that of the kind."""
+    if kind == "ip":
+        return match.rlike("^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$")
+    return valid(kind, match)
+
+
 def _side(character: Column) -> Column:
     return (F.when(character == "", 0).when(character.rlike(r"\s"), 1)
             .when(character.rlike(r"[0-9]"), 2).when(character.rlike(r"\p{L}"), 3).otherwise(4))
@@ -91,26 +101,27 @@ def _side(character: Column) -> Column:
 FEATURES = ("digits", "length", "dots", "breaks", "left", "right", "cue", "opening")
 
 
-def _candidates(text: Column, spans_found: Column, kind: str) -> Column:
+def _candidates(text: Column, spans_found: Column, kind: str, check=valid) -> Column:
     """Spans with the features that the trees see: format and context, not the check itself."""
 
     def one(s: Column) -> Column:
         match = s["match"]
-        n = F.char_length(match)
-        count = F.char_length(_digits(match))
+        shape = F.lit(STAND_IN[kind]) if check is valid_further and kind in STAND_IN else match
+        n = F.char_length(shape)
+        count = F.char_length(_digits(shape))
         before = F.substr(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1,
                           F.least(s["start"], F.lit(CONTEXT)))
         return F.struct(
             s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"),
-            s["end"].alias("end"), valid(kind, match).alias("valid"),
+            s["end"].alias("end"), check(kind, match).alias("valid"),
             F.least(count, F.lit(20)).alias("digits"),
             F.least((n / 4).cast("int"), F.lit(8)).alias("length"),
-            F.least(F.regexp_count(match, F.lit(r"\.")), F.lit(4)).alias("dots"),
-            F.least(F.regexp_count(match, F.lit("[ ()/-]")), F.lit(4)).alias("breaks"),
+            F.least(F.regexp_count(shape, F.lit(r"\.")), F.lit(4)).alias("dots"),
+            F.least(F.regexp_count(shape, F.lit("[ ()/-]")), F.lit(4)).alias("breaks"),
             _side(F.substr(before, F.char_length(before), F.lit(1))).alias("left"),
             _side(F.substr(text, s["end"] + 1, F.lit(1))).alias("right"),
             before.rlike(CUES).cast("int").alias("cue"),
-            F.when(match.rlike("^[0-9+]"), 0).when(match.rlike("^[A-Z]"), 1).otherwise(2)
+            F.when(shape.rlike("^[0-9+]"), 0).when(shape.rlike("^[A-Z]"), 1).otherwise(2)
             .alias("opening"))
 
     return F.transform(spans_found, one)
@@ -126,8 +137,8 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             spans.found_where(body.rlike(gates[k]), body, patterns[k]).alias(f"{name}_{k}")
             for k in KINDS])
     return rows.select("doc_id", *[
-        F.concat(*[_candidates(body, F.col(f"{name}_{k}"), k) for k in KINDS]).alias(out)
-        for name, out in (("_base", "base"), ("_more", "further"))])
+        F.concat(*[_candidates(body, F.col(f"{name}_{k}"), k, check) for k in KINDS]).alias(out)
+        for name, out, check in (("_base", "base", valid), ("_more", "further", valid_further))])
 
 
 def train(found: DataFrame):
