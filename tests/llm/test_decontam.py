@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tierpick.llm import decontam
 
@@ -85,6 +86,16 @@ def test_clean_keeps_the_rest_with_all_columns(spark, documents):
         ({*range(len(docs))} - bad) | {1000, 1001, 1002})
 
 
+def test_repeated_shingles_are_found_at_any_cosine():
+    words = [f"w{i}" for i in range(196)]
+    item, doc = words + ["x"] * 24, words + ["y"] * 24
+    assert similarity(shingles(item, 5), shingles(doc, 5)) == 0.8
+    plain = words + [f"z{i}" for i in range(24)]
+    for a, b in ((item, doc), (plain, doc), (item, plain)):
+        found = list(decontam.Benchmark([7], [" ".join(a)]).search(pa.array([" ".join(b)])))
+        assert [(f[0], f[1], f[2]) for f in found] == [(0, 7, 0.8)]
+
+
 def test_index_finds_all_within_the_radius():
     rng = np.random.default_rng(2)
     items = rng.integers(0, 256, (300, 16), dtype=np.uint8)

@@ -13,8 +13,9 @@ from tierpick.llm.words import SHINGLE, Reader, not_alphanumeric, scramble
 SIMILARITY = 0.8
 BITS = 128
 BLOCKS = 16  # of 8 bits
-# At similarity 0.8 the shingle vectors of equally long texts have cosine 8 / 9, so each bit
-# differs with probability 0.15: 19 of 128 with deviation 4. Beyond 40 are one in ten million.
+# At similarity 0.8 the shingle vectors of equally long texts without repeated shingles have cosine
+# 8 / 9, so each bit differs with probability 0.15: 19 of 128 with deviation 4. Beyond 40 are 1.3 in
+# a million. Repeated shingles lower the cosine, so they do not go by fingerprints.
 RADIUS = 40
 ITEMS_AT_ONCE = 5000
 WINDOWS_AT_ONCE = 256
@@ -63,6 +64,34 @@ class HammingIndex:
         return found[apart <= self.radius]
 
 
+def _repeats(windows: np.ndarray) -> np.ndarray:
+    """Whether a row holds a shingle more than once."""
+    windows = np.sort(windows, axis=-1)
+    return (windows[..., 1:] == windows[..., :-1]).any(axis=-1)
+
+
+class Sharing:
+    """Finds all items that share a shingle with a window, or those of them with repeats."""
+
+    def __init__(self, items: list[np.ndarray]):
+        self.lists = []
+        for repeated in (False, True):
+            own = [(k, np.unique(x)) for k, x in enumerate(items) if not repeated or _repeats(x)]
+            shingles = np.concatenate([x for _, x in own] or [np.zeros(0, _U)])
+            owner = np.concatenate([np.full(len(x), k) for k, x in own] or [np.zeros(0, int)])
+            order = np.argsort(shingles, kind="stable")
+            self.lists.append((shingles[order], owner[order].astype(np.int64)))
+
+    def search(self, window: np.ndarray, repeated: bool = False) -> np.ndarray:
+        shingles, owner = self.lists[repeated]
+        if not len(shingles):
+            return owner
+        window = np.unique(window)
+        first = np.searchsorted(shingles, window, "left")
+        last = np.searchsorted(shingles, window, "right")
+        return np.unique(np.concatenate([owner[a:b] for a, b in zip(first, last)]))
+
+
 def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of shingles, weighted by how often they occur."""
     x, nx = np.unique(a, return_counts=True)
@@ -98,7 +127,8 @@ class Benchmark:
             for length, numbers in lengths.items():
                 own = np.unique(np.concatenate([self.items[k][2] for k in numbers]))
                 prints = np.stack([simhash(self.items[k][2]) for k in numbers])
-                by_length[length] = (np.array(numbers), own, HammingIndex(prints))
+                by_length[length] = (np.array(numbers), own, HammingIndex(prints),
+                                     Sharing([self.items[k][2] for k in numbers]))
             self.passes[size] = {"quick": quick, "known": known, "lengths": by_length}
 
     def search(self, column: pa.Array) -> Iterator[tuple]:
@@ -116,7 +146,7 @@ class Benchmark:
                         yield (row + int(text), *found)
 
     def _text(self, shingles, places, one):
-        for length, (numbers, own, index) in one["lengths"].items():
+        for length, (numbers, own, index, sharing) in one["lengths"].items():
             # Only windows that share enough shingles with the items can be similar; each of
             # them can be moved on to start at a shared one, or as far as the text goes.
             shared = places[np.isin(shingles[places], own)]
@@ -132,8 +162,12 @@ class Benchmark:
             for at in range(0, len(starts), WINDOWS_AT_ONCE):
                 some = starts[at:at + WINDOWS_AT_ONCE]
                 windows = shingles[some[:, None] + np.arange(width)]
-                for start, window, fingerprint in zip(some, windows, simhash(windows)):
-                    for k in index.search(fingerprint):
+                repeated = _repeats(windows)
+                for start, window, fingerprint, again in zip(
+                        some, windows, simhash(windows), repeated):
+                    near = sharing.search(window) if again else np.union1d(
+                        index.search(fingerprint), sharing.search(window, repeated=True))
+                    for k in near:
                         number = int(numbers[k])
                         item, n, target = self.items[number]
                         similarity = weighted_similarity(window, target)
