@@ -1,4 +1,4 @@
-"""Shards by a hierarchical weighted hash tree."""
+"""Shards of a weighted tree by rendezvous hashing."""
 
 from collections.abc import Sequence
 
@@ -28,9 +28,9 @@ def _least(nodes: Sequence[Column]) -> Column:
 
 
 def shard_of(key: Column, tree: Sequence[tuple[int, int, int, float]]) -> Column:
-    """The shard of a key: at region, rack and shard level the child with the least draw.
+    """The shard of a key: the one with the least draw, as in flat weighted rendezvous hashing.
 
-    A node's draw is the least one of its children's, hence exponential with
+    Regions and racks have no draws of their own and only break ties. A node's draw is the least one of its children's, hence exponential with
     the weight of its whole subtree as rate: regions, racks and shards get
     keys by weight. A shard that is added or made heavier can only lower its
     own draw and those of the rack and region above, so rows move into that
