@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierpick.llm import decontam, dedup, html, jaccard, packing, pii, preferences, secrets, sharding, toxicity
+from tierpick.llm import decontam, dedup, html, jaccard, packing, periods, pii, preferences, secrets, sharding, toxicity
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -115,3 +115,57 @@ def op9_toxicity(spark, sf_dir):
 @query("op10_sharding")
 def op10_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs", """
+WITH h AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    xor(list_reduce([4294967295::UBIGINT] || list_transform(
+      string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT),
+      lambda s, b: list_reduce([xor(s, b)] || [0, 1, 2, 3, 4, 5, 6, 7]::UBIGINT[], lambda c, k:
+        xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))),
+      4294967295::UBIGINT)::BIGINT AS h
+  FROM documents),
+g AS (
+  SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a
+  FROM h),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(
+    range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END])
+    END AS w
+  FROM g),
+grams AS (
+  SELECT r, n, i, array_to_string(w[i - 14:i + 1], ' ') AS gram
+  FROM (SELECT r, n, w, unnest(range(15, n)) AS i FROM d WHERE n >= 24)),
+points AS (
+  SELECT a.r, a.i, a.i - b.i AS q FROM grams a JOIN grams b
+    ON a.r = b.r AND a.gram = b.gram AND a.i > b.i AND 3 * (a.i - b.i) <= a.n),
+islands AS (
+  SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM points),
+stretches AS (
+  SELECT r, q, min(i) - 15 - q AS start, count(*) + 15 + q AS length
+  FROM islands GROUP BY r, q, island HAVING count(*) + 15 + q >= greatest(24, 3 * q)),
+runs AS (SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length),
+listed AS (
+  SELECT r, count(*) AS n_runs,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY r),
+best AS (
+  SELECT r, start, length, period FROM (
+    SELECT *, row_number() OVER (
+      PARTITION BY r ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS place FROM runs)
+  WHERE place = 1),
+dropped AS (
+  SELECT r, list(DISTINCT i) AS gone
+  FROM (SELECT r, unnest(range(start + period, start + length)) AS i FROM runs) GROUP BY r),
+collapsed AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS text
+  FROM (SELECT d.r, unnest(w) AS word, unnest(range(n)) AS i FROM d) words
+  ANTI JOIN (SELECT r, unnest(gone) AS i FROM dropped) g ON words.r = g.r AND words.i = g.i
+  GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period,
+  1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(coalesce(collapsed.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN collapsed USING (r)""")
+def op13_periodic_runs(spark, sf_dir):
+    return periods.digest(periods.find(periods.with_planted(table(spark, sf_dir, "documents"))))
