@@ -2,7 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierpick.llm import decontam, dedup, html, jaccard, packing, periods, pii, preferences, secrets, sharding, toxicity
+from tierpick.llm import (
+    decontam, dedup, html, jaccard, packing, periods, pii, preferences, secrets, sharding, toxicity,
+    vector_codes,
+)
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -117,6 +120,53 @@ def op10_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def _codes_sql(rounds: int = 6) -> str:
+    """The rounds of op11 as one chain of tables; slow beyond a few thousand vectors."""
+    near = """near{r} AS MATERIALIZED (
+  SELECT v, part, min({{'d': d, 'e': entry}}) AS best
+  FROM (
+    SELECT p.v, p.part, e.entry, sum((p.x - e.x) * (p.x - e.x))::BIGINT AS d
+    FROM points p JOIN book{r} e ON p.part = e.part AND p.i = e.i
+    GROUP BY p.v, p.part, e.entry)
+  GROUP BY v, part)"""
+    book = """book{s} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.i, coalesce((m.total - ((m.total % m.n) + m.n) % m.n) // m.n, b.x) AS x
+  FROM book{r} b LEFT JOIN (
+    SELECT p.part, n.best.e AS entry, p.i, sum(p.x)::BIGINT AS total, count(*) AS n
+    FROM points p JOIN near{r} n ON p.v = n.v AND p.part = n.part
+    GROUP BY p.part, n.best.e, p.i) m ON b.part = m.part AND b.entry = m.entry AND b.i = m.i)"""
+    steps = [near.format(r=r) + ",\n" + book.format(r=r, s=r + 1) for r in range(rounds)]
+    return """
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS v, vec_id, label, embedding
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+wide AS (
+  SELECT v, unnest(range(len(embedding))) AS k, len(embedding) // 8 AS width, unnest(embedding) AS x
+  FROM kept),
+points AS MATERIALIZED (
+  SELECT v, k // width AS part, k % width AS i, CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) AS x
+  FROM wide),
+book0 AS MATERIALIZED (SELECT part, v AS entry, i, x FROM points WHERE v < 16),
+""" + ",\n".join(steps) + f""",
+{near.format(r=rounds)},
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', CAST(best.e AS INTEGER)), '' ORDER BY part) AS code,
+    CAST(sum(best.d) AS BIGINT) AS error
+  FROM near{rounds} JOIN kept USING (v) GROUP BY v, vec_id, label),
+sha AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256
+  FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  codebooks_sha256
+FROM coded, sha"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.digest(vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
 @query("op13_periodic_runs", """
 WITH h AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
