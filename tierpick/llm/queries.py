@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from tierpick.llm import (
-    decontam, dedup, html, jaccard, packing, periods, pii, preferences, secrets, sharding, toxicity,
-    vector_codes,
+    decontam, dedup, html, jaccard, near_vectors, packing, periods, pii, preferences, secrets,
+    sharding, toxicity, vector_codes,
 )
 
 QUERIES: dict = {}
@@ -167,6 +167,31 @@ def op11_vector_codes(spark, sf_dir):
     return vector_codes.digest(vector_codes.compress(table(spark, sf_dir, "embeddings")))
 
 
+@query("op12_near_vectors", """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id,
+    CASE WHEN len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END AS e
+  FROM embeddings),
+unit AS MATERIALIZED (
+  SELECT r, vec_id, len(e) AS n, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e
+  FROM v WHERE e IS NOT NULL),
+links AS MATERIALIZED (
+  SELECT a.r AS u, b.r AS v, b.vec_id AS other FROM unit a JOIN unit b
+    ON a.r <> b.r AND a.n = b.n AND list_dot_product(a.e, b.e) >= 0.95),
+reach AS (
+  SELECT u AS r, v FROM links
+  UNION
+  SELECT reach.r, links.v FROM reach JOIN links ON reach.v = links.u),
+least AS (SELECT reach.r, min(v.vec_id) AS least FROM reach JOIN v ON reach.v = v.r GROUP BY reach.r),
+many AS (SELECT u AS r, count(*) AS n_links FROM links GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(least(vec_id, least), least, vec_id) AS component_id,
+  coalesce(vec_id = least(vec_id, coalesce(least, vec_id)), false) AS kept
+FROM v LEFT JOIN many USING (r) LEFT JOIN least USING (r)""")
+def op12_near_vectors(spark, sf_dir):
+    return near_vectors.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 @query("op13_periodic_runs", """
 WITH h AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
