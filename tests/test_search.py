@@ -70,7 +70,7 @@ def brute_force(rows, steps):
 
 @pytest.mark.parametrize("limit", [10**6, 20])
 def test_every_vector_equals_brute_force(spark, limit):
-    """Once with whole groups, once with the large groups cut into parts."""
+    """Once with whole groups, once with large groups reduced to what can win."""
     frame, rows = candidates(spark, [1, 2, 90, 3, 4, 60, 5, 1, 7])
     found = search.evaluate_grid(frame, 3, ["n"], max_group_rows=limit).orderBy("wid").collect()
     assert [r["wid"] for r in found] == list(range(grid.grid_size(3)))
@@ -105,3 +105,37 @@ def test_tile_layout_covers_the_grid():
         blocks, buckets = search.tile_layout(rows, vectors, cores)
         assert 1 <= blocks <= vectors and buckets >= 1
         assert -(-vectors // blocks) <= 1 << 20
+
+
+def test_skyline_keeps_what_no_earlier_row_beats():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        rows = rng.integers(-2, 4, (rng.integers(1, 400), 7)).astype(np.float32)
+        rows[:, rng.integers(0, 7)] = 1
+        skyline, at, stays = search.Skyline(), 0, []
+        while at < len(rows):
+            n = int(rng.integers(1, 90))
+            stays += skyline.add(rows[at:at + n]).tolist()
+            at += n
+        assert stays == [not (rows[:i] >= rows[i]).all(axis=1).any() for i in range(len(rows))]
+
+
+def test_a_group_of_a_million_rows(spark):
+    """Equal with and without the filter, and to the scores of all rows."""
+    n = 1_000_000
+    features = [f"CAST(pmod(hash(id, {i}), 1000) / 1000 AS float) AS {w}"
+                for i, w in enumerate(WEIGHTED)]
+    frame = spark.range(n).selectExpr(
+        "date '2024-01-01' AS date", "1 AS tims", "int(pmod(hash(id), 3) = 0) AS scored", "id AS n",
+        *features)
+    found = search.evaluate_grid(frame, 2, ["n"]).orderBy("wid").collect()
+    plain = search.evaluate_grid(frame, 2, ["n"], max_group_rows=n).orderBy("wid").collect()
+    assert found == plain
+    table = frame.orderBy("n").toPandas()
+    columns = np.ascontiguousarray(table[list(WEIGHTED)].to_numpy(np.float32).T)
+    vectors = grid.vectors_at(np.arange(grid.grid_size(2)), 2).astype(np.float32) * np.float32(0.5)
+    best = [int(table["scored"][search.scores(v[None], columns)[0].argmax()]) for v in vectors]
+    assert [r["correct"] for r in found] == best
+    reduced = search.drop_beaten(frame.selectExpr(
+        "datediff(date, date '1970-01-01') AS day", "tims", "scored AS hit", "n", *WEIGHTED), ["n"])
+    assert 0 < reduced.count() < n / 20

@@ -4,8 +4,9 @@ The work is laid out as tiles of (block of vectors) x (bucket of candidate
 groups). Candidates are copied once per block and shuffled to their tile; a
 task rebuilds the vectors of its block from their position in the grid. Picks
 of a (date, tier) group are decided inside a tile, and correct picks add up
-over groups, so a tile yields one count per vector. A group too large for one
-task is cut into parts; the best of each part then meet in an aggregate.
+over groups, so a tile yields one count per vector. A group is read as a stream
+with the best score so far of each vector, so its size does not matter; large
+groups first lose the candidates that no weights can let win.
 """
 
 from collections.abc import Iterator
@@ -13,20 +14,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierpick.config import BOUNDS, MAX_GROUP_ROWS, TIERS, WEIGHTED
 from tierpick.operators.grid import PARTS, grid_size, vectors_at
 from tierpick.operators.scoring import labelled, normalise
-from tierpick.operators.skew import number_rows, split_hot
+from tierpick.operators.skew import split_hot
 from tierpick.session import stage
 
 _TILE_SCORES = 10**10  # scores of one tile, at most about
 _MAX_BLOCK = 1 << 20   # vectors of one tile, at most
 _CELLS = 1 << 16       # scores held at once, to stay in the processor cache
 _LONG = 48             # groups from this size on are searched row-wise
-_TOGETHER = 1024       # short groups walked together
+_TOGETHER = 1024       # short groups walked together, rows compared together
+_STRONG = 256          # rows of a skyline compared together
 
 
 def search_input(df: DataFrame, order: list[str], bounds=BOUNDS) -> DataFrame:
@@ -122,77 +125,164 @@ def _block_vectors(block: int, block_size: int, steps: int, step: float):
     return ids, vectors_at(ids, steps).astype(np.float32) * np.float32(step)
 
 
+class _Running:
+    """Best score so far and its outcome, for each vector, of one group read in pieces."""
+
+    def __init__(self, n: int):
+        self.best = np.empty(n, dtype=np.float32)
+        self.won = np.zeros(n, dtype=np.int64)
+        self.key, self.empty = None, True
+
+    def open(self, key: tuple):
+        self.key, self.empty = key, True
+
+    def add(self, vectors: np.ndarray, rows: np.ndarray, hit: np.ndarray):
+        """Later rows of the group; only a higher score replaces the best."""
+        for start in range(0, len(rows), _CELLS):
+            columns = _columns(rows[start:start + _CELLS])
+            hits = hit[start:start + _CELLS]
+            for part in _slices(len(vectors), columns.shape[1]):
+                table = scores(vectors[part], columns)
+                where = np.argmax(table, axis=1)
+                top = np.take_along_axis(table, where[:, None], axis=1)[:, 0]
+                better = (top > self.best[part]) | self.empty
+                self.best[part][better] = top[better]
+                self.won[part][better] = hits[where[better]]
+            self.empty = False
+
+
 def _tile_counts(steps: int, step: float, block_size: int):
     """mapInPandas body for sorted tiles: one count per vector and tile."""
 
-    def close(block, correct):
-        ids = np.arange(len(correct), dtype=np.int64) + block * block_size
-        return pd.DataFrame({"wid": ids, "correct": correct})
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, vectors, correct, held = None, None, None, None
+        block, vectors, correct, running = None, None, None, None
 
-        def consume(frame):
-            starts = _group_starts(frame["day"].to_numpy(), frame["tims"].to_numpy())
-            rows = frame[list(WEIGHTED)].to_numpy(dtype=np.float32)
-            return count_hits(vectors, rows, frame["hit"].to_numpy(dtype=np.int8), starts)
+        def counts():
+            if running.key is not None:
+                np.add(correct, running.won, out=correct)
+            ids = np.arange(len(correct), dtype=np.int64) + block * block_size
+            return pd.DataFrame({"wid": ids, "correct": correct})
 
         for batch in batches:
             for number, frame in batch.groupby("block", sort=True):
                 if number != block:
                     if block is not None:
-                        if held is not None and len(held):
-                            correct += consume(held)
-                        yield close(block, correct)
-                    block, held = number, None
+                        yield counts()
+                    block = number
                     vectors = _block_vectors(block, block_size, steps, step)[1]
                     correct = np.zeros(len(vectors), dtype=np.int64)
-                frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+                    running = _Running(len(vectors))
+                day, tims = frame["day"].to_numpy(), frame["tims"].to_numpy()
+                rows = frame[list(WEIGHTED)].to_numpy(dtype=np.float32)
+                hit = frame["hit"].to_numpy(dtype=np.int8)
+                starts = _group_starts(day, tims)
+                first = 0
+                if running.key == (day[0], tims[0]):  # goes on from the last batch
+                    first = starts[1] if len(starts) > 1 else len(rows)
+                    running.add(vectors, rows[:first], hit[:first])
+                    starts = starts[1:]
+                if not len(starts):
+                    continue
+                if running.key is not None:
+                    correct += running.won
                 # The last group may go on in the next batch.
-                last = _group_starts(frame["day"].to_numpy(), frame["tims"].to_numpy())[-1]
-                if last:
-                    correct += consume(frame.iloc[:last])
-                held = frame.iloc[last:]
+                last = starts[-1]
+                if len(starts) > 1:
+                    correct += count_hits(
+                        vectors, rows[first:last], hit[first:last], starts[:-1] - first)
+                running.open((day[last], tims[last]))
+                running.add(vectors, rows[last:], hit[last:])
         if block is not None:
-            if held is not None and len(held):
-                correct += consume(held)
-            yield close(block, correct)
+            yield counts()
 
     return run
 
 
-def _part_winners(steps: int, step: float, block_size: int):
-    """Best row of one part of a large group, for each vector of a block."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        block, day, tims, _ = key
-        ids, vectors = _block_vectors(int(block), block_size, steps, step)
-        frame = frame.sort_values("place", kind="stable")
-        columns = _columns(frame[list(WEIGHTED)].to_numpy(dtype=np.float32))
-        hit, place = frame["hit"].to_numpy(), frame["place"].to_numpy()
-        top = np.empty(len(ids), dtype=np.float32)
-        where = np.empty(len(ids), dtype=np.int64)
-        for piece in _slices(len(ids), len(frame)):
-            table = scores(vectors[piece], columns)
-            where[piece] = np.argmax(table, axis=1)
-            top[piece] = np.take_along_axis(table, where[piece][:, None], axis=1)[:, 0]
-        return pd.DataFrame(
-            {"wid": ids, "day": day, "tims": tims, "top": top,
-             "place": place[where], "hit": hit[where]}
-        )
+class Skyline:
+    """Rows that no earlier row equals or beats in all features.
 
-    return run
+    Weights are not negative and rounding keeps the order of numbers, so the
+    score of a row that is beaten never exceeds that of the earlier one, which
+    also wins the tie. Rows come in their order, in pieces.
+    """
 
+    def __init__(self):
+        self.rows = np.empty((0, PARTS), dtype=np.float32)  # strong rows first
+
+    def add(self, rows: np.ndarray) -> np.ndarray:
+        """Which of the next rows stay."""
+        stays = np.zeros(len(rows), dtype=bool)
+        for start in range(0, len(rows), _TOGETHER):
+            piece = rows[start:start + _TOGETHER]
+            alive = np.arange(len(piece))
+            for at in range(0, len(self.rows), _STRONG):
+                if not len(alive):
+                    break
+                alive = alive[~_beaten(piece[alive], self.rows[at:at + _STRONG]).any(axis=1)]
+            earlier = np.tri(len(alive), k=-1, dtype=bool)
+            alive = alive[~(_beaten(piece[alive], piece[alive]) & earlier).any(axis=1)]
+            stays[start + alive] = True
+            joined = np.concatenate([self.rows, piece[alive]])
+            self.rows = joined[np.argsort(-joined.sum(axis=1), kind="stable")]
+        return stays
+
+
+def _beaten(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """[i, j]: row i is equalled or beaten by other j in all features."""
+    beaten = others[:, 0] >= rows[:, 0, None]
+    for i in range(1, PARTS):
+        beaten &= others[:, i] >= rows[:, i, None]
+    return beaten
+
+
+def _skyline_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body for sorted parts of groups: the rows of each part's skyline."""
+    key, skyline = None, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("day", "tims", "part")], axis=1)
+        rows = np.stack([batch.column(w).to_numpy() for w in WEIGHTED], axis=1)
+        new = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        stays = []
+        for first, last in zip([0, *new], [*new, len(batch)]):
+            if tuple(keys[first]) != key:
+                key, skyline = tuple(keys[first]), Skyline()
+            stays.append(skyline.add(rows[first:last]))
+        yield batch.filter(pa.array(np.concatenate(stays)))
+
+
+def drop_beaten(rows: DataFrame, order: list[str], max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Take rows that can't win with any weights out of groups above ``max_rows``.
+
+    Such a group is cut into parts, each part keeps its skyline, and what is left
+    is cut anew, now mostly into one part. Smaller groups stay as they are, so
+    the best of every group stays for all weights.
+    """
+    hot = (
+        rows.groupBy("day", "tims").agg(F.count("*").alias("_n"))
+        .where(F.col("_n") > max_rows).select("day", "tims")
+    )
+    left = rows.join(hot, ["day", "tims"], "left_semi")
+    for _ in range(2):
+        parts = split_hot(left, ["day", "tims"], order, max_rows)
+        parts = parts.repartition("day", "tims", "part").sortWithinPartitions(
+            "day", "tims", "part", *order)
+        left = stage(parts.mapInArrow(_skyline_rows, parts.schema).drop("part"), "skyline")
+    return rows.join(hot, ["day", "tims"], "left_anti").unionByName(left)
 
-def tile_layout(rows: int, vectors: int, cores: int) -> tuple[int, int]:
+
+def tile_layout(rows: int, vectors: int, cores: int, largest: int = 0) -> tuple[int, int]:
     """Number of blocks of vectors and of buckets of candidates.
 
     A block costs one more copy of the candidates in the shuffle, a bucket one
     more count per vector; the split weighs the two at about 40 and 16 bytes.
+    The largest group lies in one bucket, so it asks for blocks of its own.
     """
     tiles = max(2 * cores, rows * vectors // _TILE_SCORES)
     blocks = round((0.4 * vectors * tiles / max(rows, 1)) ** 0.5)
-    blocks = min(max(blocks, 1, -(-vectors // _MAX_BLOCK)), vectors)
+    least = max(1, -(-vectors // _MAX_BLOCK), largest * vectors // _TILE_SCORES)
+    blocks = min(max(blocks, least), vectors)
     return blocks, max(1, -(-tiles // blocks))
 
 
@@ -221,65 +311,38 @@ def evaluate_grid(candidates: DataFrame, steps: int, order: list[str],
     """Correct picks of every vector of the grid: wid (lexicographic place), correct.
 
     ``candidates`` come from ``search_input``. The smallest ``order`` wins a tie.
+    Groups above ``max_group_rows`` lose the rows that can't win before they are
+    copied to the blocks.
     """
     spark = candidates.sparkSession
     step = 1.0 / steps if step is None else step
     size = grid_size(steps)
     shape = shape or input_shape(candidates)
-    blocks, buckets = tile_layout(shape.rows, size, spark.sparkContext.defaultParallelism)
-    block_size = -(-size // blocks)
-    blocks = -(-size // block_size)
-
     rows = candidates.select(
         F.datediff("date", F.lit("1970-01-01").cast("date")).alias("day"),
         F.col("tims").cast("int").alias("tims"),
         (F.col("scored") > 0).cast("int").alias("hit"),
         *WEIGHTED, *order,
     )
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    def tiles(whole: DataFrame) -> DataFrame:
-        bucket = F.pmod(F.xxhash64("day", "tims"), F.lit(buckets))
-        copies = whole.withColumn("bucket", bucket).withColumn("block", every_block)
-        tile = (F.col("block") * buckets + F.col("bucket")).cast("int")
-        sorted_tiles = copies.repartitionById(blocks * buckets, tile).sortWithinPartitions(
-            "block", "day", "tims", *order
-        )
-        counts = sorted_tiles.select("block", "day", "tims", "hit", *WEIGHTED).mapInPandas(
-            _tile_counts(steps, step, block_size), "wid long, correct long"
-        )
-        return counts.groupBy("wid").agg(F.sum("correct").alias("correct"))
-
-    if shape.largest <= max_group_rows:
-        return tiles(rows)
-
-    parted = split_hot(rows, ["day", "tims"], order, max_group_rows)
-    hot = (
-        rows.groupBy("day", "tims").agg(F.count("*").alias("n"))
-        .where(F.col("n") > max_group_rows).select("day", "tims")
-    )
-    whole = rows.join(hot, ["day", "tims"], "left_anti")
-    # One number per row that follows the order inside the large groups.
-    large = number_rows(
-        parted.join(hot, ["day", "tims"], "left_semi"), order, out="place"
-    )
-    winners = (
-        large.select("day", "tims", "part", "hit", "place", *WEIGHTED)
-        .withColumn("block", every_block)
-        .groupBy("block", "day", "tims", "part")
-        .applyInPandas(
-            _part_winners(steps, step, block_size),
-            "wid long, day int, tims int, top float, place long, hit int",
-        )
-    )
-    picked = winners.groupBy("wid", "day", "tims").agg(
-        F.min_by("hit", F.struct((-F.col("top")).alias("s"), "place")).alias("hit")
+    n, largest = shape.rows, shape.largest
+    if largest > max_group_rows:
+        rows = stage(drop_beaten(rows, order, max_group_rows), "candidates")
+        left = rows.groupBy("day", "tims").count().agg(F.sum("count"), F.max("count")).first()
+        n, largest = left[0], left[1]
+    blocks, buckets = tile_layout(n, size, spark.sparkContext.defaultParallelism, largest)
+    block_size = -(-size // blocks)
+    blocks = -(-size // block_size)
+
+    copies = rows.withColumn("bucket", F.pmod(F.xxhash64("day", "tims"), F.lit(buckets)))
+    copies = copies.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tile = (F.col("block") * buckets + F.col("bucket")).cast("int")
+    tiles = copies.repartitionById(blocks * buckets, tile).sortWithinPartitions(
+        "block", "day", "tims", *order
     )
-    hot_counts = picked.groupBy("wid").agg(F.sum("hit").alias("correct"))
-    return (
-        tiles(whole).unionByName(hot_counts)
-        .groupBy("wid").agg(F.sum("correct").cast("long").alias("correct"))
+    counts = tiles.select("block", "day", "tims", "hit", *WEIGHTED).mapInPandas(
+        _tile_counts(steps, step, block_size), "wid long, correct long"
     )
+    return counts.groupBy("wid").agg(F.sum("correct").alias("correct"))
 
 
 def with_weights(results: DataFrame, steps: int, step: float | None = None) -> DataFrame:
