@@ -20,7 +20,7 @@ def k1(spark, sf_dir):
     path = run_dir(spark, "replace")
     tables.replace_table(orders, path)
     tables.replace_table(orders.where("o_orderstatus = 'F'").drop("o_orderstatus"), path)
-    return spark.read.parquet(path)
+    return tables.read_table(spark, path)
 
 
 @query("k1_replace_by_nothing", "SELECT count(*) - count(*) AS rows FROM orders")
@@ -29,7 +29,7 @@ def k1_none(spark, sf_dir):
     path = run_dir(spark, "replace")
     tables.replace_table(orders, path)
     tables.replace_table(orders.where("o_orderkey < 0"), path)
-    return spark.read.parquet(path).agg(F.count("*").alias("rows"))
+    return tables.read_table(spark, path).agg(F.count("*").alias("rows"))
 
 
 @query("k2_publish_board", f"""WITH {SCORED} SELECT row_number() OVER (ORDER BY {', '.join(_ALL)}) AS id,

@@ -9,7 +9,7 @@ from bindings.projections import _STATUS, status_of
 from bindings.sinks import _MONTHLY, _PER_MONTH, _monthly, _per_month
 from tierpick.operators import backfill, live
 from tierpick.session import run_dir
-from tierpick.sources import tables
+from tierpick.sources import tables, versions
 from tierpick.streaming import board, outcomes
 
 _DAYS = (None, 8, 15, 22, None)  # the events arrive in four parts, open at both ends
@@ -101,7 +101,8 @@ def t3(spark, sf_dir):
             F.count("*").alias("goals"), F.countDistinct("event_type").alias("kinds"))
 
     out, _ = _changes(spark, sf_dir, detail=detail)
-    return outcomes.latest_epoch(spark, f"{out}/detail", "user_id bigint, goals bigint, kinds bigint")
+    return board.read_detail(
+        spark, out, "user_id", "bigint", "user_id bigint, goals bigint, kinds bigint")
 
 
 @query("t4_recent_goals", f"""SELECT event_id, CASE WHEN event_id % 3600 - (event_id * 7) % 3600 < 60
@@ -134,16 +135,15 @@ def t5(spark, sf_dir):
 SELECT CAST(date AS VARCHAR) AS date, player_id, tims, CAST(Scored AS VARCHAR) AS Scored FROM filled""")
 def t6(spark, sf_dir):
     past = pick_history(spark, sf_dir).select("date", "player_id", "tims", "Scored")
-    schema = "date date, player_id bigint, tims int, Scored int"
     path, landing = run_dir(spark, "history"), run_dir(spark, "landing")
-    past.write.parquet(f"{path}/epoch=-1")
+    versions.commit(past, path)
     late = outcome_table(spark, sf_dir)
     late.write.parquet(landing)
     stream = board.poll(spark, landing, late.schema)
     outcomes.outcome_stream(
-        stream, path, schema, TODAY, run_dir(spark, "checkpoint"), available_now=True
+        stream, path, TODAY, run_dir(spark, "checkpoint"), available_now=True
     ).awaitTermination()
-    now = outcomes.latest_epoch(spark, path, schema)
+    now = versions.read(spark, path)
     return now.select(iso(), "player_id", "tims", F.col("Scored").cast("string").alias("Scored"))
 
 

@@ -27,7 +27,7 @@ def test_replace_by_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.replace_table(spark.range(5), path)
     tables.replace_table(spark.range(0), path)
-    assert spark.read.parquet(path).count() == 0
+    assert tables.read_table(spark, path).count() == 0
 
 
 def test_board_rows(rows):
@@ -54,7 +54,7 @@ def test_metric_is_kept_without_a_new_one(spark, tmp_path, rows):
     metric = rows("id string, total long", ("current_pick_accuracy", 3))
     tables.write_metric(metric, path)
     tables.write_metric(metric.limit(0), path)
-    assert spark.read.parquet(path).first()["total"] == 3
+    assert tables.read_table(spark, path).first()["total"] == 3
 
 
 def archive_rows(rows, *values):
@@ -128,3 +128,71 @@ def test_ledger_takes_a_day_once(spark, tmp_path, rows):
         tables.append_ledger(more, ledger, path)
     found = spark.read.schema(schema).option("header", True).csv(path)
     assert sorted(r["Name"] for r in found.collect()) == ["a", "b", "c"]
+
+
+class Failing:
+    """A frame whose write fails after some files have been written."""
+
+    def __init__(self, spark):
+        fail = F.when(F.col("id") > 700, F.raise_error(F.lit("lost"))).otherwise(F.lit(0))
+        self.frame = spark.range(0, 1000, 1, 8).select("id", fail.cast("int").alias("x"))
+
+
+def test_a_write_that_fails_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.replace_table(spark.range(5).selectExpr("id", "1 AS x"), path)
+    with pytest.raises(Exception, match="lost"):
+        tables.replace_table(Failing(spark).frame, path)
+    assert tables.read_table(spark, path).count() == 5
+    assert len(list((tmp_path / "t").glob("version-*"))) == 2  # the failed one lies beside it
+    tables.replace_table(spark.range(7).selectExpr("id", "1 AS x"), path)
+    assert tables.read_table(spark, path).count() == 7
+    assert len(list((tmp_path / "t").glob("version-*"))) == 2  # and goes with the next commit
+
+
+def test_a_half_written_state_of_a_day_is_none(spark, tmp_path, rows):
+    path = str(tmp_path / "h")
+    tables.write_version(rows("id long, x int", (1, 1)), path, "2025-01-01")
+    with pytest.raises(Exception, match="lost"):
+        tables.write_version(Failing(spark).frame, path, "2025-01-02")
+    assert tables.read_version(spark, path, "id long, x int").count() == 1
+
+
+def test_a_commit_cut_off_is_passed_over(spark, tmp_path, rows):
+    path = tmp_path / "t"
+    tables.replace_table(rows("n int", (1,)), str(path))
+    (path / "_commits" / "000000002").write_text('{"folder": "ver')
+    assert [r["n"] for r in tables.read_table(spark, str(path)).collect()] == [1]
+    tables.replace_table(rows("n int", (3,)), str(path))
+    assert [r["n"] for r in tables.read_table(spark, str(path)).collect()] == [3]
+
+
+def test_old_versions_go_after_the_stated_number(spark, tmp_path, rows):
+    path = tmp_path / "h"
+    for day in range(1, 13):
+        for n in (day, -day):  # the second run of a day replaces the first
+            tables.write_version(rows("n int", (n,)), str(path), f"2025-01-{day:02d}", keep=4)
+    assert len(list(path.glob("version-*"))) == 4
+    read = lambda before: [r["n"] for r in tables.read_version(
+        spark, str(path), "n int", before).collect()]
+    assert read(None) == [-12] and read("2025-01-10") == [-9] and read("2025-01-09") == []
+
+
+def test_a_table_can_be_replaced_by_rows_of_itself(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.replace_table(spark.range(10), path)
+    for _ in range(5):
+        tables.replace_table(tables.read_table(spark, path).selectExpr("id + 1 AS id"), path)
+    assert tables.read_table(spark, path).agg(F.sum("id")).first()[0] == 95
+    assert len(list((tmp_path / "t").glob("version-*"))) == 3
+
+
+def test_of_two_jobs_at_once_the_second_fails(spark, tmp_path, rows, monkeypatch):
+    from tierpick.sources import versions
+
+    path = str(tmp_path / "t")
+    tables.replace_table(rows("n int", (1,)), path)
+    monkeypatch.setattr(versions, "_last_number", lambda *_: 0)  # began before the other's commit
+    with pytest.raises(Exception, match="exist"):
+        tables.replace_table(rows("n int", (2,)), path)
+    assert [r["n"] for r in tables.read_table(spark, path).collect()] == [1]

@@ -6,10 +6,11 @@ from pyspark.sql.types import ArrayType, StructType
 from pyspark.sql.utils import AnalysisException
 
 from tierpick import schemas
-from tierpick.config import TRAINING_FEATURES
+from tierpick.config import RETENTION_DAYS, TRAINING_FEATURES
 from tierpick.operators.bets import unbooked
 from tierpick.operators.skew import number_rows, split_hot
 from tierpick.session import stage
+from tierpick.sources import versions
 
 _NOT_NUMERIC = ("date", "name")
 _HIDDEN_ON_BOARD = ("team_abbr", "home", "hppg", "otshga", "Scored", "position")
@@ -32,12 +33,17 @@ def scan(spark: SparkSession, path: str, columns=("*",), eq=None, schema: str |
     return table.select(*columns)
 
 
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """What ``replace_table`` wrote last."""
+    return versions.read(spark, path, schema)
+
+
 def read_board(spark, path):
-    return scan(spark, path, schema=schemas.BOARD)
+    return read_table(spark, path, schemas.BOARD)
 
 
 def read_metric(spark, path):
-    return scan(spark, path, schema=schemas.METRIC)
+    return read_table(spark, path, schemas.METRIC)
 
 
 # --- training extract -------------------------------------------------------
@@ -96,8 +102,11 @@ def complete_rows(df: DataFrame) -> DataFrame:
 # --- sinks ------------------------------------------------------------------
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """The table holds exactly these rows afterwards; no rows empty it."""
-    df.write.mode("overwrite").parquet(path)
+    """The table holds exactly these rows afterwards; no rows empty it.
+
+    Until the new rows are complete, and if the job fails, readers see the old ones.
+    """
+    versions.commit(df, path)
 
 
 def without(df: DataFrame, hidden) -> DataFrame:
@@ -130,19 +139,17 @@ def history_rows(history: DataFrame, order: list[str]) -> DataFrame:
     return without(number_rows(history, order), _HIDDEN_IN_HISTORY)
 
 
-def write_version(df: DataFrame, path: str, version) -> None:
-    """Write a table's state of a day beside the older ones; a re-run replaces its own."""
-    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+def write_version(df: DataFrame, path: str, version, keep: int = RETENTION_DAYS) -> None:
+    """Write a table's state of a day beside the older ones; a re-run replaces its own.
+
+    The last ``keep`` days stay.
+    """
+    versions.commit(df, path, label=str(version), keep=keep)
 
 
 def read_version(spark: SparkSession, path: str, schema: str, before=None) -> DataFrame:
     """Latest state of a table, optionally the latest before a day."""
-    table = scan(spark, path, schema=f"{schema}, version date")
-    versions = table.select("version")
-    if before is not None:
-        versions = versions.where(F.col("version") < F.lit(before).cast("date"))
-    newest = versions.agg(F.max("version")).first()[0]  # one value, from the folder names
-    return table.where(F.col("version") == F.lit(newest).cast("date")).drop("version")
+    return versions.read(spark, path, schema, before=None if before is None else str(before))
 
 
 def write_metric(metric: DataFrame, path: str) -> None:
@@ -170,13 +177,6 @@ def archive(df: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
     )
 
 
-def remove(spark: SparkSession, folders: list[str]) -> None:
-    """Delete folders of a table."""
-    for folder in folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def rewrite_dates(rows: DataFrame, dates: DataFrame, path: str) -> None:
     """Replace the given dates of the archive by ``rows``, also where none are left.
 
@@ -186,7 +186,7 @@ def rewrite_dates(rows: DataFrame, dates: DataFrame, path: str) -> None:
     left = rows.select("date").distinct()
     emptied = dates.select("date").distinct().join(left, "date", "left_anti").collect()
     archive(rows, path)
-    remove(rows.sparkSession, [f"{path}/date={r['date']}" for r in emptied])
+    versions.remove(rows.sparkSession, [f"{path}/date={r['date']}" for r in emptied])
 
 
 def read_archive(spark: SparkSession, path: str, date=None, schema=None) -> DataFrame:

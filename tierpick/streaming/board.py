@@ -1,15 +1,35 @@
 """Live score changes as a stream of snapshots."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tierpick.config import POLL_INTERVAL
-from tierpick.operators.live import changes
-from tierpick.session import stage
-from tierpick.sources.tables import remove, scan
+
+_STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB and log changed keys only."""
+    before = {name: spark.conf.get(name, None) for name in _STATE_STORE}
+    try:
+        for name, value in _STATE_STORE.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def poll(spark: SparkSession, path: str, schema, fmt: str = "parquet", glob: str | None = None,
@@ -23,61 +43,159 @@ def poll(spark: SparkSession, path: str, schema, fmt: str = "parquet", glob: str
     return reader.load(path)
 
 
+def _sortable(df: DataFrame, column: str) -> tuple[Column, str]:
+    """A time column as a plain number or text that sorts alike, and its type."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column), "long"
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(F.col(column).cast("timestamp")), "long"
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("long"), "long"
+    if isinstance(kind, T.IntegralType):
+        return F.col(column).cast("long"), "long"
+    if isinstance(kind, T.FractionalType):
+        return F.col(column).cast("double"), "double"
+    return F.col(column).cast("string"), "string"
+
+
+def _same(frame: pd.DataFrame, columns: list[str]) -> pd.Series:
+    """Rows that equal the one before them in all columns; null equals null."""
+    before = frame[columns].shift()
+    same = (frame[columns] == before) | (frame[columns].isna() & before.isna())
+    same = same.all(axis=1)
+    same.iloc[:1] = False
+    return same
+
+
+def _slice_ends(keys: list[str], times: list[str]):
+    """mapInPandas body: of each slice the first and last row and those that change the score.
+
+    A partition holds whole slices of one micro-batch, so it is as large as the
+    trigger lets it be.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        rows = pd.concat(held, ignore_index=True).sort_values(
+            [*keys, *times], na_position="first", kind="stable", ignore_index=True)
+        inner = _same(rows, keys)
+        last = ~inner.shift(-1, fill_value=False)
+        yield rows[~(inner & _same(rows, ["_score"])) | last]
+
+    return run
+
+
+def _follow(columns: list[str], times: list[str], expire_ms: int | None):
+    """applyInPandasWithState body: rows whose score differs from the one before of their key."""
+
+    def plain(value):
+        if pd.isna(value):
+            return None
+        return value.item() if hasattr(value, "item") else value
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames), ignore_index=True)
+        rows["_new"] = True
+        if state.exists:
+            known = pd.DataFrame([[*state.get, False]], columns=[*times, "_score", "_new"])
+            rows = pd.concat([known, rows], ignore_index=True)
+        rows = rows.sort_values(times, na_position="first", kind="stable", ignore_index=True)
+        found = rows[rows["_new"] & ~_same(rows, ["_score"])]
+        last = rows.iloc[-1]
+        if last["_new"] and last["_done"]:
+            state.remove()
+        else:
+            state.update(tuple(plain(last[c]) for c in [*times, "_score"]))
+            if expire_ms is not None:
+                state.setTimeoutDuration(expire_ms)
+        yield found[columns]
+
+    return run
+
+
+def changed_snapshots(snapshots: DataFrame, key: str, time: list[str], values: list[str],
+                      span: Column, done: Column | None = None,
+                      expire_ms: int | None = None) -> DataFrame:
+    """Stream of the snapshots that are the first of their key or differ from the one before.
+
+    The last snapshot of a key is keyed state: a micro-batch reads and writes
+    the keys it touches. Before that its rows are reduced per (key, ``span``)
+    to what can matter, so a busy key is spread over tasks by its slices of
+    time and brings two rows per slice plus its changes to its state.
+
+    Keys whose last snapshot is ``done`` leave the state, and so do those
+    without a snapshot for ``expire_ms`` of processing time; their next
+    snapshot counts as a first one. NaN counts as null.
+    """
+    columns = snapshots.columns
+    sortable = [_sortable(snapshots, c) for c in time]
+    times = [f"_t{i}" for i in range(len(time))]
+    over = F.lit(False) if done is None else F.coalesce(done, F.lit(False))
+    rows = snapshots.select(
+        *columns, *[c.alias(t) for t, (c, _) in zip(times, sortable)],
+        F.to_json(F.struct(*values)).alias("_score"), over.alias("_done"), span.alias("_span"))
+    reduced = rows.repartition(key, "_span").mapInPandas(
+        _slice_ends([key, "_span"], times), rows.schema)
+    state = ", ".join([*(f"{t} {kind}" for t, (_, kind) in zip(times, sortable)), "_score string"])
+    timeout = (GroupStateTimeout.NoTimeout if expire_ms is None
+               else GroupStateTimeout.ProcessingTimeTimeout)
+    return reduced.groupBy(key).applyInPandasWithState(
+        _follow(columns, times, expire_ms), snapshots.schema, state, "append", timeout)
+
+
 def change_stream(snapshots: DataFrame, out: str, checkpoint: str, key: str, time: list[str],
                   values: list[str], span: Column, done: Column | None = None,
                   detail: Callable[[DataFrame], DataFrame] | None = None,
-                  available_now: bool = False) -> StreamingQuery:
-    """Write every snapshot that differs from the last one of its key.
-
-    The last state per key is a table with one version per micro-batch, so a
-    repeated batch starts from the same state and replaces its own output.
-    Keys whose last snapshot is ``done`` leave the state. A busy key is spread
-    over tasks by ``span`` (see ``changes``), which keyed state cannot do.
+                  available_now: bool = False, expire_ms: int | None = None) -> StreamingQuery:
+    """Write every snapshot that differs from the last one of its key (``changed_snapshots``).
 
     ``detail`` gives the detail rows of the keys it is handed; it is asked for
-    changed keys only, other keys keep the rows they have.
+    changed keys only, and only their rows are written. ``read_detail`` gives
+    what holds now. A repeated batch starts from the same state and replaces
+    its own output. Timers (``expire_ms``) keep a query running, so they don't
+    go with ``available_now``.
     """
-    columns = snapshots.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in snapshots.schema.fields)
+    if available_now and expire_ms is not None:
+        raise ValueError("a query with timers doesn't end by itself")
+    schema = snapshots.schema
+    found = changed_snapshots(snapshots, key, time, values, span, done, expire_ms)
 
     def each_batch(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        if epoch:
-            known = scan(spark, f"{out}/state/epoch={epoch - 1}", columns, schema=schema)
-        else:
-            known = spark.createDataFrame([], schema)
-        batch = stage(batch, "snapshots")  # read for the changes, the state and the detail
-        both = batch.select(*columns, F.lit(True).alias("_new")).unionByName(
-            known.select(*columns, F.lit(False).alias("_new"))
-        )
-        found = changes(both, key, time, values, span).where("_new").drop("_new")
-        found.write.mode("overwrite").parquet(f"{out}/changes/epoch={epoch}")
-        rest = [c for c in columns if c != key]
-        last = both.groupBy(key).agg(
-            F.max_by(F.struct(*rest), F.struct(*time)).alias("_last")
-        ).select(key, "_last.*").select(*columns)
-        if done is not None:
-            last = last.where(~F.coalesce(done, F.lit(False)))
-        last.write.mode("overwrite").parquet(f"{out}/state/epoch={epoch}")
+        path = f"{out}/changes/epoch={epoch}"
+        batch.write.mode("overwrite").parquet(path)
         if detail is not None:
-            changed = spark.read.schema(schema).parquet(f"{out}/changes/epoch={epoch}").select(
-                key).distinct()
-            fresh = detail(changed)
-            if epoch:
-                kept = spark.read.schema(fresh.schema).parquet(f"{out}/detail/epoch={epoch - 1}")
-                fresh = fresh.unionByName(kept.join(changed, key, "left_anti"))
-            fresh.write.mode("overwrite").parquet(f"{out}/detail/epoch={epoch}")
-        # A repeated batch needs the state of the batch before, nothing older.
-        if epoch > 1:
-            remove(spark, [f"{out}/{part}/epoch={epoch - 2}" for part in ("state", "detail")])
-
-    writer = snapshots.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
+            changed = spark.read.schema(schema).parquet(path).select(key).distinct()
+            detail(changed).write.mode("overwrite").parquet(f"{out}/detail/epoch={epoch}")
+
+    writer = found.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     writer = (
         writer.trigger(availableNow=True) if available_now
         else writer.trigger(processingTime=POLL_INTERVAL)
     )
-    return writer.start()
+    with keyed_state(snapshots.sparkSession):
+        return writer.start()
+
+
+def _epochs(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    known = T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])
+    return spark.read.schema(known).parquet(path)
 
 
 def read_changes(spark: SparkSession, out: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{out}/changes").drop("epoch")
+
+
+def read_detail(spark: SparkSession, out: str, key: str, key_type: str, schema: str) -> DataFrame:
+    """The detail rows of each key from the last batch in which it changed."""
+    last = _epochs(spark, f"{out}/changes", f"{key} {key_type}").groupBy(
+        F.col(key).alias("_key")).agg(F.max("epoch").alias("_epoch"))
+    rows = _epochs(spark, f"{out}/detail", schema)
+    return rows.join(last, rows[key].eqNullSafe(last["_key"]) & (rows["epoch"] == last["_epoch"])
+                     ).drop("_key", "_epoch", "epoch")

@@ -1,12 +1,17 @@
 """Late outcomes and daily picks as streams."""
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tierpick.operators.history import fill_outcomes
 from tierpick.session import stage
-from tierpick.sources.tables import archive, read_archive, remove, scan
+from tierpick.sources import versions
+from tierpick.sources.tables import archive, read_archive, scan
+
+KEPT_BATCHES = 8  # versions of the history that stay, with the notes of their batches
 
 
 def _started(stream: DataFrame, body, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -16,32 +21,45 @@ def _started(stream: DataFrame, body, checkpoint: str, available_now: bool) -> S
     return writer.start()
 
 
-def outcome_stream(outcomes: DataFrame, history_path: str, schema: str, today, checkpoint: str,
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a query keeps as long as its checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def outcome_stream(outcomes: DataFrame, history_path: str, today, checkpoint: str,
                    available_now: bool = False) -> StreamingQuery:
     """Fill outcomes into the history as they arrive.
 
-    The history has one version per micro-batch: ``epoch=-1`` is the start,
-    batch n reads n - 1 and writes n. What no outcome matches stays null.
+    The history is a versioned table that has to be there (``versions.commit``):
+    each micro-batch reads its newest version and commits the next, noting the
+    query and the batch, so a batch that is repeated is applied once and a query
+    with a new checkpoint goes on from what is there. A batch that fills
+    nothing commits nothing. What no outcome matches stays null. Outcomes of
+    days before the oldest one kept arrive too late: ``late_outcomes`` lists them.
     """
 
     def each_batch(batch: DataFrame, epoch: int) -> None:
-        before = scan(batch.sparkSession, f"{history_path}/epoch={epoch - 1}", schema=schema)
-        fill_outcomes(before, batch, today).write.mode("overwrite").parquet(
-            f"{history_path}/epoch={epoch}"
-        )
-        remove(batch.sparkSession, [f"{history_path}/epoch={epoch - 2}"])
+        spark = batch.sparkSession
+        note = f"{_query_id(spark, checkpoint)} {epoch}"
+        if note in (c.note for c in versions.commits(spark, history_path)):
+            return
+        before = versions.read(spark, history_path)
+        batch = stage(batch.dropDuplicates(["date", "id", "scored"]), "outcomes")
+        oldest = before.agg(F.min("date")).scalar()
+        batch.where(F.col("date") < oldest).write.mode("overwrite").parquet(
+            f"{history_path}/_late/{note.replace(' ', '-')}")
+        in_time = batch.where(F.col("date") >= oldest)
+        after = stage(fill_outcomes(before, in_time, today).select(*before.columns), "filled")
+        if after.exceptAll(before).limit(1).count():
+            versions.commit(after, history_path, note=note, keep=KEPT_BATCHES)
 
     return _started(outcomes, each_batch, checkpoint, available_now)
 
 
-def latest_epoch(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The newest version that has been written to its end."""
-    found = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch=*/_SUCCESS")
-    done = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found) or []
-    epochs = [int(f.getPath().getParent().getName().removeprefix("epoch=")) for f in done]
-    if not epochs:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/epoch={max(epochs)}")
+def late_outcomes(spark: SparkSession, history_path: str, schema: str) -> DataFrame:
+    """Outcomes that came after their day had left the history."""
+    # Folders that begin with an underscore are read when they are named.
+    return scan(spark, f"{history_path}/_late/*", schema=schema)
 
 
 def archive_stream(candidates: DataFrame, path: str, checkpoint: str,
