@@ -4,13 +4,14 @@ from pyspark.sql import functions as F
 
 from bindings.aggregates import all_picks
 from bindings.base import (
-    CAND, DATE_SQL, ORDER, ORDER_SQL, PICKED, STAT_SQL, TODAY, candidates, iso, query, six, stage,
-    table,
+    CAND, DATE_SQL, ORDER, ORDER_SQL, PICKED, STAT_SQL, TODAY, candidates, iso, query, run_dir, six,
+    stage, table,
 )
 from bindings.joins import HISTORY_SQL, pick_history
 from bindings.projections import TEAM_ROWS, _NAME, _orders_as_games
 from tierpick.operators import features, history, notify, picks, schedule
 from tierpick.operators.skew import number_rows
+from tierpick.plans import daily
 from tierpick.sources import feeds
 
 _ALL = ORDER + ["gpg", "five_gpg", "hppg", "home", "scored", "date"]
@@ -234,7 +235,7 @@ def x9(spark, sf_dir):
 _AHEAD, _AHEAD_SEASON = "2000-01-01", "19992000"
 
 
-@query("x10_rates_as_of", f"""WITH {LOG_SQL}, past AS (SELECT * FROM log WHERE date < DATE '{_AHEAD}'), p AS (SELECT s_suppkey AS player_id, s_nationkey AS team, (s_nationkey + 10) % 25 AS opponent FROM supplier),
+_X10_SQL = f"""WITH {LOG_SQL}, past AS (SELECT * FROM log WHERE date < DATE '{_AHEAD}'), p AS (SELECT s_suppkey AS player_id, s_nationkey AS team, (s_nationkey + 10) % 25 AS opponent FROM supplier),
   five AS (SELECT player_id, avg(goals) AS g FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY date DESC) AS n FROM past) WHERE n <= 5 GROUP BY 1),
   own AS (SELECT player_id, avg(goals) FILTER (WHERE season = '{_AHEAD_SEASON}') AS gpg, avg(goals) FILTER (WHERE season >= '19971998') AS hgpg,
     avg(pp_goals) FILTER (WHERE season >= '19971998') AS hppg FROM past GROUP BY 1),
@@ -243,12 +244,34 @@ _AHEAD, _AHEAD_SEASON = "2000-01-01", "19992000"
     WHERE season = '{_AHEAD_SEASON}' GROUP BY ALL) GROUP BY 1)
 SELECT p.player_id, round(coalesce(gpg, 0), 6) AS gpg, round(coalesce(hgpg, 0), 6) AS hgpg, round(coalesce(hppg, 0), 6) AS hppg,
   round(coalesce(five.g, 0), 6) AS five_gpg, round(coalesce(made.r, 0), 6) AS tgpg, round(coalesce(let.r, 0), 6) AS otga, round(coalesce(let.s, 0), 6) AS otshga
-FROM p LEFT JOIN own USING (player_id) LEFT JOIN five USING (player_id) LEFT JOIN made ON p.team = made.team LEFT JOIN let ON p.opponent = let.team""")
-def x10(spark, sf_dir):
-    scheduled = table(spark, sf_dir, "supplier").select(
+FROM p LEFT JOIN own USING (player_id) LEFT JOIN five USING (player_id) LEFT JOIN made ON p.team = made.team LEFT JOIN let ON p.opponent = let.team"""
+_X10_RATES = ("gpg", "hgpg", "hppg", "five_gpg", "tgpg", "otga", "otshga")
+
+
+def _scheduled(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("player_id"), F.lit(_AHEAD_SEASON).alias("season"),
         F.lit(_AHEAD).cast("date").alias("date"), F.col("s_nationkey").alias("team_id"),
         ((F.col("s_nationkey") + 10) % 25).alias("opponent_id"))
-    made = features.rates_as_of(stage(log_of(spark, sf_dir), "log"), scheduled)
-    return made.select("player_id", *[F.round(c, 6).alias(c) for c in (
-        "gpg", "hgpg", "hppg", "five_gpg", "tgpg", "otga", "otshga")])
+
+
+@query("x10_rates_as_of", _X10_SQL)
+def x10(spark, sf_dir):
+    made = features.rates_as_of(stage(log_of(spark, sf_dir), "log"), _scheduled(spark, sf_dir))
+    return made.select("player_id", *[F.round(c, 6).alias(c) for c in _X10_RATES])
+
+
+@query("x10_rates_brought_forward", _X10_SQL)
+def x10_forward(spark, sf_dir):
+    """The same from running totals: a first log, then day after day."""
+    log = stage(log_of(spark, sf_dir), "log")
+    store = daily.Store(run_dir(spark, "store"))
+    days = ("1999-12-28", "1999-12-29", "1999-12-30", "1999-12-31")
+    for before, day in zip((None, *days), days):
+        rows = log.where(F.col("date") <= F.lit(day).cast("date"))
+        if before is not None:
+            rows = rows.where(F.col("date") > F.lit(before).cast("date"))
+        daily.add_day(spark, store, rows, day)
+    totals = daily.read_totals(spark, store, _AHEAD)
+    made = features.rates_from(totals, _scheduled(spark, sf_dir), _AHEAD_SEASON)
+    return made.select("player_id", *[F.round(c, 6).alias(c) for c in _X10_RATES])

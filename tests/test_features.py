@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 from collections import defaultdict
 
@@ -57,3 +58,74 @@ def test_seasons_as_the_feed_has_them(rows):
     found = {r["player_id"]: r for r in features.rates_as_of(log, ahead).collect()}
     assert found[1]["hgpg"] == 3.0 and found[1]["hppg"] == 0.5 and found[1]["gpg"] == 0.0
     assert found[1]["five_gpg"] == 3.0 and found[9]["hgpg"] == found[9]["tgpg"] == 0.0
+
+
+LOG = "season string, date date, player_id int, team_id int, opponent_id int, goals long, pp_goals long, sh_goals long"
+RATES = ["gpg", "hgpg", "hppg", "five_gpg", "tgpg", "otga", "otshga"]
+
+
+def season_log(seed=7):
+    """Four seasons; one game in ten has been logged without counts."""
+    rng, out = random.Random(seed), []
+    for year in (2020, 2021, 2022, 2023):
+        for day in range(1, 13):
+            for player in range(6):
+                if rng.random() < 0.7:
+                    counts = [rng.randint(0, 3), rng.randint(0, 1), rng.randint(0, 1)]
+                    out.append((f"{year}{year + 1}", dt.date(year, 11, day), player, player % 3,
+                                (player + day) % 3, *([None] * 3 if rng.random() < 0.1 else counts)))
+    return out
+
+
+def games(rows, day, players):
+    return rows("season string, date date, player_id int, team_id int, opponent_id int", *[
+        ("20232024", day, p, p % 3, (p + 1) % 3) for p in players])
+
+
+def same_rates(found, twin):
+    keys = ["player_id", *RATES]
+    left, right = ({r["player_id"]: tuple(round(r[c], 9) for c in keys) for r in df.collect()}
+                   for df in (found, twin))
+    assert left == right and left
+
+
+def test_logged_games_without_counts_are_not_taken_for_scheduled_ones(rows):
+    log = rows(LOG, *season_log())
+    ahead = games(rows, dt.date(2023, 11, 20), (0, 1, 9))
+    made = features.rates_as_of(log, ahead).collect()
+    assert sorted(r["player_id"] for r in made) == [0, 1, 9]
+    assert {str(r["date"]) for r in made} == {"2023-11-20"}
+
+
+def test_totals_brought_forward_equal_the_windows(rows):
+    log = season_log()
+    last = dt.date(2023, 11, 8)
+    totals = features.totals_of(rows(LOG, *[r for r in log if r[1] <= last]))
+    for day in range(9, 13):
+        mine = [r for r in log if r[1] == dt.date(2023, 11, day)]
+        ahead = games(rows, dt.date(2023, 11, day), range(8))
+        past = rows(LOG, *[r for r in log if r[1] < dt.date(2023, 11, day)])
+        same_rates(features.rates_from(totals, ahead, "20232024"), features.rates_as_of(past, ahead))
+        totals = features.forward(totals, rows(LOG, *mine))
+
+
+def test_a_day_added_twice_counts_once(spark, rows, tmp_path):
+    from tierpick.plans import daily
+
+    store, log = daily.Store(str(tmp_path)), season_log()
+    assert daily.read_totals(spark, store, "2023-11-01") is None
+    daily.add_day(spark, store, rows(LOG, *[r for r in log if r[1] < dt.date(2023, 11, 12)]),
+                  "2023-11-11")
+    for _ in range(2):
+        daily.add_day(spark, store, rows(LOG, *[r for r in log if r[1] == dt.date(2023, 11, 12)]),
+                      "2023-11-12")
+    ahead = games(rows, dt.date(2023, 11, 13), range(6))
+    same_rates(
+        features.rates_from(daily.read_totals(spark, store, "2023-11-13"), ahead, "20232024"),
+        features.rates_as_of(rows(LOG, *log), ahead))
+
+
+def test_all_player_windows_share_one_sort(rows):
+    plan = features.player_rates(rows(LOG, *season_log()))._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    assert text.count("Sort [") == 1 and text.count("Exchange hashpartitioning") == 1

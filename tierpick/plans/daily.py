@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tierpick import schemas
 from tierpick.config import BOUNDS, WEIGHTS
-from tierpick.operators import backfill, enrich, history, notify, picks
+from tierpick.operators import backfill, enrich, features, history, notify, picks
 from tierpick.operators.schedule import fresh_board, run_status
 from tierpick.operators.scoring import predict
 from tierpick.session import stage
-from tierpick.sources import feeds, tables
+from tierpick.sources import feeds, tables, versions
+
+KEPT_DAYS = 8  # running totals that stay, so that a day can be added again
 
 
 @dataclass
@@ -32,7 +34,7 @@ class Store:
     root: str
 
     def __getattr__(self, name: str) -> str:
-        if name in ("board", "history", "metric", "archive", "ledger"):
+        if name in ("board", "history", "metric", "archive", "ledger", "totals"):
             return f"{self.root}/{name}"
         raise AttributeError(name)
 
@@ -67,6 +69,30 @@ def read_feeds(spark: SparkSession, landing: str, team_rates: DataFrame,
         feeds.read_scores(spark, f"{landing}/scores", optional=True, **kw))
 
 
+def read_totals(spark: SparkSession, store: Store, before) -> features.Totals | None:
+    """The running totals after the last day before ``before``; none if there are none yet."""
+    parts = {}
+    for name in features.Totals._fields:
+        path = f"{store.totals}/{name}"
+        if not any(c.label < str(before) for c in versions.commits(spark, path)):
+            return None
+        parts[name] = versions.read(spark, path, before=str(before))
+    return features.Totals(**parts)
+
+
+def add_day(spark: SparkSession, store: Store, log: DataFrame, day) -> None:
+    """Bring the running totals forward by the games of a day.
+
+    It reads the totals of the last day before and the day's own rows; a day
+    that is added again replaces itself. The first call may bring a whole log.
+    """
+    before = read_totals(spark, store, day)
+    log = stage(log, "day")  # read once for each of the totals
+    after = features.totals_of(log) if before is None else features.forward(before, log)
+    for name, table in after._asdict().items():
+        versions.commit(table, f"{store.totals}/{name}", label=str(day), keep=KEPT_DAYS)
+
+
 def update_history(spark: SparkSession, store: Store, players: DataFrame, today, yesterday,
                    order: list[str]) -> None:
     """Add today's picks, fill late outcomes, then update the metric of yesterday."""
