@@ -12,6 +12,7 @@ from bindings.joins import (
 )
 from bindings.projections import _orders_as_games
 from tierpick.config import WEIGHTED
+from tierpick.functions import sql
 from tierpick.operators import backfill, bets, grid, history, live, picks, schedule, scoring, search
 from tierpick.operators.skew import bounded_lists, placed
 
@@ -313,10 +314,13 @@ def a19(spark, sf_dir):
 _MEANS = ", ".join(f"round(avg(CAST(f{i} AS DOUBLE)), 9) AS m{i}" for i in range(7))
 
 
-@query("g1_grid_mean_scores", f"""WITH {search_sql(6)}, means AS (SELECT tims, {_MEANS} FROM known GROUP BY tims)
+_G1_SQL = f"""WITH {search_sql(6)}, means AS (SELECT tims, {_MEANS} FROM known GROUP BY tims)
 SELECT tims, {', '.join(f'CAST(k{i} AS INTEGER) AS k{i}' for i in range(6))},
   round({' + '.join(f'CAST(w{i} AS DOUBLE) * m{i}' for i in range(7))}, 6) AS mean_stat
-FROM (SELECT *, {', '.join(f'CAST(round(w{i} * 6) AS INTEGER) AS k{i}' for i in range(6))} FROM grid), means""")
+FROM (SELECT *, {', '.join(f'CAST(round(w{i} * 6) AS INTEGER) AS k{i}' for i in range(6))} FROM grid), means"""
+
+
+@query("g1_grid_mean_scores", _G1_SQL)
 def g1(spark, sf_dir):
     known = trial_candidates(spark, sf_dir)
     means = known.groupBy("tims").agg(
@@ -332,6 +336,20 @@ def g1(spark, sf_dir):
     return flat.select("tims", *[f"k{i}" for i in range(6)], F.round(total, 6).alias("mean_stat"))
 
 
+@query("d3_grid_in_sql", _G1_SQL)
+def d3(spark, sf_dir):
+    """The grid called from SQL text, with the mean features of three tiers."""
+    sql.register(spark)
+    means = ", ".join(f"round(avg(CAST({w} AS DOUBLE)), 9) AS m_{w}" for w in WEIGHTED)
+    total = " + ".join(f"CAST({w} AS DOUBLE) * m_{w}" for w in WEIGHTED)
+    return spark.sql(
+        f"""WITH means AS (SELECT tims, {means} FROM {{known}} GROUP BY tims),
+        tiers AS (SELECT collect_list(struct(*)) AS list FROM means),
+        flat AS (SELECT *, inline((SELECT list FROM tiers)) FROM weight_grid(6))
+        SELECT tims, k0, k1, k2, k3, k4, k5, round({total}, 6) AS mean_stat FROM flat""",
+        known=trial_candidates(spark, sf_dir))
+
+
 @query("g2_grid_place_of_best", f"""WITH {search_sql(4)}
 SELECT results.wid, correct, {_BEST} FROM results JOIN grid ON results.wid = grid.wid
 WHERE correct = (SELECT max(correct) FROM results)""")

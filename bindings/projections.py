@@ -7,6 +7,7 @@ from bindings.base import (
     feature_sql, iso, query, score_sql, six, table, unit_sql,
 )
 from tierpick.config import SEASON_START, WEIGHTED
+from tierpick.functions import sql
 from tierpick.functions.text import full_name, place_or_common
 from tierpick.operators import backfill, bets, live, notify, picks, schedule, scoring
 from tierpick.operators.history import picks_of
@@ -154,6 +155,16 @@ def p9(spark, sf_dir):
     return scoring.predict(candidates(spark, sf_dir), BOUNDS).select(*ORDER, six("stat"))
 
 
+@query("d1_score_in_sql", f"WITH {SCORED} SELECT {ORDER_SQL}, {STAT_SQL} FROM scored_rows")
+def d1(spark, sf_dir):
+    """Scoring called from SQL text."""
+    sql.register(spark, BOUNDS)
+    names = ", ".join(BOUNDS)
+    return spark.sql(
+        f"SELECT {ORDER_SQL}, tier_score({names}, home) AS stat FROM {{rows}}",
+        rows=candidates(spark, sf_dir)).select(*ORDER, six("stat"))
+
+
 @query("p10_run_status", f"""SELECT CASE WHEN count(*) FILTER (WHERE CAST(o_orderdate AS DATE)
   = DATE '{TODAY}') > 0 THEN 'normal_run' ELSE 'first_run' END AS status FROM orders""")
 def p10(spark, sf_dir):

@@ -88,3 +88,11 @@ def test_opponent_columns(rows):
     out = {r["team_id"]: r["otga"] for r in
            enrich.opponent_columns(teams, stats, ["otga"]).collect()}
     assert out == {1: 1.5, 2: 0.0}
+
+
+def test_of_a_repeated_nested_team_the_last_row_counts(rows):
+    nested = rows(
+        "team_id long, pos int, team_name string, players array<struct<id: long, name: string, team_id: long>>",
+        (1, 2, "New", [(1, "x", 1)]), (1, 1, "Old", [(2, "y", 1)]), (2, 3, "B", []))
+    out = enrich.nest_players(nested, position="pos").orderBy("id").collect()
+    assert [(r["id"], r["team_name"]) for r in out] == [(1, "New"), (2, "New")]

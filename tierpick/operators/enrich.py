@@ -43,13 +43,15 @@ def join_teams(players: DataFrame, teams: DataFrame, position: str | None = None
     return joined.where(found.isNull()).select(*own, "_t.*")
 
 
-def nest_players(players: DataFrame) -> DataFrame:
+def nest_players(players: DataFrame, position: str | None = None) -> DataFrame:
     """Teams with a ``players`` array -> one row per player, joined with its team.
 
-    A roster may come in parts; a team counts once.
+    A roster may come in parts; a team counts once. With ``position`` the last
+    row of a repeated team counts, else its rows have to agree.
     """
     flat = players.select(F.explode("players").alias("_p")).select("_p.*")
-    return join_teams(flat, players.drop("players", "part").dropDuplicates(["team_id"]))
+    teams = players.drop("players", "part")
+    return join_teams(flat, teams if position else teams.distinct(), position)
 
 
 def merge_injuries(players: DataFrame, injuries: DataFrame, position: str = "pos") -> DataFrame:

@@ -124,7 +124,9 @@ def daily_run(spark: SparkSession, store: Store, landed: Feeds, today, yesterday
         archived = candidates(landed).select(
             "*", F.lit(today).cast("date").alias("date"), F.lit(None).cast("int").alias("scored")
         )
-        tables.archive(archived, store.archive)
+        # Also where a day that is run again has no players any more.
+        tables.rewrite_dates(
+            archived, spark.range(1).select(F.lit(today).cast("date").alias("date")), store.archive)
         # From here on the archived day is the input.
         # A day without players gives an empty board.
         players = tables.read_archive(

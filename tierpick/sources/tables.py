@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from tierpick import schemas
@@ -10,7 +10,7 @@ from tierpick.config import RETENTION_DAYS, TRAINING_FEATURES
 from tierpick.operators.bets import unbooked
 from tierpick.operators.skew import number_rows, split_hot
 from tierpick.session import stage
-from tierpick.sources import versions
+from tierpick.sources import extract, versions
 
 _NOT_NUMERIC = ("date", "name")
 _HIDDEN_ON_BOARD = ("team_abbr", "home", "hppg", "otshga", "Scored", "position")
@@ -56,20 +56,14 @@ def read_extract(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def land_extract(bodies: DataFrame, schema: str, column: str = "entries") -> DataFrame:
     """base64(gzip(JSON array)) responses -> rows.
 
-    The JVM has no gunzip function, so the bytes are unpacked by an Arrow UDF.
-    A response is one cell, as delivered.
+    The JVM has no gunzip function, so tasks unpack a response piece by piece
+    and send its elements on as they come; only the packed text has to fit into
+    a cell. A response that ends early or is no JSON array fails the job; null
+    and empty ones have no rows.
     """
-    import gzip
-
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def unpack(cells: pd.Series) -> pd.Series:
-        return cells.map(lambda raw: gzip.decompress(raw).decode("utf-8"))
-
-    rows = ArrayType(StructType.fromDDL(schema))
-    parsed = F.from_json(unpack(F.unbase64(column)), rows)
-    return bodies.select(F.explode(parsed).alias("_e")).select("_e.*")
+    found = bodies.select(F.col(column).cast("string")).mapInArrow(extract.cut, "element string")
+    row = F.from_json("element", StructType.fromDDL(schema)).alias("_e")
+    return found.select(row).select("_e.*")
 
 
 def align_fields(older: DataFrame, newest: DataFrame) -> DataFrame:
