@@ -37,7 +37,7 @@ def test_whole_articles_and_nothing_else(got):
 
 def test_other_layouts(spark):
     model = html.ChainModel().fit(list(html.labelled(
-        [PAGE.replace("{i}", str(i)) for i in range(80)])))
+        [html.blocks(PAGE.replace("{i}", str(i))) for i in range(80)])))
     page = (
         '<body><div class="cookie-banner">We use cookies to make this site better. Accept?</div>'
         "<header><a href=/>Site</a></header><main><div class='post-content'>"
@@ -106,3 +106,43 @@ def test_whole_article_without_an_end_of_head(spark):
 def test_no_pages(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert html.extract(empty).count() == 0
+
+
+def extracted(spark, pages):
+    rows = [(i, f"u{i}", page) for i, page in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return [r.text for r in html.extract(frame).orderBy("page_id").collect()]
+
+
+MENU = '<div class="menu"><a href="/">Home</a> <a href="/m">Menu</a></div>'
+FOOT = '<div class="footer">Copyright foot</div>'
+
+
+def test_articles_of_long_pages(spark):
+    body = " ".join(f"Sentence {k} of a long text goes on for some words." for k in range(60))
+    pages = [f"<html><body>{MENU}<article>" + "".join(
+        f"<p>Part {i} {k}. {body}</p>" for k in range(9)) + f"</article>{FOOT}</body></html>"
+        for i in range(30)]
+    assert min(map(len, pages)) > 23_000
+    assert extracted(spark, pages) == [
+        " ".join(f"Part {i} {k}. {body}" for k in range(9)) for i in range(30)]
+
+
+def test_pages_without_article_elements(spark):
+    text = "Real text of page {i}, which says something. It says it in two sentences."
+    pages = [f'<html><body>{MENU}<div class="content"><p>{text.replace("{i}", str(i))}</p>'
+             f"<p>And a second part.</p></div>{FOOT}</body></html>" for i in range(30)]
+    assert extracted(spark, pages) == [
+        f"{text.replace('{i}', str(i))} And a second part." for i in range(30)]
+
+
+def test_one_page_and_formulas(spark):
+    page = (f"{MENU}<article><p>Area is <math><mi>a</mi>=<mn>5</mn></math> here, as was said.</p>"
+            f"<p>It is so.</p></article>{FOOT}")
+    assert extracted(spark, [page]) == ["Area is a=5 here, as was said. It is so."]
+
+
+def test_copies_of_a_page_count_once_in_training(spark):
+    pages = spark.createDataFrame(
+        [(1, "u", PAGE)] * 500, "page_id long, url string, html string")
+    assert {r.text for r in html.extract(pages).collect()} == {TEXT}

@@ -10,17 +10,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAINING_PAGES = 120  # of the table, picked evenly by a hash of the id
-LONGEST_TRAINING_PAGE = 20_000  # characters; longer pages teach nothing more
+#: Bounds of the sample that the model is fitted on; all pages are extracted whole.
+TRAINING_PAGES = 120    # with an article element, picked evenly by a hash
+TRAINING_BLOCKS = 300   # of a page: of longer ones the first and the last half of these
+TRAINING_TEXT = 2_048   # characters of a block; longer ones have the same features
+GENERATED_PAGES = 60    # made up, in several layouts, whatever the table holds
 EPOCHS = 12
 
 # --- fixed values -----------------------------------------------------------
-SILENT = frozenset("script style noscript template textarea select option svg math iframe object "
+SILENT = frozenset("script style noscript template textarea select option svg iframe object "
                    "canvas head title".split())
 RAW = frozenset("script style textarea title".split())  # only their own end tag ends them
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label "
-                   "mark q ruby s samp small span strike strong sub sup time tt u var".split())
+                   "mark q ruby s samp small span strike strong sub sup time tt u var "
+                   "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover "
+                   "munderover mstyle mpadded semantics".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl "
                            "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
                            "hgroup hr main menu nav ol p pre section table ul".split())
@@ -340,16 +345,55 @@ def _redressed(found: list[Block], y: list[int], rng: random.Random) -> tuple[li
     return [b for b, _ in order], [label for _, label in order]
 
 
-def labelled(pages: list[str], seed: int = 11) -> Iterator[tuple[list, list]]:
-    """Features and labels of training pages.
+def _generated(rng: random.Random) -> list[Block]:
+    """A made-up article: a head line, paragraphs and at times a list, a quotation, a table."""
+    def text(words: int, stop: str = ".") -> str:
+        out = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10)))
+               for _ in range(words)]
+        for at in range(rng.randint(6, 18), words - 3, rng.randint(7, 20)):
+            out[at] += "."
+        return " ".join(out) + stop
+
+    def block(own: str, words: int, stop: str = ".", *above: str) -> Block:
+        content = text(words, stop)
+        linked = rng.choice([0, 0, 0, len(content) // 9])
+        return Block(content, frozenset({"article", own, *above}), frozenset(), linked, own)
+
+    out = [block("h1", rng.randint(2, 12), "")]
+    for _ in range(rng.randint(1, 14)):
+        out.append(block("p", min(400, max(4, int(rng.lognormvariate(3.6, 0.9))))))
+        if rng.random() < 0.2:
+            out.append(block("h2", rng.randint(1, 8), rng.choice(["", "?"])))
+        if rng.random() < 0.1:
+            out += [block("li", rng.randint(3, 20), rng.choice(["", "."]), "ul")
+                    for _ in range(rng.randint(2, 5))]
+        if rng.random() < 0.1:
+            out.append(block("p", rng.randint(8, 50), ".", "blockquote"))
+        if rng.random() < 0.05:
+            out += [block("td", rng.randint(1, 4), "", "table", "tr") for _ in range(4)]
+    return out
+
+
+def generated(pages: int = GENERATED_PAGES, seed: int = 5) -> Iterator[tuple[list, list]]:
+    """Features and labels of made-up pages, each in two layouts; the same ones every time."""
+    rng = random.Random(seed)
+    for _ in range(pages):
+        found = _generated(rng)
+        for _ in range(2):
+            other, labels = _redressed(found, [1] * len(found), rng)
+            hide = frozenset(rng.sample(["div", "section", "ul", "li", "content"], 2))
+            yield _features(other, hide), labels
+
+
+def labelled(pages: list[list[Block]], seed: int = 11) -> Iterator[tuple[list, list]]:
+    """Features and labels of training pages, given as their blocks.
 
     A block belongs to the main text if it is inside an article element and
     not inside navigation, asides, forms, footers or comments there. Each page
     is also seen in two other layouts, and without some of its tags and cues.
     """
     rng = random.Random(seed)
-    for page in pages:
-        found = blocks(page)
+    for found in pages:
         y = [int("article" in b.tags and not b.tags & {"nav", "aside", "form", "footer"}
                  and not b.cues & {"comment", "advert", "sidebar", "share", "nav"}) for b in found]
         if not any(y):
@@ -361,20 +405,50 @@ def labelled(pages: list[str], seed: int = 11) -> Iterator[tuple[list, list]]:
             yield _features(other, hide), labels
 
 
+def _sampled(page: str) -> list[Block]:
+    """The blocks of a page that the model is fitted on."""
+    found = blocks(page)
+    if len(found) > TRAINING_BLOCKS:
+        found = found[:TRAINING_BLOCKS // 2] + found[-TRAINING_BLOCKS // 2:]
+    for b in found:
+        b.linked = b.linked * min(len(b.text), TRAINING_TEXT) // max(len(b.text), 1)
+        b.text = b.text[:TRAINING_TEXT].rstrip()
+    return found
+
+
+_BLOCKS = "turn long, blocks array<struct<text:string,tags:array<string>,cues:array<string>,linked:long,own:string>>"
+
+
+def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([
+        ("text", pa.string()), ("tags", pa.list_(pa.string())), ("cues", pa.list_(pa.string())),
+        ("linked", pa.int64()), ("own", pa.string())]))
+    for batch in batches:
+        found = [[{"text": b.text, "tags": sorted(b.tags), "cues": sorted(b.cues),
+                   "linked": b.linked, "own": b.own} for b in _sampled(page.as_py())]
+                 for page in batch.column(1)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(found, kind)], names=["turn", "blocks"])
+
+
 def train(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> ChainModel:
-    """Fit on at most TRAINING_PAGES pages of the table; all pages are then extracted."""
-    ids = (
-        pages.where(F.col(html).isNotNull() & (F.char_length(html) <= LONGEST_TRAINING_PAGE))
-        .select(F.col(page_id).alias("_id"), F.xxhash64(page_id).alias("_turn"))
-        .orderBy("_turn", "_id").limit(TRAINING_PAGES).collect()
-    )
-    # Only the picked pages come to the driver; repeated ids may add rows.
-    rows = pages.where(
-        F.col(page_id).isin([r["_id"] for r in ids]) & F.col(html).isNotNull()
-        & (F.char_length(html) <= LONGEST_TRAINING_PAGE)
-    ).select(F.col(page_id).alias("_id"), F.col(html).alias("_html")).limit(4 * TRAINING_PAGES)
-    rows = sorted(rows.collect(), key=lambda r: (r["_id"], r["_html"]))
-    return ChainModel().fit(list(labelled([r["_html"] for r in rows])))
+    """Fit on made-up pages and on at most TRAINING_PAGES pages of the table.
+
+    The table's pages teach the layouts at hand if they have article elements.
+    A table without them leaves a model of the made-up pages. Only the sampled
+    blocks of the picked pages reach the driver.
+    """
+    turn = F.xxhash64(F.col(page_id).cast("long"), html)
+    rows = pages.where(F.lower(html).contains("<article")).select(
+        turn.alias("turn"), F.col(html).alias("html"))
+    picked = [r["turn"] for r in rows.select("turn").distinct().orderBy("turn").limit(
+        TRAINING_PAGES).collect()]
+    taught = rows.where(F.col("turn").isin(picked)).mapInArrow(_sample, _BLOCKS)
+    # Equal pages count once.
+    taught = taught.groupBy("turn").agg(F.first("blocks").alias("blocks")).orderBy("turn").collect()
+    found = [[Block(b["text"], frozenset(b["tags"]), frozenset(b["cues"]), b["linked"], b["own"])
+              for b in r["blocks"] if b["text"]] for r in taught] if picked else []
+    return ChainModel().fit([*labelled(found), *generated()])
 
 
 def main_text(model: ChainModel, page: str) -> str:
@@ -388,7 +462,8 @@ def extract(pages: DataFrame, model: ChainModel | None = None, page_id: str = "p
     """Per page: page_id, url, text, n_chars.
 
     One pass without a shuffle, page by page, each page whole. A model from
-    ``train`` may be given; else it is fitted on the table.
+    ``train`` may be given; else it is fitted on the table and on made-up pages,
+    so there is one for tables of any kind.
 
     Null and empty pages: empty text. Null ids and urls are carried. Repeated
     rows are extracted each. No rows give no rows; further columns are ignored.
