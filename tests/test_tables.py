@@ -196,3 +196,22 @@ def test_of_two_jobs_at_once_the_second_fails(spark, tmp_path, rows, monkeypatch
     with pytest.raises(Exception, match="exist"):
         tables.replace_table(rows("n int", (2,)), path)
     assert [r["n"] for r in tables.read_table(spark, path).collect()] == [1]
+
+
+def test_what_a_job_stages_is_removed_at_its_end(spark):
+    import pathlib
+
+    from tierpick.session import scratch, shared_dir, stage
+
+    def folders():
+        return {p.name for p in pathlib.Path(shared_dir(spark), "tierpick").glob("scoped-*")}
+
+    kept = stage(spark.range(3), "scoped-out")
+    with pytest.raises(ZeroDivisionError):
+        with scratch(spark):
+            assert stage(spark.range(4), "scoped-in").count() == 4
+            with scratch(spark):
+                stage(spark.range(1), "scoped-inner")
+            assert len(folders()) == 2
+            1 / 0
+    assert len(folders()) == 1 and kept.count() == 3

@@ -10,7 +10,7 @@ from tierpick.config import BOUNDS, WEIGHTS
 from tierpick.operators import backfill, enrich, features, history, notify, picks
 from tierpick.operators.schedule import fresh_board, run_status
 from tierpick.operators.scoring import predict
-from tierpick.session import stage
+from tierpick.session import scratch, stage
 from tierpick.sources import feeds, tables, versions
 
 KEPT_DAYS = 8  # running totals that stay, so that a day can be added again
@@ -87,10 +87,11 @@ def add_day(spark: SparkSession, store: Store, log: DataFrame, day) -> None:
     that is added again replaces itself. The first call may bring a whole log.
     """
     before = read_totals(spark, store, day)
-    log = stage(log, "day")  # read once for each of the totals
-    after = features.totals_of(log) if before is None else features.forward(before, log)
-    for name, table in after._asdict().items():
-        versions.commit(table, f"{store.totals}/{name}", label=str(day), keep=KEPT_DAYS)
+    with scratch(spark):
+        log = stage(log, "day")  # read once for each of the totals
+        after = features.totals_of(log) if before is None else features.forward(before, log)
+        for name, table in after._asdict().items():
+            versions.commit(table, f"{store.totals}/{name}", label=str(day), keep=KEPT_DAYS)
 
 
 def update_history(spark: SparkSession, store: Store, players: DataFrame, today, yesterday,
@@ -115,7 +116,12 @@ def update_history(spark: SparkSession, store: Store, players: DataFrame, today,
 
 def daily_run(spark: SparkSession, store: Store, landed: Feeds, today, yesterday,
               order: list[str], last_game: bool = False) -> str:
-    """Run the mode that is due and return it."""
+    """Run the mode that is due and return it. What it stages is removed at its end."""
+    with scratch(spark):
+        return _run(spark, store, landed, today, yesterday, order, last_game)
+
+
+def _run(spark, store, landed, today, yesterday, order, last_game) -> str:
     board = tables.read_board(spark, store.board)
     status = run_status(board, today, last_game).first()["status"]
     if status == "first_run":

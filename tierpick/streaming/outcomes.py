@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tierpick.operators.history import fill_outcomes
-from tierpick.session import stage
+from tierpick.session import scratch, stage
 from tierpick.sources import versions
 from tierpick.sources.tables import archive, read_archive, scan
 
@@ -43,15 +43,16 @@ def outcome_stream(outcomes: DataFrame, history_path: str, today, checkpoint: st
         note = f"{_query_id(spark, checkpoint)} {epoch}"
         if note in (c.note for c in versions.commits(spark, history_path)):
             return
-        before = versions.read(spark, history_path)
-        batch = stage(batch.dropDuplicates(["date", "id", "scored"]), "outcomes")
-        oldest = before.agg(F.min("date")).scalar()
-        batch.where(F.col("date") < oldest).write.mode("overwrite").parquet(
-            f"{history_path}/_late/{note.replace(' ', '-')}")
-        in_time = batch.where(F.col("date") >= oldest)
-        after = stage(fill_outcomes(before, in_time, today).select(*before.columns), "filled")
-        if after.exceptAll(before).limit(1).count():
-            versions.commit(after, history_path, note=note, keep=KEPT_BATCHES)
+        with scratch(spark):
+            before = versions.read(spark, history_path)
+            batch = stage(batch.dropDuplicates(["date", "id", "scored"]), "outcomes")
+            oldest = before.agg(F.min("date")).scalar()
+            batch.where(F.col("date") < oldest).write.mode("overwrite").parquet(
+                f"{history_path}/_late/{note.replace(' ', '-')}")
+            in_time = batch.where(F.col("date") >= oldest)
+            after = stage(fill_outcomes(before, in_time, today).select(*before.columns), "filled")
+            if after.exceptAll(before).limit(1).count():
+                versions.commit(after, history_path, note=note, keep=KEPT_BATCHES)
 
     return _started(outcomes, each_batch, checkpoint, available_now)
 
@@ -71,12 +72,13 @@ def archive_stream(candidates: DataFrame, path: str, checkpoint: str,
     """
 
     def each_batch(batch: DataFrame, epoch: int) -> None:
-        batch = stage(batch, "arrived")
-        known = read_archive(batch.sparkSession, path, schema=batch.schema)
-        keys = batch.select("date", F.col("id").alias("_id")).distinct()
-        rest = known.join(batch.select("date").distinct(), "date", "left_semi").join(
-            keys, (known["date"] == keys["date"]) & known["id"].eqNullSafe(keys["_id"]),
-            "left_anti")
-        archive(stage(batch.unionByName(rest.select(*batch.columns)), "dates"), path)
+        with scratch(batch.sparkSession):
+            batch = stage(batch, "arrived")
+            known = read_archive(batch.sparkSession, path, schema=batch.schema)
+            keys = batch.select("date", F.col("id").alias("_id")).distinct()
+            rest = known.join(batch.select("date").distinct(), "date", "left_semi").join(
+                keys, (known["date"] == keys["date"]) & known["id"].eqNullSafe(keys["_id"]),
+                "left_anti")
+            archive(stage(batch.unionByName(rest.select(*batch.columns)), "dates"), path)
 
     return _started(candidates, each_batch, checkpoint, available_now)
