@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-LEAF_POINTS = 24
+LEAF_POINTS = 96
 
 
 @dataclass
