@@ -63,3 +63,34 @@ def test_placed_gives_the_same_at_any_size(spark):
         assert own == [(r["a"], r["b"]) for r in sorted(
             (r for r in found if r["k"] == key), key=lambda r: r["place"])]
         assert sorted(r["place"] for r in found if r["k"] == key) == list(range(len(own)))
+
+
+def test_numbers_of_mixed_columns_without_a_written_copy(spark):
+    import pathlib
+
+    from tierpick.session import shared_dir
+
+    def folders():
+        return {p.name for p in pathlib.Path(shared_dir(spark), "tierpick").glob("numbered-*")}
+
+    before = folders()
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("n"), F.col("id") % 11)).alias("s"),
+        F.when(F.col("id") % 5 > 0, F.col("id") % 3 / 2).otherwise(F.lit(float("nan"))).alias("x"),
+        F.when(F.col("id") % 2 > 0, F.timestamp_seconds(F.col("id") * 1000)).alias("t"),
+        F.col("id").alias("b"), (F.col("id") % 2 == 0).alias("even")).repartition(6)
+    order = ["s", "x", "t", "b"]
+    numbered = skew.number_rows(df, order, partitions=9)
+    found = {r["b"]: r["id"] for r in numbered.collect()}
+    want = {r["b"]: n for n, r in enumerate(df.orderBy(*order).collect(), 1)}
+    assert found == want and folders() == before
+    # The same frame computed again, and dealt to another number of tasks.
+    assert {r["b"]: r["id"] for r in numbered.repartition(2).collect()} == want
+    assert {r["b"]: r["id"] for r in skew.number_rows(df, order, partitions=3).collect()} == want
+
+
+def test_numbers_spread_over_tasks(spark):
+    df = spark.range(20_000).withColumn("a", F.lit(0))
+    numbered = skew.number_rows(df, ["a", "id"], out="n", partitions=8)
+    sizes = [r["count"] for r in numbered.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 5000

@@ -55,29 +55,63 @@ def bounded_lists(df: DataFrame, keys: list[str], order: list[str], item: Column
 _ROW_BITS = 33  # monotonically_increasing_id: partition above, row in the partition below
 
 
+_MOST_RANGES = 1024    # splitters are literals of the plan
+_SAMPLED = 20          # rows sampled per range
+
+
+def _splitters(df: DataFrame, order: list[str], ranges: int) -> list:
+    """Rows that cut the table into about equal ranges, from a sample of bounded size."""
+    sample = df.select(*order, F.rand(17).alias("_turn")).orderBy("_turn").limit(_SAMPLED * ranges)
+    rows = sample.drop("_turn").orderBy(*order).collect()
+    step = max(1, -(-len(rows) // ranges))
+    return rows[step::step]
+
+
+def _range_of(df: DataFrame, order: list[str], splitters: list) -> Column:
+    """Number of the range of a row: how many splitters it is not below, by halving."""
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(order)])
+    kinds = [df.select(c).schema[0].dataType for c in order]
+
+    def literal(values) -> Column:
+        return F.struct(*[F.lit(v).cast(k).alias(f"c{i}")
+                          for i, (v, k) in enumerate(zip(values, kinds))])
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(row < literal(splitters[middle]), among(low, middle)).otherwise(
+            among(middle + 1, high))
+
+    return among(0, len(splitters))
+
+
 def number_rows(df: DataFrame, order: list[str], out: str = "id",
                 partitions: int | None = None) -> DataFrame:
     """Number the rows 1..n in the given order without one task seeing them all.
 
-    Rows are sorted by range and written with their place in their range; the
-    sizes of the ranges before are then added. The written table fixes the
-    ranges, so a re-run task cannot number differently. ``order`` has to be a
-    total order.
+    A sample gives splitters, which stay in the plan as literals. Rows are
+    counted per range, dealt to their range, sorted there and numbered from
+    where the ranges before end. Nothing is written; a task that is run again
+    finds the same ranges and numbers. ``df`` is computed three times (twice
+    for the order's columns only) and has to give the same rows each time;
+    ``order`` has to be a total order.
     """
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    placed = stage(ranged.withColumn("_place", F.monotonically_increasing_id()), "numbered")
-    placed = placed.withColumn("_range", F.shiftright("_place", _ROW_BITS))
-    sizes = placed.groupBy("_range").agg(F.count("*").alias("_size"))
+    splitters = _splitters(df, order, min(partitions, _MOST_RANGES))
+    ranged = df.withColumn("_range", _range_of(df, order, splitters))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
     # As many rows as ranges.
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
     )
-    local = F.col("_place").bitwiseAND((1 << _ROW_BITS) - 1) + 1
-    return placed.join(F.broadcast(offsets), "_range").select(
-        *[c for c in df.columns if c != out], (F.col("_offset") + local).cast("long").alias(out)
+    dealt = ranged.repartitionById(len(splitters) + 1, F.col("_range")).sortWithinPartitions(*order)
+    local = F.monotonically_increasing_id().bitwiseAND((1 << _ROW_BITS) - 1) + 1
+    return dealt.withColumn("_place", local).join(F.broadcast(offsets), "_range").select(
+        *[c for c in df.columns if c != out],
+        (F.col("_offset") + F.col("_place")).cast("long").alias(out)
     )
 
 
@@ -87,7 +121,7 @@ def placed(df: DataFrame, keys: list[str], order: list[str], out: str = "place")
     The rows of a key are numbered through a range-sorted table; no task and no
     list holds a whole key.
     """
-    numbered = number_rows(df, [*keys, *order], out="_number")
+    numbered = stage(number_rows(df, [*keys, *order], out="_number"), "numbered")  # read twice
     first = numbered.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
         F.min("_number").alias("_first"))
     match = None
