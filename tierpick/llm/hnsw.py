@@ -11,6 +11,7 @@ import numpy as np
 NEIGHBOURS = 12      # per node on the upper levels, twice as many on the lowest
 BUILD_BEAM = 48
 BATCH = 512
+_SEEN = 1 << 24      # pairs of query and node noted at once
 _EXPAND = 4          # nodes of a beam expanded together
 _NEWCOMERS = 32      # new neighbours considered per node and batch
 
@@ -26,8 +27,10 @@ class Graph:
         """Per query the nodes of its beam and their similarities, most similar first."""
         ids = np.full((len(queries), beam), -1, dtype=np.int32)
         sims = np.full((len(queries), beam), -np.inf, dtype=np.float32)
-        for first in range(0, len(queries), BATCH):
-            part = slice(first, first + BATCH)
+        # A beam search notes the nodes it has seen per query.
+        step = max(1, min(BATCH, _SEEN // max(1, len(self.vectors))))
+        for first in range(0, len(queries), step):
+            part = slice(first, first + step)
             entry = np.zeros((len(queries[part]), 1), dtype=np.int32)
             for level in range(len(self.layers) - 1, 0, -1):
                 entry, _ = self._beam(level, queries[part], entry, 1)
