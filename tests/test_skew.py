@@ -86,7 +86,20 @@ def test_numbers_of_mixed_columns_without_a_written_copy(spark):
     assert found == want and folders() == before
     # The same frame computed again, and dealt to another number of tasks.
     assert {r["b"]: r["id"] for r in numbered.repartition(2).collect()} == want
-    assert {r["b"]: r["id"] for r in skew.number_rows(df, order, partitions=3).collect()} == want
+    for written in (False, True):
+        again = skew.number_rows(df, order, partitions=3, written=written)
+        assert {r["b"]: r["id"] for r in again.collect()} == want
+
+
+def test_numbers_in_the_order_of_nested_columns(spark):
+    df = spark.range(2000).select(
+        F.when(F.col("id") % 9 > 0, F.struct(
+            (F.col("id") % 5).alias("n"), F.struct((F.col("id") % 3).cast("string").alias("s"))
+            .alias("in"))).alias("pos"),
+        F.array(F.col("id") % 4, F.when(F.col("id") % 2 > 0, F.col("id"))).alias("list"), "id")
+    order = ["pos", "list", "id"]
+    found = [r["id"] for r in skew.number_rows(df, order, out="n", partitions=7).orderBy("n").collect()]
+    assert found == [r["id"] for r in df.orderBy(*order).collect()]
 
 
 def test_numbers_spread_over_tasks(spark):

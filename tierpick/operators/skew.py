@@ -6,6 +6,7 @@ rows, so every row lands in exactly one part however often a task is re-run.
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from tierpick.config import MAX_GROUP_ROWS
@@ -67,13 +68,22 @@ def _splitters(df: DataFrame, order: list[str], ranges: int) -> list:
     return rows[step::step]
 
 
+def _literal(value, kind: T.DataType) -> Column:
+    """A value of any type that sorts, as a literal of that type."""
+    if value is not None and isinstance(kind, T.StructType):
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind.fields)])
+    if value is not None and isinstance(kind, T.ArrayType):
+        return F.array(*[_literal(v, kind.elementType) for v in value]).cast(kind)
+    return F.lit(value).cast(kind)
+
+
 def _range_of(df: DataFrame, order: list[str], splitters: list) -> Column:
     """Number of the range of a row: how many splitters it is not below, by halving."""
     row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(order)])
     kinds = [df.select(c).schema[0].dataType for c in order]
 
     def literal(values) -> Column:
-        return F.struct(*[F.lit(v).cast(k).alias(f"c{i}")
+        return F.struct(*[_literal(v, k).alias(f"c{i}")
                           for i, (v, k) in enumerate(zip(values, kinds))])
 
     def among(low: int, high: int) -> Column:
@@ -87,7 +97,7 @@ def _range_of(df: DataFrame, order: list[str], splitters: list) -> Column:
 
 
 def number_rows(df: DataFrame, order: list[str], out: str = "id",
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, written: bool = False) -> DataFrame:
     """Number the rows 1..n in the given order without one task seeing them all.
 
     A sample gives splitters, which stay in the plan as literals. Rows are
@@ -96,20 +106,30 @@ def number_rows(df: DataFrame, order: list[str], out: str = "id",
     finds the same ranges and numbers. ``df`` is computed three times (twice
     for the order's columns only) and has to give the same rows each time;
     ``order`` has to be a total order.
+
+    With ``written`` the sorted rows are written once and read back instead,
+    for results that are read several times or rows that are costly to compute.
     """
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splitters = _splitters(df, order, min(partitions, _MOST_RANGES))
-    ranged = df.withColumn("_range", _range_of(df, order, splitters))
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+    at, low = F.monotonically_increasing_id(), (1 << _ROW_BITS) - 1
+    if written:
+        ranged = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+        dealt = stage(ranged.withColumn("_at", at), "numbered")
+        dealt = dealt.withColumns({"_range": F.shiftright("_at", _ROW_BITS),
+                                   "_place": F.col("_at").bitwiseAND(low) + 1})
+        sizes = dealt
+    else:
+        splitters = _splitters(df, order, min(partitions, _MOST_RANGES))
+        sizes = df.withColumn("_range", _range_of(df, order, splitters))
+        dealt = sizes.repartitionById(len(splitters) + 1, F.col("_range")).sortWithinPartitions(
+            *order).withColumn("_place", at.bitwiseAND(low) + 1)
     # As many rows as ranges.
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
+    offsets = sizes.groupBy("_range").agg(F.count("*").alias("_size")).select(
         "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
     )
-    dealt = ranged.repartitionById(len(splitters) + 1, F.col("_range")).sortWithinPartitions(*order)
-    local = F.monotonically_increasing_id().bitwiseAND((1 << _ROW_BITS) - 1) + 1
-    return dealt.withColumn("_place", local).join(F.broadcast(offsets), "_range").select(
+    return dealt.join(F.broadcast(offsets), "_range").select(
         *[c for c in df.columns if c != out],
         (F.col("_offset") + F.col("_place")).cast("long").alias(out)
     )
@@ -121,7 +141,7 @@ def placed(df: DataFrame, keys: list[str], order: list[str], out: str = "place")
     The rows of a key are numbered through a range-sorted table; no task and no
     list holds a whole key.
     """
-    numbered = stage(number_rows(df, [*keys, *order], out="_number"), "numbered")  # read twice
+    numbered = number_rows(df, [*keys, *order], out="_number", written=True)  # read twice
     first = numbered.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
         F.min("_number").alias("_first"))
     match = None
