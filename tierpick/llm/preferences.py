@@ -60,7 +60,7 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """
     c, r = (side.select("pair_id", "place", F.struct("role", "text").alias(name))
             for side, name in ((chosen, "_c"), (rejected, "_r")))
-    both = c.join(r, ["pair_id", "place"], "full")
+    both = stage(c.join(r, ["pair_id", "place"], "full"), "sides")  # read for the split, and cut
     same = F.col("_c").isNotNull() & F.col("_r").isNotNull() & F.col("_c").eqNullSafe(F.col("_r"))
     parted = both.groupBy("pair_id").agg(
         F.min(F.when(~same, F.col("place"))).alias("_split"))
@@ -74,7 +74,8 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
         F.col("turn").isNotNull()).select(
         "pair_id", "part", "place", F.col("turn.role").alias("role"),
         rendered(F.col("turn.role"), F.col("turn.text")).alias("rendered"))
-    turns = _offsets(turns.withColumn("_length", F.char_length("rendered").cast("long")))
+    turns = turns.withColumn("_length", F.char_length("rendered").cast("long"))
+    turns = _offsets(stage(turns, "rendered"))  # read for the sums, and added up
     learned = (F.col("part") != PROMPT) & F.col("role").eqNullSafe(F.lit(LEARNED_ROLE))
     head = F.char_length("role") + len(OPENING) + len(MIDDLE)
     return turns.select(
@@ -100,7 +101,7 @@ def pairs_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Turns that share a number: in order of role and text.
     grouped = rows.groupBy("pair_id", "turn", "role", "text").count()
     rows = grouped.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))))
-    rows = _numbered(rows)
+    rows = stage(_numbered(rows), "numbered-turns")  # read five times below
     learned = F.col("role").eqNullSafe(F.lit(LEARNED_ROLE))
     last = rows.where(learned).groupBy("pair_id").agg(F.max("place").alias("_last"))
     joined = rows.join(last, "pair_id")
