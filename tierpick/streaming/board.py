@@ -21,10 +21,17 @@ _STATE_STORE = {
 
 @contextmanager
 def keyed_state(spark: SparkSession):
-    """Queries started inside keep their state in RocksDB and log changed keys only."""
-    before = {name: spark.conf.get(name, None) for name in _STATE_STORE}
+    """Queries started inside keep their state in RocksDB and log changed keys only.
+
+    A store is opened per partition and batch, so there are two partitions per
+    core at most; a checkpoint keeps the number it began with.
+    """
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                     2 * spark.sparkContext.defaultParallelism)
+    wanted = _STATE_STORE | {"spark.sql.shuffle.partitions": str(partitions)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
     try:
-        for name, value in _STATE_STORE.items():
+        for name, value in wanted.items():
             spark.conf.set(name, value)
         yield
     finally:
