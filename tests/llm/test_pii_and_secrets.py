@@ -97,6 +97,26 @@ def test_pii_adds_each_further_form(documents):
     assert text[5001] == "at <ip> now"
 
 
+def test_pii_spans_are_the_same_beside_any_rows(documents):
+    rows = [(1, "jane [at] firm [dot] org"), (2, "we met [at] noon. Then we left"),
+            (3, "mac 00:1b:44:11:3a:b7:00:01"), (4, "sold 3 (at) 12.50 each"),
+            (5, "server fd00:1:22:abcd:0:9:8f:1234"), (6, "Tel. 0049 301 234 567")]
+    more = [(100 + i, f"a{i}@b.org and +1 555 123 {4000 + i}") for i in range(400)]
+    alone = {r.doc_id: r.spans for r in pii.digest(documents(*rows)).collect()}
+    among = {r.doc_id: r.spans for r in pii.digest(documents(*rows, *more)).collect()}
+    assert alone == {1: "email:0:24", 2: "", 3: "", 4: "", 5: "ip:7:33", 6: "phone:5:21"}
+    assert all(among[i] == s for i, s in alone.items())
+
+
+def test_pii_trees_tell_true_values_from_look_alikes(spark):
+    rows = pii.labelled(spark)
+    assert all(0 < t[:, -2].mean() < 1 for t in rows.values())  # both labels pass the check
+    got = pii.quality(spark)
+    assert set(got) == set(pii.KINDS)
+    for kind, (precision, recall) in got.items():
+        assert precision >= 0.95 and recall >= 0.9, (kind, precision, recall)
+
+
 def test_redaction_replaces_spans(documents):
     rows = [(1, "Write to é.a@b.org or b@c.de, from 10.0.0.1!"), (2, None), (3, "nothing")]
     got = {r.doc_id: r.text for r in pii.redacted(documents(*rows, clashing=False)).collect()}

@@ -3,15 +3,14 @@
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierpick.llm import boosting, spans
+from tierpick.llm import boosting, pii_samples, spans
 from tierpick.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.95  # on the held-out half, for spans beyond the base patterns
-LEAST_EVIDENCE = 50  # held-out candidates at or above a threshold
 CONTEXT = 24  # characters before a candidate that are looked at
 
 # --- fixed values -----------------------------------------------------------
@@ -43,13 +42,15 @@ FURTHER_GATES = {
     "email": r"[\[(](?:at|AT)[\])]", "ip": r":[0-9A-Fa-f]{1,4}:", "card": r"[0-9]{4}[./][0-9]{4}",
     "phone": r"00[0-9]|\([0-9]{2,4}\)",
 }
-# The trees know base forms only: the format of a further form that shares nothing with its base
-# form is that of a usual base form, so that its own check and the context decide.
-STAND_IN = {"ip": "192.0.2.10"}
 CUES = (
     "(?i)(mail|e-mail|courriel|correo|contact|kontakt|phone|tel|call|mobile|fax|telefon|teléfono|"
     "card|karte|carte|tarjeta|visa|ip|host|server|address|adresse)[^A-Za-z0-9]*$"
 )
+DECOYS = (
+    r"(?i)(?<![a-z])(order|invoice|no|nr|ref|reference|version|release|build|isbn|serial|pages?|"
+    r"bestell[a-z]*|rechnung[a-z]*|seiten?|commande|facture|pedido|factura|ticket|mac|eui|ratio|"
+    r"model|part|item|batch|lot)[^A-Za-z0-9]*$"
+)
 # ----------------------------------------------------------------------------
 
 
@@ -98,37 +99,46 @@ def _side(character: Column) -> Column:
             .when(character.rlike(r"[0-9]"), 2).when(character.rlike(r"\p{L}"), 3).otherwise(4))
 
 
-FEATURES = ("digits", "length", "dots", "breaks", "left", "right", "cue", "opening")
+FEATURES = ("length", "dots", "breaks", "left", "right", "cue", "decoy", "opening", "first",
+            "widest", "tail", "loose")
 
 
-def _candidates(text: Column, spans_found: Column, kind: str, check=valid) -> Column:
-    """Spans with the features that the trees see: format and context, not the check itself."""
+def _candidates(text: Column, spans_found: Column, kind: str) -> Column:
+    """Further spans with what the trees see, format and context, and with the check."""
 
     def one(s: Column) -> Column:
         match = s["match"]
-        shape = F.lit(STAND_IN[kind]) if check is valid_further and kind in STAND_IN else match
-        n = F.char_length(shape)
-        count = F.char_length(_digits(shape))
         before = F.substr(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1,
                           F.least(s["start"], F.lit(CONTEXT)))
+        parts = F.transform(F.regexp_extract_all(match, F.lit("[A-Za-z0-9]+"), F.lit(0)),
+                            lambda p: F.char_length(p))
         return F.struct(
             s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"),
-            s["end"].alias("end"), check(kind, match).alias("valid"),
-            F.least(count, F.lit(20)).alias("digits"),
-            F.least((n / 4).cast("int"), F.lit(8)).alias("length"),
-            F.least(F.regexp_count(shape, F.lit(r"\.")), F.lit(4)).alias("dots"),
-            F.least(F.regexp_count(shape, F.lit("[ ()/-]")), F.lit(4)).alias("breaks"),
+            s["end"].alias("end"), valid_further(kind, match).alias("valid"),
+            F.least((F.char_length(match) / 4).cast("int"), F.lit(10)).alias("length"),
+            F.least(F.regexp_count(match, F.lit(r"\.")), F.lit(4)).alias("dots"),
+            F.least(F.regexp_count(match, F.lit("[ ()/-]")), F.lit(4)).alias("breaks"),
             _side(F.substr(before, F.char_length(before), F.lit(1))).alias("left"),
             _side(F.substr(text, s["end"] + 1, F.lit(1))).alias("right"),
             before.rlike(CUES).cast("int").alias("cue"),
-            F.when(shape.rlike("^[0-9+]"), 0).when(shape.rlike("^[A-Z]"), 1).otherwise(2)
-            .alias("opening"))
+            before.rlike(DECOYS).cast("int").alias("decoy"),
+            F.when(match.rlike("^[3-6]"), 0).when(match.rlike("^[0-9]"), 1)
+            .when(match.rlike("^[^A-Za-z]"), 2).when(match.rlike("^[A-Z]"), 3).otherwise(4)
+            .alias("opening"),
+            F.least(F.element_at(parts, 1), F.lit(6)).alias("first"),
+            F.least(F.array_max(parts), F.lit(8)).alias("widest"),
+            F.when(match.rlike("[0-9]$"), 0).when(match.rlike("[^A-Za-z][A-Z][a-z]+$"), 1)
+            .when(match.rlike("[^A-Za-z][a-z]{2,3}$"), 2).otherwise(3).alias("tail"),
+            match.rlike(r"[^ ]\. ").cast("int").alias("loose"))
 
     return F.transform(spans_found, one)
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, base and further candidates with features. One pass over the texts."""
+    """Per row: doc_id, base spans that pass their check, further candidates with features.
+
+    One pass over the texts.
+    """
     body = F.col("_text")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit(""))
                        .alias("_text"))
@@ -136,47 +146,60 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         rows = rows.select("*", *[
             spans.found_where(body.rlike(gates[k]), body, patterns[k]).alias(f"{name}_{k}")
             for k in KINDS])
-    return rows.select("doc_id", *[
-        F.concat(*[_candidates(body, F.col(f"{name}_{k}"), k, check) for k in KINDS]).alias(out)
-        for name, out, check in (("_base", "base", valid), ("_more", "further", valid_further))])
+
+    def right(kind: str) -> Column:
+        return spans.of_kind(F.filter(f"_base_{kind}", lambda s: valid(kind, s["match"])),
+                             KINDS.index(kind))
+
+    return rows.select(
+        "doc_id", F.concat(*[right(k) for k in KINDS]).alias("base"),
+        F.concat(*[_candidates(body, F.col(f"_more_{k}"), k) for k in KINDS]).alias("further"))
 
 
-def train(found: DataFrame):
-    """Boosted trees on the base candidates, right if they pass the check of their kind.
+def labelled(spark: SparkSession) -> dict[int, np.ndarray]:
+    """Per kind: rows of features, label and part of the made sentences' candidates.
 
-    All candidates are counted per combination of features, of which there are
-    a fixed number; the trees grow on these counts. Half of the rows are held
-    out for the calibration. Per kind: the model or None, and the margin from
-    which held-out precision is high enough.
+    Only candidates that pass the check are learnt from, so it can't be what
+    the trees learn. Part 1 is held out.
     """
-    rows = (
-        found.select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("part"),
-                     F.explode("base").alias("c"))
-        .groupBy("part", "c.kind", *[f"c.{f}" for f in FEATURES])
-        .agg(F.count("*").alias("n"), F.count_if("c.valid").alias("n_valid")).collect()
-    )
+    made = pii_samples.sentences()
+    truth = {number: (KINDS.index(kind), start, end, true)
+             for number, _, kind, start, end, true in made}
+    docs = spark.createDataFrame([(m[0], m[1]) for m in made], "doc_id int, text string")
+    found = candidates(docs).select("doc_id", F.explode("further").alias("c")).where("c.valid")
+    rows: dict[int, list] = {kind: [] for kind in range(len(KINDS))}
+    # As many rows as there are made sentences.
+    for r in found.select("doc_id", "c.*").orderBy("doc_id", "start", "kind").collect():
+        kind, start, end, true = truth[r["doc_id"]]
+        label = true and (r["kind"], r["start"], r["end"]) == (kind, start, end)
+        rows[r["kind"]].append([*[r[f] for f in FEATURES], label, r["doc_id"] // len(KINDS) % 2])
+    return {kind: np.array(own, dtype=np.int64) for kind, own in rows.items()}
+
+
+def train(rows: dict[int, np.ndarray]) -> dict[int, tuple[boosting.Model, float]]:
+    """Per kind: the model, and the margin from which held-out precision is high enough."""
+    out = {}
+    for kind, table in rows.items():
+        bins, label, held = table[:, :-2], table[:, -2], table[:, -1] == 1
+        model = boosting.fit(bins[~held], label[~held], trees=20, depth=3)
+        centres, rates = boosting.isotonic(model.margin(bins[held]), label[held])
+        if rates[-1] >= PRECISION:
+            # Where the line through the calibrated rates reaches it.
+            at = int(np.argmax(rates >= PRECISION))
+            before = slice(max(at - 1, 0), at + 1)
+            out[kind] = (model, float(np.interp(PRECISION, rates[before], centres[before])))
+    return out
+
+
+def quality(spark: SparkSession) -> dict[str, tuple[float, float]]:
+    """Held-out precision and recall of the further forms, per kind."""
+    rows = labelled(spark)
     out = {}
-    for kind in range(len(KINDS)):
-        own = sorted((r for r in rows if r["kind"] == kind), key=tuple)
-        table = np.array([[r["part"], *[r[f] for f in FEATURES], r["n"], r["n_valid"]]
-                          for r in own], dtype=np.int64).reshape(-1, len(FEATURES) + 3)
-        bins = np.repeat(table[:, 1:-2], 2, axis=0)
-        label = np.tile([1, 0], len(table))
-        weight = np.stack([table[:, -1], table[:, -2] - table[:, -1]], axis=1).ravel()
-        part = np.repeat(table[:, 0], 2)
-        grown, held = (part == 0) & (weight > 0), (part == 1) & (weight > 0)
-        if not grown.any() or not held.any():
-            continue
-        if len(set(label[grown].tolist())) < 2:
-            model = boosting.Model(4.0 if label[grown][0] else -4.0, [])
-        else:
-            model = boosting.fit(bins[grown], label[grown], weight[grown], trees=20, depth=3)
-        margin, y, w = model.margin(bins[held]), label[held], weight[held]
-        centres, rates = boosting.isotonic(margin, y, w)
-        enough = np.array([w[margin >= c - 1e-9].sum() for c in centres]) >= LEAST_EVIDENCE
-        good = centres[(rates >= PRECISION) & enough]
-        if len(good):
-            out[kind] = (model, float(good.min()) - 1e-6)  # a centre is a rounded mean
+    for kind, (model, least) in train(rows).items():
+        held = rows[kind][rows[kind][:, -1] == 1]
+        picked, label = model.margin(held[:, :-2]) >= least, held[:, -2] == 1
+        both = int((picked & label).sum())
+        out[KINDS[kind]] = both / max(int(picked.sum()), 1), both / int(label.sum())
     return out
 
 
@@ -185,10 +208,11 @@ def spans_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Base spans pass the check of their kind. Of the further candidates those
     are added that pass it, reach the threshold of their kind and overlap no
-    base span; of overlapping ones the first.
+    base span; of overlapping ones the first. The trees and thresholds come
+    from made sentences only, so a text's spans depend on nothing else.
     """
     found = stage(candidates(docs, doc_id, text), "pii-candidates")
-    models = train(found)
+    models = train(labelled(docs.sparkSession))
 
     def kept(c: Column) -> Column:
         columns = [c[f] for f in FEATURES]
@@ -199,8 +223,7 @@ def spans_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     def plain(c: Column) -> Column:
         return F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
 
-    base = F.transform(F.filter("base", lambda c: c["valid"]), plain)
-    chosen = found.select("doc_id", base.alias("base"), F.transform(
+    chosen = found.select("doc_id", "base", F.transform(
         F.filter("further", kept), plain).alias("_more"))
     return chosen.select("doc_id", "base", spans.leftmost(
         spans.apart_from(F.col("_more"), F.col("base"))).alias("further"))
