@@ -46,6 +46,7 @@ def test_keep_one_keeps_each_text_once_with_all_columns(documents):
     docs = documents(*ROWS)
     kept = dedup.keep_one(docs)
     assert kept.columns == docs.columns
+    assert {(r._key, r._id) for r in kept.collect()} == {("k", 1)}
     got = sorted((r.doc_id, lower(r.text)) for r in kept.collect())
     assert got == sorted((i, t) for t, i in {
         lower(t): max(j for j, u in ROWS if lower(u) == lower(t) and j is not None)

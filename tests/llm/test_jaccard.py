@@ -59,9 +59,10 @@ def near_copies(seed=3, n=200):
                    (1008, "long " * 30_000)]
 
 
-@pytest.mark.parametrize("hot, block", [(256, 512), (4, 7)])
-def test_components_like_brute_force(documents, monkeypatch, hot, block):
+@pytest.mark.parametrize("hot, block, group", [(256, 512, 4 << 20), (4, 7, 300)])
+def test_components_like_brute_force(documents, monkeypatch, hot, block, group):
     monkeypatch.setattr(jaccard, "LOCALLY_HOT", hot)
+    monkeypatch.setattr(jaccard, "GROUP_SHINGLES", group)
     monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
     rows = near_copies()
     got = {r.doc_id: (r.n_shingles, r.component_id)
@@ -88,6 +89,17 @@ def test_keep_one_and_empty_table(documents):
     assert jaccard.similar_groups(docs.limit(0)).count() == 0
 
 
+def test_keep_one_of_rows_without_ids(documents):
+    one, other = "a b c d e f g h", "k l m n o p q r"
+    rows = [(1, one), (None, one), (None, other), (None, other.upper()), (None, None), (2, ""),
+            (3, "s t u v w"), (3, "s t u v w")]
+    got = jaccard.keep_one(documents(*rows)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted(
+        [(1, one), (0, other), (0, other.upper()), (0, ""), (2, ""), (3, "s t u v w"),
+         (3, "s t u v w")])
+    assert {(r._key, r._id) for r in got} == {("k", 1)}
+
+
 def test_word_hashes_are_those_of_words():
     rng = random.Random(9)
     texts = ["".join(rng.choice("aB é\t\nc.😀 ") for _ in range(rng.randint(0, 40)))

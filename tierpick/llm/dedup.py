@@ -13,6 +13,13 @@ START = 48  # characters of a text that splitters hold
 LEAST_HOT = 100  # rows of one text below which it is never split
 
 
+def spare_name(df: DataFrame, name: str) -> str:
+    """The name, longer by as many underscores as it takes to be none of the frame's."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def normalised(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
@@ -88,12 +95,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Rows equal in id and text are copies as well: one of them stays.
     """
+    key, content = names = [spare_name(docs, n) for n in ("_key", "_sha")]
+
     def keyed(frame, sha):
         # A null id is a key like any other.
-        return frame.withColumns({"_key": F.coalesce(F.col(doc_id).cast("string"), F.lit("")),
-                                  "_sha": sha})
+        return frame.withColumns({key: F.coalesce(F.col(doc_id).cast("string"), F.lit("")),
+                                  content: sha})
 
     kept = keyed(exact_groups(docs, doc_id, text).where("kept"), F.col("text_sha256"))
     rows = keyed(docs, F.sha2(normalised(F.col(text)).cast("binary"), 256))
-    return rows.join(kept.select("_key", "_sha"), ["_key", "_sha"], "left_semi").dropDuplicates(
-        ["_key", "_sha"]).select(*docs.columns)
+    return rows.join(kept.select(*names), names, "left_semi").dropDuplicates(names).select(
+        *docs.columns)

@@ -2,15 +2,18 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tierpick.llm.components import components
+from tierpick.llm.dedup import spare_name
 from tierpick.llm.words import Reader, scramble
 from tierpick.session import stage
 
 FLUSH = 3 << 19  # shingles that a task holds before it sends them on
 LOCALLY_HOT = 256  # texts of one flush from which a shingle counts as frequent
+GROUP_SHINGLES = 4 << 20  # of a range or bucket, about 0.3 GB while a task works on it
 BLOCK_BYTES = 8 << 20  # of shingles
 BLOCK_SETS = 512
 HEADS = 3  # of a list, with which all its sets are compared first
@@ -46,8 +49,8 @@ def _fingerprint(shingles: np.ndarray) -> np.ndarray:
         return scramble(np.array([total + _U(len(shingles)) * _U(0x9E3779B97F4A7C15)], _U))[0]
 
 
-def shingle_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Per row: doc_id, n_shingles, set_id (equal for equal sets, null for empty ones)."""
+def shingle_sets(docs: DataFrame, key: Column, text: str) -> DataFrame:
+    """Per row: doc_id (the key), n_shingles, set_id (equal for equal sets, null for empty ones)."""
 
     def run(batches):
         reader = Reader()
@@ -62,8 +65,10 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 [batch.column(0), pa.array(n), pa.array(ids.view(np.int64), mask=n == 0)],
                 names=["doc_id", "n_shingles", "set_id"])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(
-        run, "doc_id long, n_shingles long, set_id long")
+    rows = docs.select(key.alias("doc_id"), F.col(text))
+    return rows.mapInArrow(run, T.StructType([
+        rows.schema["doc_id"], T.StructField("n_shingles", T.LongType()),
+        T.StructField("set_id", T.LongType())]))
 
 
 def _squeeze(sorted_hashes: np.ndarray) -> bytes:
@@ -409,6 +414,11 @@ def _compare_blocks(table: pa.Table) -> pa.Table:
                     names=["u", "v"])
 
 
+def _spread(frame: DataFrame, by: str, groups: int, tasks: int) -> DataFrame:
+    """The frame as it is, or over a task per two groups where those are more than the tasks."""
+    return frame if groups <= 2 * tasks else frame.repartition(groups // 2, by)
+
+
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id.
 
@@ -433,12 +443,22 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Repeated rows share a component. No rows give no rows; further columns are
     ignored.
     """
+    return _grouped(docs, doc_id, text).select(
+        "doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Per row: doc_id, n_shingles, set_id, _least (least id of the group, null without any)."""
     spark = docs.sparkSession
-    # Several ranges per task, so that tasks are even and no group is a task's whole share.
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = 2 * buckets
-    sized = stage(shingle_sets(docs, doc_id, text), "shingle-sets")
-    found = stage(_prefixes(_repeated(_postings(docs, text, ranges), buckets)), "prefixes")
+    sized = stage(shingle_sets(docs, F.col(doc_id).cast("long"), text), "shingle-sets")
+    # Several ranges per task, so that tasks are even and no group is a task's whole share. As the
+    # input grows, ranges and buckets grow in number, not in size.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = (sized.agg(F.sum("n_shingles")).first()[0] or 0) // GROUP_SHINGLES
+    buckets, ranges = max(tasks, least), max(2 * tasks, least)
+    postings = _spread(_postings(docs, text, ranges), "range", ranges, tasks)
+    repeated = _spread(_repeated(postings, buckets), "bucket", buckets, tasks)
+    found = stage(_prefixes(repeated), "prefixes")
     sets = found.where(F.col("shingles").isNotNull()).select("set_id", "shingles")
     entries = found.where(F.col("hash").isNotNull()).select("set_id", "n", "hash", "place")
 
@@ -446,22 +466,29 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     final = components(links.unionByName(_across(found, components(links))))
 
     groups = sized.join(final.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "set_id").alias("_group"))
+        "doc_id", "n_shingles", "set_id", F.coalesce("component", "set_id").alias("_group"))
     least = groups.where(F.col("_group").isNotNull()).groupBy("_group").agg(
         F.min("doc_id").alias("_least"))
-    return groups.join(least, "_group", "left").select(
-        "doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+    return groups.join(least, "_group", "left").drop("_group")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of similar ones, all columns: the one with the least id.
 
-    Rows that share an id stay or go together; rows without id stay if no row
-    of their group has one.
+    Rows that share an id stay or go together. Rows without id stay if no row
+    of their group has one, and if they have no shingles.
     """
-    def keyed(frame):
-        return frame.withColumn("_key", F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-
-    kept = keyed(similar_groups(docs, doc_id, text).where("doc_id <=> component_id")
-                 .withColumnRenamed("doc_id", doc_id))
-    return keyed(docs).join(kept.select("_key"), "_key", "left_semi").select(*docs.columns)
+    key = spare_name(docs, "_key")
+    groups = _grouped(docs, doc_id, text)
+    kept = groups.where(F.col("doc_id") == F.coalesce("_least", "doc_id"))
+    named = docs.where(F.col(doc_id).isNotNull()).withColumn(key, F.col(doc_id).cast("long"))
+    named = named.join(kept.select(F.col("doc_id").alias(key)), key, "left_semi")
+
+    # Rows without id are known by their texts.
+    content = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    nameless = docs.where(F.col(doc_id).isNull()).withColumn(key, content)
+    sets = shingle_sets(nameless, F.col(key), text).withColumnRenamed("doc_id", key)
+    led = groups.where(F.col("doc_id").isNull() & F.col("_least").isNotNull())
+    gone = sets.join(led.select("set_id"), "set_id", "left_semi").select(key)
+    nameless = nameless.join(gone, key, "left_anti")
+    return named.select(*docs.columns).unionByName(nameless.select(*docs.columns))
