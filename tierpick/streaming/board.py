@@ -1,9 +1,13 @@
 """Live score changes as a stream of snapshots."""
 
+import pickle
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +22,8 @@ _STATE_STORE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
+_SLICES_AT_ONCE = 5_000  # of an Arrow batch
+
 
 @contextmanager
 def keyed_state(spark: SparkSession):
@@ -62,65 +68,137 @@ def _sortable(df: DataFrame, column: str) -> tuple[Column, str]:
     if isinstance(kind, T.IntegralType):
         return F.col(column).cast("long"), "long"
     if isinstance(kind, T.FractionalType):
-        return F.col(column).cast("double"), "double"
+        value = F.col(column).cast("double")
+        return F.when(~F.isnan(value), value), "double"
     return F.col(column).cast("string"), "string"
 
 
-def _same(frame: pd.DataFrame, columns: list[str]) -> pd.Series:
-    """Rows that equal the one before them in all columns; null equals null."""
-    before = frame[columns].shift()
-    same = (frame[columns] == before) | (frame[columns].isna() & before.isna())
-    same = same.all(axis=1)
-    same.iloc[:1] = False
-    return same
+def _filled(field: T.StructField) -> Column:
+    """A column whose NaN is null."""
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(column), column)
+    return column
+
+
+def _same(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows that equal the one before them; null equals null."""
+    now, before = column[1:], column[:-1]
+    same = pc.or_(pc.fill_null(pc.equal(now, before), False),
+                  pc.and_(pc.is_null(now), pc.is_null(before)))
+    return np.concatenate([[False], same.to_numpy(zero_copy_only=False)]).astype(bool)
+
+
+def _number_type(kind: pa.DataType) -> pa.DataType | None:
+    """The numbers that a time is made of; others are packed as they are."""
+    if pa.types.is_timestamp(kind):
+        return pa.int64()
+    return pa.int32() if pa.types.is_date32(kind) else None
+
+
+def _lists(table: pa.Table) -> list[list]:
+    """The values of each column."""
+    found = []
+    for column in table.columns:
+        number = _number_type(column.type)
+        found.append((column if number is None else column.cast(number)).to_pylist())
+    return found
+
 
+def _unpack(schema: pa.Schema):
+    """mapInArrow body: the rows whose values were packed."""
+    def column(values, kind: pa.DataType) -> pa.Array:
+        number = _number_type(kind)
+        return pa.array(values, kind) if number is None else pa.array(values, number).cast(kind)
 
-def _slice_ends(keys: list[str], times: list[str]):
-    """mapInPandas body: of each slice the first and last row and those that change the score.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = zip(*map(pickle.loads, batch.column(0).to_pylist()))
+                yield pa.RecordBatch.from_arrays(
+                    [column(v, f.type) for v, f in zip(rows, schema)], schema=schema)
 
-    A partition holds whole slices of one micro-batch, so it is as large as the
-    trigger lets it be.
+    return run
+
+
+def _slice_ends(times: list[str], columns: list[str]):
+    """mapInArrow body: of each slice the first and last row and those that change the score.
+
+    The rows of a slice leave it as one packed value. A partition holds whole
+    slices of one micro-batch, so it is as large as the trigger lets it be.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
         if not held:
             return
-        rows = pd.concat(held, ignore_index=True).sort_values(
-            [*keys, *times], na_position="first", kind="stable", ignore_index=True)
-        inner = _same(rows, keys)
-        last = ~inner.shift(-1, fill_value=False)
-        yield rows[~(inner & _same(rows, ["_score"])) | last]
+        rows = pa.Table.from_batches(held)
+        sorted_by = pa.table({c: rows.column(c) for c in ["_key", "_span", *times]})
+        order = pc.sort_indices(sorted_by, null_placement="at_start", sort_keys=[
+            (c, "ascending") for c in sorted_by.column_names])
+        ends = sorted_by.take(order)
+        inner = _same(ends["_key"]) & _same(ends["_span"])
+        last = ~np.append(inner[1:], False)
+        kept = np.flatnonzero(~(inner & _same(rows["_score"].take(order))) | last)
+        rows, inner = rows.take(order.take(pa.array(kept))), inner[kept]
+        starts = np.flatnonzero(~inner)
+        for at in range(0, len(starts), _SLICES_AT_ONCE):
+            ends = [*starts[at:at + _SLICES_AT_ONCE + 1].tolist(), rows.num_rows]
+            ends = ends[:_SLICES_AT_ONCE + 1]
+            part = rows.slice(ends[0], ends[-1] - ends[0])
+            packed = list(zip(
+                zip(*_lists(part.select(times))), *_lists(part.select(["_score", "_done"])),
+                [(pickle.dumps(row),) for row in zip(*_lists(part.select(columns)))]))
+            slices = [pickle.dumps(packed[low - ends[0]:high - ends[0]])
+                      for low, high in zip(ends, ends[1:])]
+            keys = rows["_key"].take(pa.array(ends[:-1])).combine_chunks()
+            yield pa.RecordBatch.from_arrays(
+                [keys, pa.array(slices, pa.binary())], names=["_key", "_slice"])
 
     return run
 
 
 def _follow(columns: list[str], times: list[str], expire_ms: int | None):
-    """applyInPandasWithState body: rows whose score differs from the one before of their key."""
+    """applyInPandasWithState body: rows whose score differs from the one before of their key.
+
+    Most keys bring few rows, so these are plain tuples, and they come packed by
+    slices: each operation on a frame and each column of it costs more than the
+    work. Frames may also hold the columns themselves.
+    """
+
+    def plain(values):
+        return [None if pd.isna(v) else v for v in values.tolist()]
+
+    def records(frame):
+        if "_slice" in frame:
+            return [row for rows in frame["_slice"].tolist() for row in pickle.loads(rows)]
+        return zip(zip(*(plain(frame[t]) for t in times)), frame["_score"].tolist(),
+                   frame["_done"].tolist(), zip(*(frame[c].tolist() for c in columns)))
 
-    def plain(value):
-        if pd.isna(value):
-            return None
-        return value.item() if hasattr(value, "item") else value
+    def place(row):  # nulls first
+        return [(t is not None, t) for t in row[0]]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames), ignore_index=True)
-        rows["_new"] = True
+        rows = []
         if state.exists:
-            known = pd.DataFrame([[*state.get, False]], columns=[*times, "_score", "_new"])
-            rows = pd.concat([known, rows], ignore_index=True)
-        rows = rows.sort_values(times, na_position="first", kind="stable", ignore_index=True)
-        found = rows[rows["_new"] & ~_same(rows, ["_score"])]
-        last = rows.iloc[-1]
-        if last["_new"] and last["_done"]:
+            *at, score = state.get
+            rows.append((tuple(at), score, False, None))
+        for frame in frames:
+            rows += records(frame)
+        rows.sort(key=place)
+        found = [row[3] for n, row in enumerate(rows)
+                 if row[3] is not None and (n == 0 or row[1] != rows[n - 1][1])]
+        at, score, done, _ = rows[-1]
+        if done:
             state.remove()
         else:
-            state.update(tuple(plain(last[c]) for c in [*times, "_score"]))
+            state.update((*at, score))
             if expire_ms is not None:
                 state.setTimeoutDuration(expire_ms)
-        yield found[columns]
+        if found:
+            yield pd.DataFrame(dict(zip(columns, zip(*found))))
 
     return run
 
@@ -139,20 +217,23 @@ def changed_snapshots(snapshots: DataFrame, key: str, time: list[str], values: l
     without a snapshot for ``expire_ms`` of processing time; their next
     snapshot counts as a first one. NaN counts as null.
     """
-    columns = snapshots.columns
+    columns = [f"_c{i}" for i in range(len(snapshots.columns))]
     sortable = [_sortable(snapshots, c) for c in time]
     times = [f"_t{i}" for i in range(len(time))]
     over = F.lit(False) if done is None else F.coalesce(done, F.lit(False))
     rows = snapshots.select(
-        *columns, *[c.alias(t) for t, (c, _) in zip(times, sortable)],
+        F.col(key).alias("_key"), *[_filled(f).alias(c) for c, f in zip(columns, snapshots.schema)],
+        *[c.alias(t) for t, (c, _) in zip(times, sortable)],
         F.to_json(F.struct(*values)).alias("_score"), over.alias("_done"), span.alias("_span"))
-    reduced = rows.repartition(key, "_span").mapInPandas(
-        _slice_ends([key, "_span"], times), rows.schema)
     state = ", ".join([*(f"{t} {kind}" for t, (_, kind) in zip(times, sortable)), "_score string"])
+    slices = T.StructType([rows.schema["_key"], T.StructField("_slice", T.BinaryType())])
+    reduced = rows.repartition("_key", "_span").mapInArrow(_slice_ends(times, columns), slices)
+    arrow = snapshots.sparkSession.createDataFrame([], snapshots.schema).limit(0).toArrow().schema
     timeout = (GroupStateTimeout.NoTimeout if expire_ms is None
                else GroupStateTimeout.ProcessingTimeTimeout)
-    return reduced.groupBy(key).applyInPandasWithState(
-        _follow(columns, times, expire_ms), snapshots.schema, state, "append", timeout)
+    found = reduced.groupBy("_key").applyInPandasWithState(
+        _follow(["_row"], times, expire_ms), "_row binary", state, "append", timeout)
+    return found.mapInArrow(_unpack(arrow), snapshots.schema)
 
 
 def change_stream(snapshots: DataFrame, out: str, checkpoint: str, key: str, time: list[str],
