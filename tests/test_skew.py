@@ -25,6 +25,17 @@ def test_split_hot_keeps_every_row_once(spark):
     assert max(sizes.values()) < 160
 
 
+def test_split_hot_leaves_the_rows_where_they_are(spark):
+    df = spark.range(50).select((F.col("id") % 3).alias("k"), "id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = skew.split_hot(df, ["k"], ["id"], max_rows=10)._jdf.queryExecution()
+        assert "SortMergeJoin" not in plan.executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_split_hot_with_null_keys(spark):
     df = spark.range(50).select(F.lit(None).cast("string").alias("k"), "id")
     parts = skew.split_hot(df, ["k"], ["id"], max_rows=10)

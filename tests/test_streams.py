@@ -94,6 +94,21 @@ def test_a_date_in_two_batches_keeps_both(spark, rows, tmp_path):
         ("2025-01-01", 1, 8), ("2025-01-01", 2, 6), ("2025-01-02", 1, 7)}
 
 
+def test_an_archived_batch_is_staged_once(spark, rows, tmp_path, monkeypatch):
+    staged, real = [], outcomes.stage
+    monkeypatch.setattr(outcomes, "stage", lambda df, name: staged.append(name) or real(df, name))
+    landing, path = str(tmp_path / "l"), str(tmp_path / "a")
+    df = rows("date string, id long, v int", ("2025-01-01", 1, 5), ("2025-01-01", None, 6)
+              ).withColumn("date", F.col("date").cast("date"))
+    df.write.parquet(landing)
+    for checkpoint in ("c", "d"):
+        outcomes.archive_stream(
+            board.poll(spark, landing, df.schema), path, str(tmp_path / checkpoint),
+            available_now=True).awaitTermination()
+    assert staged == ["arrived", "arrived"]
+    assert {(r["id"], r["v"]) for r in spark.read.parquet(path).collect()} == {(1, 5), (None, 6)}
+
+
 def test_changes_of_null_keys_and_slices(rows):
     from tierpick.operators.live import changes
 

@@ -18,7 +18,7 @@ def split_hot(df: DataFrame, keys: list[str], spread: list[str],
     """Add ``part``: 0 in groups of up to ``max_rows`` rows, a hash class beyond.
 
     Only the groups beyond the limit are joined back, at most
-    rows / max_rows of them.
+    rows / max_rows of them; so they are broadcast and the rows stay where they are.
     """
     hot = (
         df.groupBy(*keys)
@@ -32,7 +32,7 @@ def split_hot(df: DataFrame, keys: list[str], spread: list[str],
         same = F.col(k).eqNullSafe(F.col(f"_{k}"))
         match = same if match is None else match & same
     spot = F.pmod(F.xxhash64(*spread), F.col("_parts"))
-    return df.join(hot, match, "left").select(
+    return df.join(F.broadcast(hot), match, "left").select(
         *df.columns,
         F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(spot).cast("int").alias(part),
     )

@@ -68,7 +68,8 @@ def archive_stream(candidates: DataFrame, path: str, checkpoint: str,
     """Archive candidates by date and id; what comes again replaces itself.
 
     A date may come in several micro-batches: its other candidates stay. The
-    dates that a batch touches are staged with it, as they are rewritten.
+    dates that a batch touches are staged with it by ``archive``, as they are
+    rewritten. Dates are folders that the commit lists, so they are broadcast.
     """
 
     def each_batch(batch: DataFrame, epoch: int) -> None:
@@ -76,9 +77,10 @@ def archive_stream(candidates: DataFrame, path: str, checkpoint: str,
             batch = stage(batch, "arrived")
             known = read_archive(batch.sparkSession, path, schema=batch.schema)
             keys = batch.select("date", F.col("id").alias("_id")).distinct()
-            rest = known.join(batch.select("date").distinct(), "date", "left_semi").join(
+            dates = F.broadcast(batch.select("date").distinct())
+            rest = known.join(dates, "date", "left_semi").join(
                 keys, (known["date"] == keys["date"]) & known["id"].eqNullSafe(keys["_id"]),
                 "left_anti")
-            archive(stage(batch.unionByName(rest.select(*batch.columns)), "dates"), path)
+            archive(batch.unionByName(rest.select(*batch.columns)), path)
 
     return _started(candidates, each_batch, checkpoint, available_now)
