@@ -215,3 +215,20 @@ def test_what_a_job_stages_is_removed_at_its_end(spark):
             assert len(folders()) == 2
             1 / 0
     assert len(folders()) == 1 and kept.count() == 3
+
+
+def test_board_rows_are_computed_for_one_written_copy(spark, rows, monkeypatch):
+    from tierpick.operators import skew
+
+    copies, real = [], skew.stage
+    monkeypatch.setattr(skew, "stage", lambda df, name: copies.append(df.columns) or real(df, name))
+    monkeypatch.setattr(skew, "_splitters", None)  # no job of its own for them
+    players = rows("player_id long, stat float, home int, hppg double",
+                   (7, 0.5, 1, 0.1), (8, 0.5, 0, 0.2), (9, 0.1, 1, None))
+    board = tables.board_rows(players, "2025-01-02", ["stat", "home"])
+    assert copies == [["player_id", "stat", "home", "date", "_at"]]  # home is hidden, but sorted by
+    assert [(r["id"], r["player_id"]) for r in board.orderBy("id").collect()] == [
+        (1, 9), (2, 8), (3, 7)]
+    assert board.columns == ["player_id", "stat", "date", "id"]
+    past = tables.history_rows(rows("date string, tims int", ("b", 1), ("a", 2)), ["date"])
+    assert [tuple(r) for r in past.orderBy("id").collect()] == [("a", 2, 1), ("b", 1, 2)]

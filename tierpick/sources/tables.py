@@ -27,7 +27,7 @@ def scan(spark: SparkSession, path: str, columns=("*",), eq=None, schema: str |
             "PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"
         ):
             raise
-        table = spark.createDataFrame([], schema)
+        table = spark.createDataFrame([], schema).limit(0)  # joins with it cost nothing
     if eq is not None:
         table = table.where(F.col(eq[0]) == eq[1])
     return table.select(*columns)
@@ -117,12 +117,22 @@ def with_player_id(players: DataFrame) -> DataFrame:
     return players
 
 
+def _numbered(df: DataFrame, order: list[str], hidden) -> DataFrame:
+    """Numbered rows without the hidden columns.
+
+    Scores and picks are costly, so their joins run once and the sorted rows are
+    written; only hidden columns that the order needs are sorted along.
+    """
+    carried = without(df, [c for c in hidden if c not in order])
+    return without(number_rows(carried, order, written=True), hidden)
+
+
 def board_rows(players: DataFrame, today, order: list[str]) -> DataFrame:
     """Rows of today's board: date, player_id, and id by position in ``order``."""
     if "player_id" not in players.columns:
         order = ["player_id" if c == "id" else c for c in order]
     dated = with_player_id(players).withColumn("date", F.lit(today).cast("date"))
-    return without(number_rows(dated, order), _HIDDEN_ON_BOARD)
+    return _numbered(dated, order, _HIDDEN_ON_BOARD)
 
 
 def publish_board(players: DataFrame, today, order: list[str], path: str) -> None:
@@ -130,7 +140,7 @@ def publish_board(players: DataFrame, today, order: list[str], path: str) -> Non
 
 
 def history_rows(history: DataFrame, order: list[str]) -> DataFrame:
-    return without(number_rows(history, order), _HIDDEN_IN_HISTORY)
+    return _numbered(history, order, _HIDDEN_IN_HISTORY)
 
 
 def write_version(df: DataFrame, path: str, version, keep: int = RETENTION_DAYS) -> None:
@@ -160,7 +170,7 @@ def append_ledger(rows: DataFrame, ledger: DataFrame, path: str) -> None:
 def archive(df: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
     """Replace the dates that ``df`` holds; other dates stay. Safe to repeat.
 
-    A large date is written by several tasks.
+    A large date is written by several tasks. ``df`` may be read from the archive.
     """
     df = stage(df, "archived")  # counted and written: its joins run once
     parts = split_hot(df, ["date"], df.columns, rows_per_file)
