@@ -96,3 +96,14 @@ def test_pack_is_whole_and_gapless(documents):
 
 def test_no_documents(documents):
     assert packing.pack(documents().limit(0)).count() == 0
+
+
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    seen, real, before = [], packing.stage, spark.conf.get(name)
+    monkeypatch.setattr(
+        packing, "stage", lambda df, to: seen.append(int(spark.conf.get(name))) or real(df, to))
+    found = packing.pack(spark.range(3).selectExpr("id AS doc_id", "'a b' AS text"))
+    assert seen == [packing.TEXTS_AT_ONCE] and spark.conf.get(name) == before
+    assert found.count() == 3
+    assert "whole" not in vars(packing.Encoder(packing.tokenizer_path()))  # loaded when needed

@@ -10,13 +10,14 @@ place of each number.
 import re
 import zlib
 from bisect import bisect_right
-from itertools import chain
+from contextlib import contextmanager
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -25,7 +26,8 @@ from tierpick.session import stage
 
 CAPACITY = 4096
 END_ID = 1
-CACHED = 700_000  # chunks and words that a task remembers
+CACHED = 340_000  # chunks and words that a task remembers; beyond 349,525 the dict doubles
+TEXTS_AT_ONCE = 1_000  # of an Arrow batch, which lies in the worker and beside the heap
 
 # Texts in which lower-casing by character, canonical composition and white space
 # are the same to Python and to the tokenizer. Others are tokenized whole.
@@ -127,7 +129,7 @@ class Encoder:
         r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
     def __init__(self, path: str):
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -137,6 +139,10 @@ class Encoder:
         self.letters = str.maketrans(_byte_letters())
         self.known: dict[str, bytes] = {}  # ids of chunks and words
 
+    @cached_property
+    def whole(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def _ids(self, tokenizer, text) -> np.ndarray:
         found = tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(found[0].ids, dtype="<u4")
@@ -224,6 +230,18 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.mapInArrow(run, _PIECES)
 
 
+@contextmanager
+def _arrow_batches(spark: SparkSession, rows: int):
+    """Jobs that run inside hand at most so many rows at once to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, rows)
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
          tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY,
          end_id: int = END_ID) -> DataFrame:
@@ -237,7 +255,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows are packed each for itself. No rows give no rows; further columns
     are ignored.
     """
-    cut = stage(pieces(docs, doc_id, text, tokenizer, capacity, end_id), "pieces")
+    with _arrow_batches(docs.sparkSession, TEXTS_AT_ONCE):
+        cut = stage(pieces(docs, doc_id, text, tokenizer, capacity, end_id), "pieces")
     each = cut.groupBy("length", "_task").agg(F.count("*").alias("_n"))
     # At most ``capacity`` rows.
     counts = {r["length"]: r["n"] for r in
