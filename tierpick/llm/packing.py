@@ -26,7 +26,7 @@ from tierpick.session import stage
 
 CAPACITY = 4096
 END_ID = 1
-CACHED = 340_000  # chunks and words that a task remembers; beyond 349,525 the dict doubles
+CACHED = 500_000  # chunks and words that a task remembers
 TEXTS_AT_ONCE = 1_000  # of an Arrow batch, which lies in the worker and beside the heap
 
 # Texts in which lower-casing by character, canonical composition and white space
