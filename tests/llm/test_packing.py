@@ -1,8 +1,10 @@
 import random
+import tempfile
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from tierpick.llm import packing
@@ -107,3 +109,49 @@ def test_texts_reach_python_in_small_batches(spark, monkeypatch):
     assert seen == [packing.TEXTS_AT_ONCE] and spark.conf.get(name) == before
     assert found.count() == 3
     assert "whole" not in vars(packing.Encoder(packing.tokenizer_path()))  # loaded when needed
+
+
+def test_worker_keeps_its_encoder_for_later_tasks(spark, tmp_path):
+    folder, real = str(tmp_path), packing.Encoder
+
+    class Counted(real):
+        def __init__(self, path):
+            tempfile.mkstemp(dir=folder)
+            super().__init__(path)
+
+    tasks = 6 * spark.sparkContext.defaultParallelism
+    docs = spark.range(0, 3 * tasks, 1, tasks).selectExpr("id AS doc_id", "'a b' || id AS text")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "Encoder", Counted)
+        found = packing.pieces(docs).collect()
+    assert len({r._task for r in found}) == tasks and len(found) == 3 * tasks
+    assert 0 < len(list(tmp_path.iterdir())) < tasks
+
+
+def test_new_words_of_several_texts_are_tokenized_together(monkeypatch):
+    path = packing.tokenizer_path()
+    whole, encode, calls = Tokenizer.from_file(path), packing.Encoder(path), []
+    real = encode._ids
+    monkeypatch.setattr(encode, "_ids", lambda *a: calls.append(a[1]) or real(*a))
+    texts = ["one two.", "", "two. three", "日本 <|endoftext|>", "a <|endoftext|> b", "four, 12's"] * 2
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            for t in texts]
+    assert list(encode.each(texts)) == want
+    assert len(calls) == 1 + 4  # new words once, texts with special tokens each for itself
+    monkeypatch.setattr(packing, "LEARNT_AT_ONCE", 10)
+    assert list(packing.Encoder(path).each(iter(texts))) == want
+
+
+def test_words_in_use_outlive_the_generations(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 4)
+    encode, learnt = packing.Encoder(packing.tokenizer_path()), Counter()
+    real = encode._learn_words
+    monkeypatch.setattr(encode, "_learn_words", lambda new: learnt.update(new) or real(new))
+    for i in range(40):
+        encode("often. " + new_word(i))
+        assert len(encode.known) <= 4 + 4 and len(encode.old) <= 4 + 4
+    assert learnt["often"] == 1 and len(learnt) == 42
+
+
+def new_word(i):
+    return "xy" + chr(97 + i % 26) + chr(97 + i // 26)

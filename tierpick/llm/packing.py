@@ -10,6 +10,7 @@ place of each number.
 import re
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import cached_property
 
@@ -26,12 +27,14 @@ from tierpick.session import stage
 
 CAPACITY = 4096
 END_ID = 1
-CACHED = 500_000  # chunks and words that a task remembers
+CACHED = 250_000  # chunks and words in each of the two generations that a worker remembers
+LEARNT_AT_ONCE = 1_000_000  # characters whose new words go to the tokenizer together
 TEXTS_AT_ONCE = 1_000  # of an Arrow batch, which lies in the worker and beside the heap
 
 # Texts in which lower-casing by character, canonical composition and white space
-# are the same to Python and to the tokenizer. Others are tokenized whole.
-_UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ]|<\\|")
+# are the same to Python and to the tokenizer, if they have no special tokens
+# ("<|") either. Others are tokenized whole.
+_usual = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ɏ]*").fullmatch
 
 
 class RemainingCapacities:
@@ -121,7 +124,9 @@ class Encoder:
     The tokenizer never joins characters across white space, nor across the
     words into which it splits a chunk. So chunks and words are looked up and
     only new words are tokenized, with the normalising steps, which have been
-    done by then, taken out of the tokenizer.
+    done by then, taken out of the tokenizer. What is known lies in two
+    generations: a full one becomes the old one, and what is used again moves
+    on to the new one before the old one goes.
     """
 
     # The tokenizer's own split pattern (fixed value).
@@ -138,6 +143,7 @@ class Encoder:
         self.ends_word[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.letters = str.maketrans(_byte_letters())
         self.known: dict[str, bytes] = {}  # ids of chunks and words
+        self.old: dict[str, bytes] = {}
 
     @cached_property
     def whole(self) -> Tokenizer:
@@ -161,28 +167,49 @@ class Encoder:
         data = ids.tobytes()
         self.known.update(zip(new, map(data.__getitem__, map(slice, [0, *ends], ends))))
 
-    def _learn(self, chunks: list[str]):
-        """Make all chunks of a text known."""
-        known = self.known
-        if len(known) > CACHED:
-            known.clear()
-        new = [c for c in set(chunks) if c not in known]
-        mixed = [(c, self._parts(c)) for c in new if not c.isalpha()]
-        unknown = {c for c in new if c.isalpha()}
-        unknown.update(w for _, parts in mixed for w in parts if w not in known)
-        if unknown:
+    def _recall(self, names: set[str]) -> set[str]:
+        """Those that neither generation has; the others are in the new one afterwards."""
+        new = names.difference(self.known)
+        found = self.old.keys() & new
+        self.known.update(zip(found, map(self.old.__getitem__, found)))
+        return new - found
+
+    def _learn(self, chunks: set[str]):
+        """Make all chunks known at once."""
+        if len(self.known) > CACHED:
+            self.old, self.known = self.known, {}
+        new = self._recall(chunks)
+        words = set(filter(str.isalpha, new))
+        mixed = list(new - words)
+        parts = list(map(self._parts, mixed))
+        if unknown := self._recall(words.union(*parts)):
             self._learn_words(list(unknown))
-        known.update([(c, b"".join([known[w] for w in parts])) for c, parts in mixed])
+        known = self.known.__getitem__
+        self.known.update(zip(mixed, [b"".join(map(known, p)) for p in parts]))
+
+    def _group(self, texts: list[str | list[str]]) -> Iterator[bytes]:
+        self._learn(set().union(*(t for t in texts if isinstance(t, list))))
+        known = self.known.__getitem__
+        for text in texts:
+            if isinstance(text, list):
+                yield b"".join(map(known, text))
+            else:
+                yield self._ids(self.whole, text).tobytes()
+
+    def each(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, in order."""
+        group, size = [], 0
+        for text in texts:
+            usual = _usual(text) and "<|" not in text
+            group.append(text.lower().split() if usual else text)
+            size += len(text)
+            if size >= LEARNT_AT_ONCE:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
 
     def __call__(self, text: str) -> bytes:
-        if _UNUSUAL.search(text):
-            return self._ids(self.whole, text).tobytes()
-        chunks = text.lower().split()
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            self._learn(chunks)
-        return b"".join(map(self.known.__getitem__, chunks))
+        return next(self.each([text]))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -199,17 +226,25 @@ _PIECES = (
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
            tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY,
            end_id: int = END_ID) -> DataFrame:
-    """Token pieces of at most ``capacity``, numbered per task and length."""
+    """Token pieces of at most ``capacity``, numbered per task and length.
+
+    The tokenizer and what it has learnt stay with a worker for its next task.
+    """
+    own = docs.sparkSession.sparkContext.broadcast({})  # each worker has its own copy
     end = np.array([end_id], dtype="<u4").tobytes()
     step = 4 * capacity
 
     def run(batches):
-        encode = Encoder(tokenizer_path(tokenizer))
+        kept = own.value
+        if not kept:
+            kept["encoder"] = Encoder(tokenizer_path(tokenizer))
+        encode = kept["encoder"].each
         task, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for key, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(content.as_py() or "") + end
+            texts = (content.as_py() or "" for content in batch.column(1))
+            for key, found in zip(batch.column(0).to_pylist(), encode(texts)):
+                ids = found + end
                 for i, at in enumerate(range(0, len(ids), step)):
                     part = ids[at:at + step]
                     length = len(part) // 4
